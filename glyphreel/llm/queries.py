@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphreel.llm.bpe import op10_bpe
+from glyphreel.llm.pii import op7_pii
 from glyphreel.llm.toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op7_pii": op7_pii,
     "op10_bpe": op10_bpe,
 }
 
