@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphreel.llm.bpe import op10_bpe
+from glyphreel.llm.langid import op5_langid
 from glyphreel.llm.media import op6_media
 from glyphreel.llm.pii import op7_pii
 from glyphreel.llm.simhash import op4_simhash
@@ -15,6 +16,7 @@ from glyphreel.llm.toxicity import op1_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_simhash": op4_simhash,
+    "op5_langid": op5_langid,
     "op6_media": op6_media,
     "op7_pii": op7_pii,
     "op10_bpe": op10_bpe,
