@@ -12,9 +12,11 @@ from glyphreel.llm.media import op6_media
 from glyphreel.llm.pii import op7_pii
 from glyphreel.llm.simhash import op4_simhash
 from glyphreel.llm.toxicity import op1_toxicity
+from glyphreel.llm.urlrules import op2_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_url_filter": op2_url_filter,
     "op4_simhash": op4_simhash,
     "op5_langid": op5_langid,
     "op6_media": op6_media,
