@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphreel.llm.bpe import op10_bpe
+from glyphreel.llm.decontaminate import op3_decontaminate
 from glyphreel.llm.langid import op5_langid
 from glyphreel.llm.media import op6_media
 from glyphreel.llm.pii import op7_pii
@@ -17,6 +18,7 @@ from glyphreel.llm.urlrules import op2_url_filter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
+    "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
     "op5_langid": op5_langid,
     "op6_media": op6_media,
