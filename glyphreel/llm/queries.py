@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glyphreel.llm.bpe import op10_bpe
 from glyphreel.llm.decontaminate import op3_decontaminate
+from glyphreel.llm.htmltext import op9_html_text
 from glyphreel.llm.langid import op5_langid
 from glyphreel.llm.media import op6_media
 from glyphreel.llm.pii import op7_pii
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_langid": op5_langid,
     "op6_media": op6_media,
     "op7_pii": op7_pii,
+    "op9_html_text": op9_html_text,
     "op10_bpe": op10_bpe,
 }
 
