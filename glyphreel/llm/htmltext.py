@@ -7,7 +7,7 @@ couples their labels. Messages pass from the leaves to the root and back (sum-pr
 marginals. The weights are trained on labelled pages written here from a rule (labelled_pages), by gradient ascent on
 the log likelihood with those marginals. Blocks of nodes whose marginal exceeds one half are the text.
 
-Cases: null or empty html gives an empty text; a page without markup is one text node; pages of any length are read
+Cases: null or empty html gives an empty text; a page without block elements is content; pages of any length are read
 whole; character references are decoded once, white space in a block becomes one space, empty blocks vanish.
 """
 
@@ -161,7 +161,7 @@ def features(nodes: list[Node]) -> list[list[str]]:
         p = nodes[n.parent].tag if n.parent >= 0 else "-"
         inside[i] = n.tag if n.tag in ("article", "main", "aside", "nav", "footer", "form") else inside[n.parent] if n.parent >= 0 else ""
         density = int(4 * linked[i] / total[i]) if total[i] else 5
-        f = ["b", f"t:{n.tag}", f"t:{n.tag}<{p}", f"l:{n.size.bit_length()}", f"d:{density}", f"s:{min(3, n.stops)}", f"w:{total[i].bit_length()}"]
+        f = ["b", f"t:{n.tag}", f"t:{n.tag}<{p}", f"l:{min(8, n.size.bit_length())}", f"d:{density}", f"s:{min(3, n.stops)}", f"w:{min(9, total[i].bit_length())}"]
         if n.parent >= 0:
             f.append(f"i:{inside[n.parent]}")
             f.append(f"i:{inside[n.parent]}>{n.tag}")
@@ -258,9 +258,12 @@ def labelled_pages(n: int = 320, seed: int = 5) -> list[str]:
         if r.random() < 0.06:  # a fragment without a frame
             pages.append("".join(f'<p data-y="1">{say(8, 60)}</p>' for _ in range(r.randint(1, 6))))
             continue
-        top = r.choice([f'<nav data-y="0"><ul>{links(r.randint(3, 8))}</ul></nav>', f'<header data-y="0"><p>{say(1, 8)}</p><nav><ul>{links(4)}</ul></nav></header>', f'<div {named("menu", "navbar", "topbar", "header")} data-y="0"><ul>{links(5)}</ul></div>', f'<header data-y="0"><h2>{say(1, 4)}</h2></header>', f'<ul {named("menu", "nav")} data-y="0">{links(5)}</ul>'])
+        top = r.choice([f'<nav data-y="0"><ul>{links(r.randint(3, 8))}</ul></nav>', f'<header data-y="0"><p>{say(1, 8)}</p><nav><ul>{links(4)}</ul></nav></header>', f'<div {named("menu", "navbar", "topbar", "header")} data-y="0"><ul>{links(5)}</ul></div>', f'<header data-y="0"><h2>{say(1, 4)}</h2></header>', f'<header data-y="0"><h1>{say(1, 4)}</h1><p>{say(1, 8)}</p></header>', f'<header data-y="0"><h1>{say(1, 4)}</h1></header>', f'<ul {named("menu", "nav")} data-y="0">{links(5)}</ul>'])
         low = r.choice([f'<footer data-y="0">&copy; {say(4, 25)}</footer>', f'<footer data-y="0"><p>{say(4, 25)}</p><ul>{links(3)}</ul></footer>', f'<div {named("footer", "copyright", "bottom")} data-y="0"><p>{say(3, 20)}</p></div>'])
         around = [extra() if r.random() < 0.5 else "" for _ in range(3)]
+        if r.random() < 0.15:  # paragraphs without a wrapper of their own
+            body = "".join(x.replace("<p>", '<p data-y="1">', 1) for x in (para() for _ in range(r.randint(1, 9))))
+            body = (f'<h1 data-y="1">{say(2, 9)}</h1>' if r.random() < 0.6 else "") + body
         pages.append(f"<!DOCTYPE html><html><head><title>t</title></head><body>{top}{around[0]}{around[1] if r.random() < 0.5 else ''}{body}{around[2]}{low}</body></html>")
     return pages
 
@@ -313,6 +316,8 @@ def extract(html: str | None) -> str:
     nodes, blocks = parse(html)
     if not blocks:
         return ""
+    if len(nodes) == 1:
+        return "\n".join(t for _, t in blocks)
     weights, pair = train()
     get = weights.get
     p, _ = marginals(nodes, [sum(get(f, 0.0) for f in fs) for fs in features(nodes)], pair)
