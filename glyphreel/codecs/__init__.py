@@ -1 +1 @@
-"""See README.md."""
+"""Bitstream and pixel codecs in numpy; no Spark in here."""
