@@ -120,7 +120,7 @@ def strip_tags(markdown: Column | str) -> Column:
 
 
 def data_uri(png: Column | str) -> Column:
-    return F.concat(F.lit("data:image/png;base64,"), F.base64(c(png)))
+    return F.concat(F.lit("data:image/png;base64,"), F.translate(F.base64(c(png)), "\r\n", ""))
 
 
 def render_template(template: Column | str, expected: Column) -> Column:

@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,14 +75,41 @@ def pgs_frames(files: DataFrame, permissive: bool = False) -> DataFrame:
 
 
 def fold_segments(segments: DataFrame, permissive: bool = False) -> DataFrame:
-    """The same from a table of segments."""
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("seg_no")
-        rows = _fold(df["stream_id"].iloc[0], zip(df["pts90k"], df["seg_type"], df["body"], strict=True), permissive)
-        return pd.DataFrame(rows, columns=[f.name for f in schemas.struct(schemas.SHOWN)])
+    """The same from a table of segments: one shuffle and sort by stream, then a fold that holds one stream's state at a time."""
+    arrow = to_arrow_schema(schemas.struct(schemas.SHOWN))
 
-    return segments.groupBy("stream_id").applyInPandas(run, schemas.SHOWN)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, decoder, n, failed = None, pgs.Decoder(), 0, False
+        for batch in batches:
+            rows = []
+            for stream, pts, kind, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if stream != now:
+                    now, decoder, n, failed = stream, pgs.Decoder(), 0, False
+                if failed:
+                    continue
+                try:
+                    got = decoder.feed(pts, kind, body)
+                except pgs.PgsError as e:
+                    if not permissive:
+                        raise
+                    failed = True
+                    rows.append((stream, 0, None, None, None, None, f"{stream}: {e}"))
+                    continue
+                if got:
+                    n += 1
+                    rows.append((stream, n, got[0], got[1].shape[1], got[1].shape[0], got[1].tobytes(), None))
+                if len(rows) == 64:
+                    yield _batch(rows, arrow)
+                    rows = []
+            if rows:
+                yield _batch(rows, arrow)
+
+    out = segments.repartition("stream_id").sortWithinPartitions("stream_id", "seg_no").select("stream_id", "pts90k", "seg_type", "body").mapInArrow(run, schemas.struct(schemas.SHOWN))
+    if not permissive:
+        return out
+    # frames before the damage go too
+    bad = out.where("error is not null").select("stream_id").distinct()
+    return out.where("error is not null").unionByName(out.where("error is null").join(bad, "stream_id", "left_anti"))
 
 
 def shown_cues(shown: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphreel.functions import exprs as E
 
@@ -55,12 +56,12 @@ def content_text(content: Any) -> str:
     return "<nil>" if content is None else str(content)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def envelope_udf(s: pd.Series) -> pd.Series:
     return s.map(envelope_text, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_udf(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
