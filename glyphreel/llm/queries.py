@@ -13,6 +13,7 @@ from glyphreel.llm.langid import op5_langid
 from glyphreel.llm.media import op6_media
 from glyphreel.llm.pii import op7_pii
 from glyphreel.llm.simhash import op4_simhash
+from glyphreel.llm.suffixes import op8_suffix_dedup
 from glyphreel.llm.toxicity import op1_toxicity
 from glyphreel.llm.urlrules import op2_url_filter
 
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_langid": op5_langid,
     "op6_media": op6_media,
     "op7_pii": op7_pii,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_html_text": op9_html_text,
     "op10_bpe": op10_bpe,
 }
