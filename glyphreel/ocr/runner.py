@@ -80,7 +80,7 @@ def run_folder(spark: SparkSession, folder: str, config_path: str, strict: bool
     path = os.path.join(folder, "mapping.json")
     if not os.path.exists(path):
         raise files.InputError(f"mapping.json not found in {folder}")
-    items = files.read_mapping(spark, path).cache()
+    items = files.read_mapping(spark, path)
     sheets = items.groupBy("sheet").agg(F.count(F.lit(1)).cast("int").alias("expected"))
     n = sheets.count()
     if not n:
