@@ -11,10 +11,12 @@ before any is moved, without losing a match:
 3. Each string of WIDTH bytes has an anchor, its K-gram of least hash. Equal strings have equal anchors, so a string
    whose anchor occurs in one document only is unique. Blocks exchange sorted, packed anchor hashes by ranges of the hash
    (a few bytes for each 12 of text) and learn which of theirs are shared.
-4. Only suffixes that remain, cut to WIDTH bytes, one of each kind for a block, are range-partitioned by sampled
+4. Pieces that hold strings with a shared anchor and aren't settled are cut finer and compared like the large ones; of
+   the strings still left the blocks exchange packed hashes as they did of anchors.
+5. Only suffixes that remain, cut to WIDTH bytes, one of each kind for a block, are range-partitioned by sampled
    splitters. Each bucket sorts its suffixes by multikey quicksort on words of eight bytes and compares neighbours. Equal
    suffixes share their leading bytes, so a splitter never parts them and no match crosses a bucket's boundary.
-5. Each block marks its texts by the answers and drops the covered bytes.
+6. Each block marks its texts by the answers and drops the covered bytes.
 
 A key that a third of all documents hold reaches a bucket once for each block, not once for each document.
 
@@ -29,6 +31,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +47,9 @@ K = 28
 SPAN = WIDTH - K + 1
 #: A piece ends where this many low bits of the K-gram's hash are zero: 512 bytes on average.
 CUT_BITS = 9
+#: The same for the finer pieces: 32 bytes.
+FINE_BITS = 5
 BLOCK_BYTES = 12 << 20
-#: Suffixes that one bucket sorts, about.
-BUCKET_ROWS = 400_000
 LAST = (1 << 63) - 1
 
 U = np.uint64
@@ -56,6 +59,7 @@ _BASE = U(0x9E3779B97F4A7C15)
 _SECOND = _RANDOM.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * U(2) + U(1)
 
 
+@lru_cache(maxsize=None)
 def power(n: int) -> np.uint64:
     return U(pow(int(_BASE), n, 1 << 64))
 
@@ -101,11 +105,15 @@ def anchors(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(h: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """(first, end) of the starting places of strings, cut by content; n: how many there are."""
-    cuts = np.flatnonzero((h[:n] & U((1 << CUT_BITS) - 1)) == 0)
-    edges = [0, *cuts[cuts > 0].tolist(), n]
-    return list(zip(edges[:-1], edges[1:], strict=True))
+def pieces(h: np.ndarray, n: int, bits: int = CUT_BITS, wanted: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(first, end) of the starting places of strings, cut by content; n: how many there are. wanted: only pieces that hold one of these."""
+    cuts = np.flatnonzero((h[:n] & U((1 << bits) - 1)) == 0)
+    edges = np.concatenate(([0], cuts[cuts > 0], [n]))
+    first, end = edges[:-1], edges[1:]
+    if wanted is not None:
+        some = np.add.reduceat(wanted, first, dtype=np.int64) > 0
+        first, end = first[some], end[some]
+    return list(zip(first.tolist(), end.tolist(), strict=True))
 
 
 def piece_hashes(raw: bytes, cut: list[tuple[int, int]]) -> np.ndarray:
@@ -173,39 +181,34 @@ class Sender:
         if not self.anchor:
             return
         values, counts = np.unique(np.concatenate(self.anchor), return_counts=True)
-        line = (values << U(1)) | (counts > 1)
-        q = (values >> U(48 - self.bits)).astype(np.int64)
+        for k, data in by_range(values, counts > 1, self.bits):
+            yield k, block, "a", data
         h = np.concatenate([x for x, _ in self.piece])
         ords = np.repeat([o for _, o in self.piece], [len(x) for x, _ in self.piece])
-        h, ords, many = least_of_equal(h, ords, np.zeros(len(ords), bool))
-        hq = (h[:, 0] >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
-        for k in range(1 << self.bits):
-            a, b = np.searchsorted(q, [k, k + 1])
-            if b > a:
-                yield k, block, "a", pack(line[a:b])
-            a, b = np.searchsorted(hq, [k, k + 1])
-            if b > a:
-                yield k, block, "p", pack_rows(h[a:b], ords[a:b], many[a:b])
+        for k, kind, data in rows_by_range(h, ords, np.zeros(len(ords), bool), self.bits, "p"):
+            yield k, block, kind, data
 
 
 def exchange(t: pa.Table) -> pa.Table:
     """Answers of one range of hashes: to each block its anchors that are shared and its pieces that are, with the least id."""
     rows = t.to_pylist()
     out: list[tuple] = []
-    lines = [(r["block"], unpack(r["data"])) for r in rows if r["kind"] == "a"]
-    if lines:
-        values, counts = np.unique(np.concatenate([v >> U(1) for _, v in lines]), return_counts=True)
-        own = np.unique(np.concatenate([v[(v & U(1)) == 1] >> U(1) for _, v in lines]))
-        shared = np.union1d(values[counts > 1], own)
-        for block, v in lines:
-            got = np.intersect1d(v >> U(1), shared, assume_unique=True)
-            if len(got):
-                out.append((block, "a", pack(got)))
-    parts = [(r["block"], *unpack_rows(r["data"])) for r in rows if r["kind"] == "p"]
-    if parts:
-        h = np.concatenate([p[1] for p in parts])
-        blocks = np.repeat([p[0] for p in parts], [len(p[2]) for p in parts])
-        out += answers(h, np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]), blocks, "p")
+    for kind in "as":
+        lines = [(r["block"], unpack(r["data"])) for r in rows if r["kind"] == kind]
+        if lines:
+            values, counts = np.unique(np.concatenate([v >> U(1) for _, v in lines]), return_counts=True)
+            own = np.unique(np.concatenate([v[(v & U(1)) == 1] >> U(1) for _, v in lines]))
+            shared = np.union1d(values[counts > 1], own)
+            for block, v in lines:
+                got = np.intersect1d(v >> U(1), shared, assume_unique=True)
+                if len(got):
+                    out.append((block, kind, pack(got)))
+    for kind in "pf":
+        parts = [(r["block"], *unpack_rows(r["data"])) for r in rows if r["kind"] == kind]
+        if parts:
+            h = np.concatenate([p[1] for p in parts])
+            blocks = np.repeat([p[0] for p in parts], [len(p[2]) for p in parts])
+            out += answers(h, np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]), blocks, kind)
     return pa.table({"block": pa.array([r[0] for r in out], pa.int32()), "kind": pa.array([r[1] for r in out], pa.string()), "data": pa.array([r[2] for r in out], pa.binary())})
 
 
@@ -247,17 +250,22 @@ class Lookup:
         least = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
         order = np.lexsort((h[:, 1], h[:, 0]))
         self.h, self.least = h[order], least[order]
+        same = np.diff(self.h[:, 0]) == 0
+        # how many hashes of equal first half stand side by side at most
+        self.steps, run = 1, same
+        while run.any():
+            self.steps, run = self.steps + 1, run[1:] & same[: len(run) - 1]
 
     def first_half(self) -> np.ndarray:
         return self.h[:, 0]
 
-    def smaller(self, h: np.ndarray, ord_: int) -> np.ndarray:
-        """Whether a document below ord_ holds each hash."""
+    def smaller(self, h: np.ndarray, ord_: int | np.ndarray) -> np.ndarray:
+        """Whether a document below ord_ (one, or one for each) holds each hash."""
         out = np.zeros(len(h), bool)
         if not len(self.h) or not len(h):
             return out
         at = np.searchsorted(self.h[:, 0], h[:, 0])
-        for _ in range(4):  # hashes of equal first half stand side by side
+        for _ in range(self.steps):  # hashes of equal first half stand side by side
             ok = at < len(self.h)
             at_ = np.minimum(at, len(self.h) - 1)
             match = ok & (self.h[at_] == h).all(axis=1)
@@ -275,10 +283,12 @@ def marked_pieces(raw: bytes, h: np.ndarray, n: int, known: Lookup, ord_: int) -
 
 def string_hashes(rows: np.ndarray) -> np.ndarray:
     """128 bits of strings, one a row: the rolling hash, and another by other factors."""
-    first = np.zeros(len(rows), U)
+    first, second = np.zeros(len(rows), U), np.zeros(len(rows), U)
     for i in range(WIDTH):
-        first = first * _BASE + _BYTE[rows[:, i]]
-    second = (_BYTE[rows ^ np.uint8(0x5A)] * _SECOND[None, :]).sum(axis=1, dtype=U)
+        column = np.ascontiguousarray(rows[:, i])
+        first *= _BASE
+        first += _BYTE[column]
+        second += _BYTE[column ^ np.uint8(0x5A)] * _SECOND[i]
     return np.stack([mixed(first), mixed(second)], axis=1)
 
 
@@ -286,18 +296,113 @@ def windows_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(data, WIDTH)[places]
 
 
-def candidates(raw: bytes, ord_: int, shared: np.ndarray, known: Lookup) -> np.ndarray:
-    """Starting places that need a closer look."""
+def open_places(raw: bytes, ord_: int, shared: np.ndarray, known: Lookup) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of K-grams, and which starting places have a shared anchor and aren't settled by a large piece."""
     n = len(raw) - WIDTH + 1
-    if n <= 0 or not len(shared):
-        return np.zeros(0, np.int64)
     h = rolling(np.frombuffer(raw, np.uint8), K)
     places = anchors(h)
     new = np.concatenate(([True], np.diff(places) > 0))
-    heads = h[places[new]] >> U(16)
-    at = np.minimum(np.searchsorted(shared, heads), len(shared) - 1)
-    is_shared = (shared[at] == heads)[np.cumsum(new) - 1]
-    return np.flatnonzero(is_shared & ~marked_pieces(raw, h, n, known, ord_))
+    is_shared = member(h[places[new]] >> U(16), shared)[np.cumsum(new) - 1]
+    return h, is_shared & ~marked_pieces(raw, h, n, known, ord_)
+
+
+def settle_fine(raw: bytes, h: np.ndarray, open_: np.ndarray, fine: Lookup, ord_: int) -> None:
+    """Closes the places in fine pieces that a smaller document has."""
+    cut = pieces(h, len(open_), FINE_BITS, open_)
+    if cut:
+        for (a, b), found in zip(cut, fine.smaller(piece_hashes(raw, cut), ord_).tolist(), strict=True):
+            if found:
+                open_[a:b] = False
+
+
+def candidates(raw: bytes, ord_: int, shared: np.ndarray, known: Lookup, fine: Lookup) -> tuple[np.ndarray, np.ndarray]:
+    """Starting places that need a closer look, and 48 bits of the hash of the string at each."""
+    n = len(raw) - WIDTH + 1
+    if n <= 0 or not len(shared):
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    h, open_ = open_places(raw, ord_, shared, known)
+    if open_.any():
+        settle_fine(raw, h, open_, fine, ord_)
+    at = np.flatnonzero(open_)
+    return at, rolling(np.frombuffer(raw, np.uint8), WIDTH)[at] >> U(16) if len(at) else np.zeros(0, U)
+
+
+def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which values the sorted array holds."""
+    if not len(of):
+        return np.zeros(len(values), bool)
+    return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
+
+
+def told_values(messages: pa.Table, kind: str) -> np.ndarray:
+    return np.sort(np.concatenate([unpack(d) for d in told(messages, kind)] or [np.zeros(0, U)]))
+
+
+def by_range(values: np.ndarray, many: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
+    """Packed 48-bit values with a flag, for each range of the values."""
+    line = (values << U(1)) | many
+    edges = np.searchsorted(values >> U(48 - bits), np.arange((1 << bits) + 1, dtype=U)) if bits else np.array([0, len(values)])
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if b > a:
+            yield k, pack(line[a:b])
+
+
+def message_table(rows: list[tuple], block: pa.Table) -> pa.Table:
+    """rows: range, kind, data."""
+    number = block.column("block")[0].as_py() if block.num_rows else 0
+    return pa.table({"q": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([number] * len(rows), pa.int32()), "kind": pa.array([r[1] for r in rows], pa.string()), "data": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def rows_by_range(h: np.ndarray, ords: np.ndarray, many: np.ndarray, bits: int, kind: str) -> list[tuple]:
+    h, ords, many = least_of_equal(h, ords, many)
+    edges = np.searchsorted(h[:, 0] >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U)) if bits else np.array([0, len(h)])
+    return [(k, kind, pack_rows(h[a:b], ords[a:b], many[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+
+
+def tell_fine(bits: int):
+    def run(block: pa.Table, messages: pa.Table) -> pa.Table:
+        """The block's fine pieces that hold open places."""
+        shared, known = told_values(messages, "a"), Lookup(told(messages, "p"))
+        hashes, ords = [np.zeros((0, 2), U)], [np.zeros(0, np.int64)]
+        for ord_, _, raw in texts_of(block):
+            if len(raw) >= WIDTH and len(shared):
+                h, open_ = open_places(raw, ord_, shared, known)
+                cut = pieces(h, len(open_), FINE_BITS, open_) if open_.any() else []
+                if cut:
+                    hashes.append(piece_hashes(raw, cut))
+                    ords.append(np.full(len(cut), ord_))
+        h, o = np.concatenate(hashes), np.concatenate(ords)
+        return message_table(rows_by_range(h, o, np.zeros(len(o), bool), bits, "f"), block)
+
+    return run
+
+
+def tell_strings(bits: int):
+    def run(block: pa.Table, messages: pa.Table) -> pa.Table:
+        """Hashes of the block's strings that need a closer look."""
+        shared, known, fine = told_values(messages, "a"), Lookup(told(messages, "p")), Lookup(told(messages, "f"))
+        values, many, new, size = np.zeros(0, U), np.zeros(0, bool), [], 0
+
+        def gather() -> tuple[np.ndarray, np.ndarray]:
+            # a value that two documents, or one and what was gathered before, have counts as held by many
+            v, at, n = np.unique(np.concatenate([values, *new]), return_inverse=True, return_counts=True)
+            flags = n > 1
+            flags[at[: len(values)]] |= many
+            return v, flags
+
+        for ord_, _, raw in texts_of(block):
+            got = np.unique(candidates(raw, ord_, shared, known, fine)[1])
+            if len(got):
+                new.append(got)
+                size += len(got)
+            if size >= 5 * GATHERED:
+                values, many = gather()
+                new, size = [], 0
+        if new:
+            values, many = gather()
+        return message_table([(k, "s", data) for k, data in by_range(values, many, bits)], block)
+
+    return run
 
 
 def multikey_sort(rows: np.ndarray) -> np.ndarray:
@@ -330,14 +435,27 @@ def multikey_sort(rows: np.ndarray) -> np.ndarray:
     return order
 
 
-def sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def leading(rows: np.ndarray) -> np.ndarray:
+    """The first eight bytes as numbers, in the order of the strings."""
+    return np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(U)
+
+
+def pack_suffixes(rows: np.ndarray, ords: np.ndarray, many: np.ndarray) -> bytes:
+    """Sorted suffixes with ids; neighbours begin alike, which packs well."""
+    return struct.pack("<q", len(ords)) + zlib.compress(rows.tobytes() + ords.astype("<i8").tobytes() + many.astype(np.uint8).tobytes(), 1)
+
+
+def unpack_suffixes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    (n,) = struct.unpack_from("<q", data)
+    raw = zlib.decompress(data[8:])
+    return np.frombuffer(raw, np.uint8, n * WIDTH).reshape(n, WIDTH), np.frombuffer(raw, "<i8", n, n * WIDTH), np.frombuffer(raw, np.uint8, n, n * (WIDTH + 8)).astype(bool)
+
+
+def sort_bucket(t: pa.Table) -> pa.Table:
     """Suffixes of one range: sorted, equal neighbours brought together, answers to their blocks."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    raw = b"".join(x for b in got for x in b.column(0).to_pylist())
-    rows = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
-    blocks, ords, many = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in (1, 2, 3))
+    parts = [unpack_suffixes(d) for d in t.column("data").to_pylist()]
+    rows, ords, many = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    blocks = np.repeat(t.column("block").to_numpy(), [len(p[1]) for p in parts])
     order = multikey_sort(rows)
     rows, blocks, ords, many = rows[order], blocks[order], ords[order], many[order]
     new = np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))
@@ -346,16 +464,26 @@ def sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shared = np.logical_or.reduceat(many, at) | (np.maximum.reduceat(ords, at) != least)
     group = np.cumsum(new) - 1
     keep = np.flatnonzero(shared[group])
-    if not len(keep):
-        return
-    hashes = string_hashes(rows[at[shared]])
-    rank = np.cumsum(shared) - 1
-    keep = keep[np.argsort(blocks[keep], kind="stable")]
     out = []
-    for part in np.split(keep, np.flatnonzero(np.diff(blocks[keep])) + 1):
-        g = group[part]
-        out.append((int(blocks[part[0]]), "w", pack_rows(hashes[rank[g]], least[g])))
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.binary())], names=["block", "kind", "data"])
+    if len(keep):
+        hashes = string_hashes(rows[at[shared]])
+        rank = np.cumsum(shared) - 1
+        keep = keep[np.argsort(blocks[keep], kind="stable")]
+        for part in np.split(keep, np.flatnonzero(np.diff(blocks[keep])) + 1):
+            g = group[part]
+            out.append((int(blocks[part[0]]), "w", pack_rows(hashes[rank[g]], least[g])))
+    return pa.table({"block": pa.array([r[0] for r in out], pa.int32()), "kind": pa.array([r[1] for r in out], pa.string()), "data": pa.array([r[2] for r in out], pa.binary())})
+
+
+def sampled_splitters(docs: DataFrame, buckets: int, sample: int = 4096) -> np.ndarray:
+    """Leading bytes that part the corpus's suffixes into about equal ranges, from a suffix of each of `sample` texts at most."""
+    if buckets < 2:
+        return np.zeros(0, U)
+    n = F.length("text")
+    at = F.pmod(F.xxhash64("doc_id", n), F.greatest(n, F.lit(1)).cast("long")).cast("int") + 1
+    rows = docs.where(n > 0).select(F.xxhash64("doc_id").alias("k"), F.encode(F.substring(F.col("text"), at, F.lit(8)), "UTF-8").alias("lead")).orderBy("k").limit(sample).select("lead").collect()
+    lead = np.sort([int.from_bytes(bytes(r[0])[:8].ljust(8, b"\0"), "big") for r in rows] or [0]).astype(U)
+    return np.unique(lead[np.arange(1, buckets) * len(lead) // buckets])
 
 
 def told(messages: pa.Table, kind: str) -> list[bytes]:
@@ -367,69 +495,111 @@ def texts_of(block: pa.Table) -> Iterator[tuple]:
         yield block.column("ord")[i].as_py(), block.column("doc_id")[i].as_py(), (block.column("text")[i].as_py() or "").encode("utf-8", "replace")
 
 
-def suffixes(block: pa.Table, messages: pa.Table) -> pa.Table:
-    """The block's suffixes that need a closer look, one of each kind with its least id."""
-    shared = np.sort(np.concatenate([unpack(d) for d in told(messages, "a")] or [np.zeros(0, U)]))
-    known = Lookup(told(messages, "p"))
-    rows, ords = [], []
-    for ord_, _, raw in texts_of(block):
-        at = candidates(raw, ord_, shared, known)
-        if len(at):
-            rows.append(windows_at(np.frombuffer(raw, np.uint8), at))
-            ords.append(np.full(len(at), ord_))
-    number = block.column("block")[0].as_py() if block.num_rows else 0
-    if rows:
-        r, o = np.concatenate(rows), np.concatenate(ords)
-        h = string_hashes(r)
-        order = np.lexsort((o, h[:, 1], h[:, 0]))
-        r, o, h = r[order], o[order], h[order]
-        at = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]).any(axis=1))))
-        many = o[np.append(at[1:], len(o)) - 1] != o[at]
-        r, o = np.ascontiguousarray(r[at]), o[at]
-    else:
-        r, o, many = np.zeros((0, WIDTH), np.uint8), np.zeros(0, np.int64), np.zeros(0, bool)
-    flat = pa.Array.from_buffers(pa.binary(WIDTH), len(o), [None, pa.py_buffer(r.tobytes())]).cast(pa.binary())
-    return pa.table({"suffix": flat, "block": pa.array(np.full(len(o), number), pa.int32()), "ord": pa.array(o, pa.int64()), "many": pa.array(many, pa.bool_())})
+def one_of_each(rows: np.ndarray, ords: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal strings together, with their least id and whether more than one id holds them."""
+    h = string_hashes(rows)
+    order = np.lexsort((ords, h[:, 1], h[:, 0]))
+    h, ords, many = h[order], ords[order], many[order]
+    at = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]).any(axis=1))))
+    many = np.logical_or.reduceat(many, at) | (ords[np.append(at[1:], len(ords)) - 1] != ords[at])
+    return rows[order[at]], ords[at], many
+
+
+#: Suffixes gathered before equal ones are brought together.
+GATHERED = 200_000
+
+
+def tell_suffixes(splitters: np.ndarray):
+    def run(block: pa.Table, messages: pa.Table) -> pa.Table:
+        """The block's suffixes that need a closer look, one of each kind with its least id, by range."""
+        shared, strings, known, fine = told_values(messages, "a"), told_values(messages, "s"), Lookup(told(messages, "p")), Lookup(told(messages, "f"))
+        kept = (np.zeros((0, WIDTH), np.uint8), np.zeros(0, np.int64), np.zeros(0, bool))
+        new: list[tuple] = []
+        size = 0
+
+        def gather() -> tuple:
+            return one_of_each(*(np.concatenate([kept[i], *(x[i] for x in new)]) for i in range(3)))
+
+        for ord_, _, raw in texts_of(block):
+            at, values = candidates(raw, ord_, shared, known, fine)
+            at = at[member(values, strings)]
+            if len(at):
+                new.append((windows_at(np.frombuffer(raw, np.uint8), at), np.full(len(at), ord_), np.zeros(len(at), bool)))
+                size += len(at)
+            if size >= GATHERED:
+                kept, new, size = gather(), [], 0
+        if new:
+            kept = gather()
+        order = multikey_sort(kept[0])
+        rows, ords, many = (x[order] for x in kept)
+        q = np.searchsorted(splitters, leading(rows), side="right")
+        edges = np.searchsorted(q, np.arange(len(splitters) + 2))
+        return message_table([(k, "x", pack_suffixes(rows[a:b], ords[a:b], many[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a], block)
+
+    return run
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def removed(raw: bytes, ord_: int, known: Lookup, strings: Lookup, bitmap: np.ndarray | None) -> np.ndarray | None:
-    """Covered bytes of a text, or None if there are none."""
+def settled(raw: bytes, ord_: int, known: Lookup, fine: Lookup, bitmap: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starting places that pieces settle, and those whose string may be among the answers."""
     n = len(raw) - WIDTH + 1
-    if n <= 0:
-        return None
     data = np.frombuffer(raw, np.uint8)
-    starts = marked_pieces(raw, rolling(data, K), n, known, ord_)
-    if bitmap is not None:
-        first = rolling(data, WIDTH)
-        maybe = np.flatnonzero(bitmap[(first >> U(40)).astype(np.int64)] & ~starts)
-        if len(maybe):
-            starts[maybe] = strings.smaller(string_hashes(windows_at(data, maybe)), ord_)
+    h = rolling(data, K)
+    starts = marked_pieces(raw, h, n, known, ord_)
+    if starts.all():
+        return starts, np.zeros(0, np.int64)
+    if len(fine.h):
+        left = ~starts
+        settle_fine(raw, h, left, fine, ord_)
+        starts = ~left
+    return starts, np.flatnonzero(bitmap[(rolling(data, WIDTH) >> U(40)).astype(np.int64)] & ~starts) if bitmap is not None else np.zeros(0, np.int64)
+
+
+def outcome(raw: bytes, starts: np.ndarray) -> tuple[int, int, int, str]:
     if not starts.any():
-        return None
+        return len(raw), 0, 0, hashlib.sha256(raw).hexdigest()
     edge = np.zeros(len(raw) + 1, np.int32)
-    edge[:n] += starts
-    edge[WIDTH : WIDTH + n] -= starts
-    return np.cumsum(edge[:-1]) > 0
+    edge[: len(starts)] += starts
+    edge[WIDTH : WIDTH + len(starts)] -= starts
+    gone = np.cumsum(edge[:-1]) > 0
+    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+    return len(raw), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()
 
 
 def strip(block: pa.Table, messages: pa.Table) -> pa.Table:
-    known, strings = Lookup(told(messages, "p")), Lookup(told(messages, "w"))
+    known, fine, strings = (Lookup(told(messages, k)) for k in "pfw")
     bitmap = None
     if len(strings.h):
         bitmap = np.zeros(1 << 24, bool)
         bitmap[(strings.first_half() >> U(40)).astype(np.int64)] = True
-    ids, out = [], []
+    ids: list = []
+    out: list[tuple] = []
+    waiting: list[tuple] = []
+    size = 0
+
+    def finish() -> None:
+        """Looks up the strings of the texts that wait, all at once."""
+        places = [w[3] for w in waiting]
+        if sum(map(len, places)):
+            rows = np.concatenate([windows_at(np.frombuffer(w[1], np.uint8), w[3]) for w in waiting if len(w[3])])
+            found = strings.smaller(string_hashes(rows), np.repeat([w[0] for w in waiting], [len(p) for p in places]))
+            for w, part in zip(waiting, np.split(found, np.cumsum([len(p) for p in places])[:-1]), strict=True):
+                w[2][w[3]] = part
+        out.extend(outcome(raw, starts) for _, raw, starts, _ in waiting)
+        waiting.clear()
+
     for ord_, doc_id, raw in texts_of(block):
-        gone = removed(raw, ord_, known, strings, bitmap)
         ids.append(doc_id)
-        if gone is None:
-            out.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
-        else:
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            out.append((len(raw), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
+        starts, maybe = settled(raw, ord_, known, fine, bitmap) if len(raw) >= WIDTH else (np.zeros(0, bool), np.zeros(0, np.int64))
+        waiting.append((ord_, raw, starts, maybe))
+        size += len(maybe) + len(raw) // 16
+        if size >= GATHERED:
+            finish()
+            size = 0
+    if waiting:
+        finish()
     cols = {"doc_id": pa.array(ids, pa.int64())}
     for i, (name, kind) in enumerate((("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()))):
         cols[name] = pa.array([r[i] for r in out], kind)
@@ -447,6 +617,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, block_bytes: int = BLOC
     rows.repartition(n_blocks, "block").sortWithinPartitions("block").write.option("compression", "zstd").bucketBy(n_blocks, "block").sortBy("block").saveAsTable(name)
     try:
         blocks = spark.table(name)
+        splitters = sampled_splitters(blocks, n_blocks)
         arrow = to_arrow_schema(T._parse_datatype_string(MESSAGE))
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,12 +639,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, block_bytes: int = BLOC
 
         messages = blocks.select("block", "ord", "text").mapInArrow(send, T._parse_datatype_string(MESSAGE))
         first = checkpointed(spark, messages.groupBy("q").applyInArrow(exchange, "block int, kind string, data binary"))
-        found = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(suffixes, "suffix binary, block int, ord long, many boolean")
-        found = checkpointed(spark, found)
-        buckets = max(1, -(-found.count() // BUCKET_ROWS))
-        # Spark samples the suffixes for its splitters
-        second = found.repartitionByRange(buckets, "suffix").mapInArrow(sort_bucket, "block int, kind string, data binary")
-        told_ = first.where("kind = 'p'").unionByName(second)
+        for tell in (tell_fine, tell_strings):
+            told_now = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(tell(bits), MESSAGE)
+            answered = checkpointed(spark, told_now.groupBy("q").applyInArrow(exchange, "block int, kind string, data binary"))
+            first = first.unionByName(answered)
+        found = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(tell_suffixes(splitters), MESSAGE)
+        second = found.groupBy("q").applyInArrow(sort_bucket, "block int, kind string, data binary")
+        told_ = first.where("kind in ('p', 'f')").unionByName(second)
         done = blocks.groupBy("block").cogroup(told_.groupBy("block")).applyInArrow(strip, "doc_id long, " + RESULT)
         return checkpointed(spark, done.where("n_bytes is not null"))
     finally:
