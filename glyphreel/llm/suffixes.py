@@ -69,24 +69,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(29))
 
 
-def rolling(data: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all strings of n bytes, by doubling."""
-    size = len(data) - n + 1
-    if size <= 0:
-        return np.zeros(0, U)
-    out, done, step, now = None, 0, 1, _BYTE[data]
-    left = n
-    while left:
-        if left & 1:
-            # the parts stand from short to long, each behind those before it
-            part = now[done : done + size]
-            out = part.copy() if out is None else out * power(step) + part
-            done += step
-        left >>= 1
-        if left:
-            now = now[:-step] * power(step) + now[step:]
-            step *= 2
-    return mixed(out)
+def rolling(data: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """Hashes of all strings of n bytes for each n, by doubling; the sizes share the doubled parts."""
+    doubled = [_BYTE[data]]
+    while 2 << len(doubled) - 1 <= max(sizes) and len(doubled[-1]) > 1 << len(doubled) - 1:
+        step = 1 << len(doubled) - 1
+        doubled.append(doubled[-1][:-step] * power(step) + doubled[-1][step:])
+    found = []
+    for n in sizes:
+        count, done, out = len(data) - n + 1, 0, None
+        if count <= 0:
+            found.append(np.zeros(0, U))
+            continue
+        for k, part in enumerate(doubled):
+            if n >> k & 1:
+                # the parts stand from short to long, each behind those before it
+                part = part[done : done + count]
+                out = part if out is None else out * power(1 << k) + part
+                done += 1 << k
+        found.append(mixed(out))
+    return found
 
 
 def anchors(h: np.ndarray) -> np.ndarray:
@@ -105,22 +107,86 @@ def anchors(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(h: np.ndarray, n: int, bits: int = CUT_BITS, wanted: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """(first, end) of the starting places of strings, cut by content; n: how many there are. wanted: only pieces that hold one of these."""
-    cuts = np.flatnonzero((h[:n] & U((1 << bits) - 1)) == 0)
-    edges = np.concatenate(([0], cuts[cuts > 0], [n]))
-    first, end = edges[:-1], edges[1:]
-    if wanted is not None:
-        some = np.add.reduceat(wanted, first, dtype=np.int64) > 0
-        first, end = first[some], end[some]
-    return list(zip(first.tolist(), end.tolist(), strict=True))
-
-
-def piece_hashes(raw: bytes, cut: list[tuple[int, int]]) -> np.ndarray:
-    """(pieces, 2): 128 bits of each piece with the bytes that its last string needs."""
-    from xxhash import xxh3_128_digest
-
-    return np.frombuffer(b"".join(xxh3_128_digest(raw[a : b + WIDTH - 1]) for a, b in cut), "<u8").reshape(-1, 2)
+class Group:
+    """Texts end to end, with the hashes of their K-grams (h) and strings (w); what crosses texts is not valid."""
+
+    def __init__(self, texts: list[tuple[int, bytes]]):
+        self.ords = np.array([o for o, _ in texts])
+        self.data = np.frombuffer(b"".join(t for _, t in texts), np.uint8)
+        size = np.array([len(t) for _, t in texts])
+        self.begin = np.cumsum(size) - size
+        self.count = size - WIDTH + 1
+        self.h, self.w = rolling(self.data, K, WIDTH)
+        edge = np.zeros(len(self.w) + 1, np.int8)
+        edge[self.begin] = 1
+        edge[self.begin + self.count] -= 1
+        self.valid = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+        self.turns = edge[:-1] != 0
+
+    def text_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, places, side="right") - 1
+
+    def anchor_starts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where a run of strings of one anchor begins, and the anchor's 48 bits."""
+        places = anchors(self.h)
+        new = np.concatenate(([True], places[1:] != places[:-1])) | self.turns
+        first = np.flatnonzero(new)
+        return first, self.h[places[first]] >> U(16)
+
+    def edges(self, bits: int) -> np.ndarray:
+        """Where pieces begin, by content and at the ends of texts, and the end of all."""
+        cut = (self.h[: len(self.w)] & U((1 << bits) - 1)) == 0
+        cut |= self.turns
+        cut[0] = True
+        return np.append(np.flatnonzero(cut), len(self.w))
+
+    def pieces(self, bits: int, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Edges of pieces, which of them hold open places, and hashes and ids of those."""
+        edges = self.edges(bits)
+        some = np.add.reduceat(open_, edges[:-1], dtype=np.int64) > 0
+        return edges, some, piece_hashes(self.w, edges)[some], self.ords[self.text_of(edges[:-1][some])]
+
+    def unsettled(self, bits: int, open_: np.ndarray, known: Lookup) -> np.ndarray:
+        """The open places outside of pieces that a smaller document has."""
+        edges, some, hashes, ords = self.pieces(bits, open_)
+        some[some] = known.smaller(hashes, ords)
+        return open_ & ~np.repeat(some, np.diff(edges))
+
+
+def groups(texts: Iterator[tuple[int, bytes]], size: int = 1 << 17) -> Iterator[Group]:
+    """Texts that are long enough to hold a string, some at a time."""
+    got, total = [], 0
+    for ord_, raw in texts:
+        if len(raw) >= WIDTH:
+            got.append((ord_, raw))
+            total += len(raw)
+            if total >= size:
+                yield Group(got)
+                got, total = [], 0
+    if got:
+        yield Group(got)
+
+
+def by_text(values: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and whether more than one text holds them."""
+    order = np.argsort(values, kind="stable")
+    values, texts = values[order], texts[order]
+    at = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    if not len(at):
+        return values, np.zeros(0, bool)
+    return values[at], np.maximum.reduceat(texts, at) != np.minimum.reduceat(texts, at)
+
+
+def piece_hashes(w: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """(pieces, 2): 128 bits of each piece with the bytes that its last string needs.
+
+    w holds the hashes of the strings that start in it; one half sums them, the other weighs them by place.
+    """
+    first, size = edges[:-1], np.diff(edges)
+    place = (np.arange(len(w)) - np.repeat(first, size)).astype(U)
+    out = np.stack([np.add.reduceat(w, first), np.add.reduceat(w * (place * _BASE + U(1)), first)], axis=1)
+    out += size.astype(U)[:, None] * _SECOND[:2]
+    return mixed(out)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -159,34 +225,26 @@ def least_of_equal(h: np.ndarray, ords: np.ndarray, many: np.ndarray) -> tuple[n
 MESSAGE = "q int, block int, kind string, data binary"
 
 
-class Sender:
-    """Gathers what a block has to say and splits it by ranges of the hash."""
-
-    def __init__(self, bits: int):
-        self.bits = bits
-        self.anchor: list[np.ndarray] = []
-        self.piece: list[tuple[np.ndarray, int]] = []
-
-    def add(self, ord_: int, raw: bytes) -> None:
-        n = len(raw) - WIDTH + 1
-        if n <= 0:
-            return
-        h = rolling(np.frombuffer(raw, np.uint8), K)
-        places = anchors(h)
-        kept = places[np.concatenate(([True], np.diff(places) > 0))]
-        self.anchor.append(np.unique(h[kept] >> U(16)))
-        self.piece.append((piece_hashes(raw, pieces(h, n)), ord_))
-
-    def rows(self, block: int) -> Iterator[tuple]:
-        if not self.anchor:
-            return
-        values, counts = np.unique(np.concatenate(self.anchor), return_counts=True)
-        for k, data in by_range(values, counts > 1, self.bits):
-            yield k, block, "a", data
-        h = np.concatenate([x for x, _ in self.piece])
-        ords = np.repeat([o for _, o in self.piece], [len(x) for x, _ in self.piece])
-        for k, kind, data in rows_by_range(h, ords, np.zeros(len(ords), bool), self.bits, "p"):
-            yield k, block, kind, data
+def first_messages(block: int, texts: list[tuple[int, bytes]], bits: int) -> Iterator[tuple]:
+    """Anchors and large pieces of a block by ranges of their hash: range, block, kind, data."""
+    heads, owners, hashes, ords, n = [], [], [], [], 0
+    for g in groups(iter(texts)):
+        first, head = g.anchor_starts()
+        ok = g.valid[first]
+        heads.append(head[ok])
+        owners.append(g.text_of(first[ok]) + n)
+        n += len(g.ords)
+        _, _, h, o = g.pieces(CUT_BITS, g.valid)
+        hashes.append(h)
+        ords.append(o)
+    if not heads:
+        return
+    values, many = by_text(np.concatenate(heads), np.concatenate(owners))
+    for k, data in by_range(values, many, bits):
+        yield k, block, "a", data
+    o = np.concatenate(ords)
+    for k, kind, data in rows_by_range(np.concatenate(hashes), o, np.zeros(len(o), bool), bits, "p"):
+        yield k, block, kind, data
 
 
 def exchange(t: pa.Table) -> pa.Table:
@@ -274,13 +332,6 @@ class Lookup:
         return out
 
 
-def marked_pieces(raw: bytes, h: np.ndarray, n: int, known: Lookup, ord_: int) -> np.ndarray:
-    """Which starting places lie in a piece that a smaller document has."""
-    cut = pieces(h, n)
-    flags = known.smaller(piece_hashes(raw, cut), ord_)
-    return np.repeat(flags, [b - a for a, b in cut])
-
-
 def string_hashes(rows: np.ndarray) -> np.ndarray:
     """128 bits of strings, one a row: the rolling hash, and another by other factors."""
     first, second = np.zeros(len(rows), U), np.zeros(len(rows), U)
@@ -296,35 +347,17 @@ def windows_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(data, WIDTH)[places]
 
 
-def open_places(raw: bytes, ord_: int, shared: np.ndarray, known: Lookup) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of K-grams, and which starting places have a shared anchor and aren't settled by a large piece."""
-    n = len(raw) - WIDTH + 1
-    h = rolling(np.frombuffer(raw, np.uint8), K)
-    places = anchors(h)
-    new = np.concatenate(([True], np.diff(places) > 0))
-    is_shared = member(h[places[new]] >> U(16), shared)[np.cumsum(new) - 1]
-    return h, is_shared & ~marked_pieces(raw, h, n, known, ord_)
-
+def open_places(g: Group, shared: np.ndarray, known: Lookup) -> np.ndarray:
+    """Which starting places have a shared anchor and aren't settled by a large piece."""
+    first, heads = g.anchor_starts()
+    open_ = np.repeat(member(heads, shared), np.diff(np.append(first, len(g.w)))) & g.valid
+    return g.unsettled(CUT_BITS, open_, known) if open_.any() else open_
 
-def settle_fine(raw: bytes, h: np.ndarray, open_: np.ndarray, fine: Lookup, ord_: int) -> None:
-    """Closes the places in fine pieces that a smaller document has."""
-    cut = pieces(h, len(open_), FINE_BITS, open_)
-    if cut:
-        for (a, b), found in zip(cut, fine.smaller(piece_hashes(raw, cut), ord_).tolist(), strict=True):
-            if found:
-                open_[a:b] = False
 
-
-def candidates(raw: bytes, ord_: int, shared: np.ndarray, known: Lookup, fine: Lookup) -> tuple[np.ndarray, np.ndarray]:
-    """Starting places that need a closer look, and 48 bits of the hash of the string at each."""
-    n = len(raw) - WIDTH + 1
-    if n <= 0 or not len(shared):
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    h, open_ = open_places(raw, ord_, shared, known)
-    if open_.any():
-        settle_fine(raw, h, open_, fine, ord_)
-    at = np.flatnonzero(open_)
-    return at, rolling(np.frombuffer(raw, np.uint8), WIDTH)[at] >> U(16) if len(at) else np.zeros(0, U)
+def candidates(g: Group, shared: np.ndarray, known: Lookup, fine: Lookup) -> np.ndarray:
+    """Starting places that need a closer look."""
+    open_ = open_places(g, shared, known)
+    return np.flatnonzero(g.unsettled(FINE_BITS, open_, fine) if open_.any() else open_)
 
 
 def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -364,13 +397,12 @@ def tell_fine(bits: int):
         """The block's fine pieces that hold open places."""
         shared, known = told_values(messages, "a"), Lookup(told(messages, "p"))
         hashes, ords = [np.zeros((0, 2), U)], [np.zeros(0, np.int64)]
-        for ord_, _, raw in texts_of(block):
-            if len(raw) >= WIDTH and len(shared):
-                h, open_ = open_places(raw, ord_, shared, known)
-                cut = pieces(h, len(open_), FINE_BITS, open_) if open_.any() else []
-                if cut:
-                    hashes.append(piece_hashes(raw, cut))
-                    ords.append(np.full(len(cut), ord_))
+        for g in groups(texts_of(block)):
+            open_ = open_places(g, shared, known)
+            if open_.any():
+                _, _, h, o = g.pieces(FINE_BITS, open_)
+                hashes.append(h)
+                ords.append(o)
         h, o = np.concatenate(hashes), np.concatenate(ords)
         return message_table(rows_by_range(h, o, np.zeros(len(o), bool), bits, "f"), block)
 
@@ -381,25 +413,13 @@ def tell_strings(bits: int):
     def run(block: pa.Table, messages: pa.Table) -> pa.Table:
         """Hashes of the block's strings that need a closer look."""
         shared, known, fine = told_values(messages, "a"), Lookup(told(messages, "p")), Lookup(told(messages, "f"))
-        values, many, new, size = np.zeros(0, U), np.zeros(0, bool), [], 0
-
-        def gather() -> tuple[np.ndarray, np.ndarray]:
-            # a value that two documents, or one and what was gathered before, have counts as held by many
-            v, at, n = np.unique(np.concatenate([values, *new]), return_inverse=True, return_counts=True)
-            flags = n > 1
-            flags[at[: len(values)]] |= many
-            return v, flags
-
-        for ord_, _, raw in texts_of(block):
-            got = np.unique(candidates(raw, ord_, shared, known, fine)[1])
-            if len(got):
-                new.append(got)
-                size += len(got)
-            if size >= 5 * GATHERED:
-                values, many = gather()
-                new, size = [], 0
-        if new:
-            values, many = gather()
+        new, owners, n = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0
+        for g in groups(texts_of(block)):
+            at = candidates(g, shared, known, fine)
+            new.append(g.w[at] >> U(16))
+            owners.append(g.text_of(at) + n)
+            n += len(g.ords)
+        values, many = by_text(np.concatenate(new), np.concatenate(owners))
         return message_table([(k, "s", data) for k, data in by_range(values, many, bits)], block)
 
     return run
@@ -490,19 +510,18 @@ def told(messages: pa.Table, kind: str) -> list[bytes]:
     return [d for k, d in zip(messages.column("kind").to_pylist(), messages.column("data").to_pylist(), strict=True) if k == kind]
 
 
-def texts_of(block: pa.Table) -> Iterator[tuple]:
-    for i in range(block.num_rows):
-        yield block.column("ord")[i].as_py(), block.column("doc_id")[i].as_py(), (block.column("text")[i].as_py() or "").encode("utf-8", "replace")
+def texts_of(block: pa.Table) -> Iterator[tuple[int, bytes]]:
+    for text, ord_ in zip(block.column("text").cast(pa.binary()), block.column("ord").to_pylist(), strict=True):
+        yield ord_, text.as_py() or b""
 
 
-def one_of_each(rows: np.ndarray, ords: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def one_of_each(rows: np.ndarray, hashes: np.ndarray, ords: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
     """Equal strings together, with their least id and whether more than one id holds them."""
-    h = string_hashes(rows)
-    order = np.lexsort((ords, h[:, 1], h[:, 0]))
-    h, ords, many = h[order], ords[order], many[order]
-    at = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]).any(axis=1))))
+    order = np.lexsort((ords, hashes))
+    rows, hashes, ords, many = rows[order], hashes[order], ords[order], many[order]
+    at = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1]).any(axis=1))))
     many = np.logical_or.reduceat(many, at) | (ords[np.append(at[1:], len(ords)) - 1] != ords[at])
-    return rows[order[at]], ords[at], many
+    return rows[at], hashes[at], ords[at], many
 
 
 #: Suffixes gathered before equal ones are brought together.
@@ -513,25 +532,25 @@ def tell_suffixes(splitters: np.ndarray):
     def run(block: pa.Table, messages: pa.Table) -> pa.Table:
         """The block's suffixes that need a closer look, one of each kind with its least id, by range."""
         shared, strings, known, fine = told_values(messages, "a"), told_values(messages, "s"), Lookup(told(messages, "p")), Lookup(told(messages, "f"))
-        kept = (np.zeros((0, WIDTH), np.uint8), np.zeros(0, np.int64), np.zeros(0, bool))
+        kept = (np.zeros((0, WIDTH), np.uint8), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, bool))
         new: list[tuple] = []
         size = 0
 
         def gather() -> tuple:
-            return one_of_each(*(np.concatenate([kept[i], *(x[i] for x in new)]) for i in range(3)))
+            return one_of_each(*(np.concatenate([kept[i], *(x[i] for x in new)]) for i in range(4)))
 
-        for ord_, _, raw in texts_of(block):
-            at, values = candidates(raw, ord_, shared, known, fine)
-            at = at[member(values, strings)]
+        for g in groups(texts_of(block)):
+            at = candidates(g, shared, known, fine)
+            at = at[member(g.w[at] >> U(16), strings)]
             if len(at):
-                new.append((windows_at(np.frombuffer(raw, np.uint8), at), np.full(len(at), ord_), np.zeros(len(at), bool)))
+                new.append((windows_at(g.data, at), g.w[at], g.ords[g.text_of(at)], np.zeros(len(at), bool)))
                 size += len(at)
             if size >= GATHERED:
                 kept, new, size = gather(), [], 0
         if new:
             kept = gather()
         order = multikey_sort(kept[0])
-        rows, ords, many = (x[order] for x in kept)
+        rows, _, ords, many = (x[order] for x in kept)
         q = np.searchsorted(splitters, leading(rows), side="right")
         edges = np.searchsorted(q, np.arange(len(splitters) + 2))
         return message_table([(k, "x", pack_suffixes(rows[a:b], ords[a:b], many[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a], block)
@@ -542,21 +561,6 @@ def tell_suffixes(splitters: np.ndarray):
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def settled(raw: bytes, ord_: int, known: Lookup, fine: Lookup, bitmap: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Starting places that pieces settle, and those whose string may be among the answers."""
-    n = len(raw) - WIDTH + 1
-    data = np.frombuffer(raw, np.uint8)
-    h = rolling(data, K)
-    starts = marked_pieces(raw, h, n, known, ord_)
-    if starts.all():
-        return starts, np.zeros(0, np.int64)
-    if len(fine.h):
-        left = ~starts
-        settle_fine(raw, h, left, fine, ord_)
-        starts = ~left
-    return starts, np.flatnonzero(bitmap[(rolling(data, WIDTH) >> U(40)).astype(np.int64)] & ~starts) if bitmap is not None else np.zeros(0, np.int64)
-
-
 def outcome(raw: bytes, starts: np.ndarray) -> tuple[int, int, int, str]:
     if not starts.any():
         return len(raw), 0, 0, hashlib.sha256(raw).hexdigest()
@@ -574,32 +578,20 @@ def strip(block: pa.Table, messages: pa.Table) -> pa.Table:
     if len(strings.h):
         bitmap = np.zeros(1 << 24, bool)
         bitmap[(strings.first_half() >> U(40)).astype(np.int64)] = True
-    ids: list = []
-    out: list[tuple] = []
-    waiting: list[tuple] = []
-    size = 0
-
-    def finish() -> None:
-        """Looks up the strings of the texts that wait, all at once."""
-        places = [w[3] for w in waiting]
-        if sum(map(len, places)):
-            rows = np.concatenate([windows_at(np.frombuffer(w[1], np.uint8), w[3]) for w in waiting if len(w[3])])
-            found = strings.smaller(string_hashes(rows), np.repeat([w[0] for w in waiting], [len(p) for p in places]))
-            for w, part in zip(waiting, np.split(found, np.cumsum([len(p) for p in places])[:-1]), strict=True):
-                w[2][w[3]] = part
-        out.extend(outcome(raw, starts) for _, raw, starts, _ in waiting)
-        waiting.clear()
-
-    for ord_, doc_id, raw in texts_of(block):
-        ids.append(doc_id)
-        starts, maybe = settled(raw, ord_, known, fine, bitmap) if len(raw) >= WIDTH else (np.zeros(0, bool), np.zeros(0, np.int64))
-        waiting.append((ord_, raw, starts, maybe))
-        size += len(maybe) + len(raw) // 16
-        if size >= GATHERED:
-            finish()
-            size = 0
-    if waiting:
-        finish()
+    found: list[tuple] = []
+    for g in groups(texts_of(block)):
+        left = g.unsettled(CUT_BITS, g.valid, known)
+        left = g.unsettled(FINE_BITS, left, fine) if len(fine.h) else left
+        starts = g.valid & ~left
+        if bitmap is not None:
+            at = np.flatnonzero(bitmap[(g.w >> U(40)).astype(np.int64)] & left)
+            starts[at] = strings.smaller(string_hashes(windows_at(g.data, at)), g.ords[g.text_of(at)])
+        raw = g.data.tobytes()
+        found += [outcome(raw[b : b + n + WIDTH - 1], starts[b : b + n]) for b, n in zip(g.begin.tolist(), g.count.tolist(), strict=True)]
+    # texts too short for a group lose nothing
+    later = iter(found)
+    out = [next(later) if len(raw) >= WIDTH else outcome(raw, np.zeros(0, bool)) for _, raw in texts_of(block)]
+    ids = block.column("doc_id").to_pylist()
     cols = {"doc_id": pa.array(ids, pa.int64())}
     for i, (name, kind) in enumerate((("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()))):
         cols[name] = pa.array([r[i] for r in out], kind)
@@ -621,20 +613,20 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, block_bytes: int = BLOC
         arrow = to_arrow_schema(T._parse_datatype_string(MESSAGE))
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, sender = None, Sender(bits)
+            now, texts = None, []
 
             def batch() -> pa.RecordBatch:
-                got = list(sender.rows(now))
+                got = list(first_messages(now, texts, bits))
                 return pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
             for b in batches:
-                for block, ord_, text in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                    if block.as_py() != now:
-                        if now is not None:
+                for block, ord_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
+                    if block != now:
+                        if texts:
                             yield batch()
-                        now, sender = block.as_py(), Sender(bits)
-                    sender.add(ord_.as_py(), (text.as_py() or "").encode("utf-8", "replace"))
-            if now is not None:
+                        now, texts = block, []
+                    texts.append((ord_, text.as_py() or b""))
+            if texts:
                 yield batch()
 
         messages = blocks.select("block", "ord", "text").mapInArrow(send, T._parse_datatype_string(MESSAGE))
