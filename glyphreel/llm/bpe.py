@@ -3,7 +3,7 @@
 A text is cut by the pattern; each match is merged on its own. The tree's leaf i holds the rank of the pair that
 begins at byte i together with i, so the root is the leftmost pair of minimum rank. A merge changes three leaves (the
 pair itself, the pair before it and the one swallowed) in logarithmic time, so a match of a million bytes is no
-special case. Merged matches are remembered in a table of bounded size in each task.
+special case. Merged matches are remembered in a table of bounded size in each worker.
 
 Cases: null is read as the empty text, which has no tokens; its digests are those of no bytes. Texts of any length
 are encoded whole. Lone surrogates become U+FFFD, as in the library this follows.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from glyphreel.llm.common import map_text, replace_text, table
 
 FILE = "byte_bpe_multi_50k.tiktoken"
-#: Matches remembered by a task at most.
+#: Matches remembered by a worker at most.
 REMEMBERED = 600_000
 NONE = 1 << 62
 
@@ -120,8 +120,9 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@lru_cache(maxsize=2)
 def codec(file: str | None = None, pattern: str | None = None) -> Codec:
-    """file: a rank file that every executor can open; by default the installed public one."""
+    """file: a rank file that every executor can open; by default the installed public one. Kept by a worker from task to task."""
     import public_tokenizers
 
     return Codec(file or public_tokenizers.path(FILE), pattern or public_tokenizers.PATTERN)
