@@ -65,8 +65,13 @@ def power(n: int) -> np.uint64:
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
-    return x ^ (x >> U(29))
+    """Spreads the bits of x, in place."""
+    spare = x >> U(32)
+    x ^= spare
+    x *= U(0xD6E8FEB86659FD93)
+    np.right_shift(x, U(29), out=spare)
+    x ^= spare
+    return x
 
 
 def rolling(data: np.ndarray, *sizes: int) -> list[np.ndarray]:
@@ -74,7 +79,9 @@ def rolling(data: np.ndarray, *sizes: int) -> list[np.ndarray]:
     doubled = [_BYTE[data]]
     while 2 << len(doubled) - 1 <= max(sizes) and len(doubled[-1]) > 1 << len(doubled) - 1:
         step = 1 << len(doubled) - 1
-        doubled.append(doubled[-1][:-step] * power(step) + doubled[-1][step:])
+        longer = doubled[-1][:-step] * power(step)
+        longer += doubled[-1][step:]
+        doubled.append(longer)
     found = []
     for n in sizes:
         count, done, out = len(data) - n + 1, 0, None
@@ -85,7 +92,11 @@ def rolling(data: np.ndarray, *sizes: int) -> list[np.ndarray]:
             if n >> k & 1:
                 # the parts stand from short to long, each behind those before it
                 part = part[done : done + count]
-                out = part if out is None else out * power(1 << k) + part
+                if out is None:
+                    out = part.copy()
+                else:
+                    out *= power(1 << k)
+                    out += part
                 done += 1 << k
         found.append(mixed(out))
     return found
@@ -144,7 +155,7 @@ class Group:
         """Edges of pieces, which of them hold open places, and hashes and ids of those."""
         edges = self.edges(bits)
         some = np.add.reduceat(open_, edges[:-1], dtype=np.int64) > 0
-        return edges, some, piece_hashes(self.w, edges)[some], self.ords[self.text_of(edges[:-1][some])]
+        return edges, some, piece_hashes(self.w, self.h, edges)[some], self.ords[self.text_of(edges[:-1][some])]
 
     def unsettled(self, bits: int, open_: np.ndarray, known: Lookup) -> np.ndarray:
         """The open places outside of pieces that a smaller document has."""
@@ -177,15 +188,17 @@ def by_text(values: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return values[at], np.maximum.reduceat(texts, at) != np.minimum.reduceat(texts, at)
 
 
-def piece_hashes(w: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """(pieces, 2): 128 bits of each piece with the bytes that its last string needs.
+def piece_hashes(w: np.ndarray, h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """(pieces, 2): 128 bits of the strings that start in each piece: sums over hashes of strings and of their K-grams.
 
-    w holds the hashes of the strings that start in it; one half sums them, the other weighs them by place.
+    Pieces of the same strings are as good as equal here, whatever the strings' order.
     """
-    first, size = edges[:-1], np.diff(edges)
-    place = (np.arange(len(w)) - np.repeat(first, size)).astype(U)
-    out = np.stack([np.add.reduceat(w, first), np.add.reduceat(w * (place * _BASE + U(1)), first)], axis=1)
-    out += size.astype(U)[:, None] * _SECOND[:2]
+    first = edges[:-1]
+    other = h[: len(w)] ^ (w >> U(7))
+    other *= _SECOND[0]
+    out = np.empty((len(first), 2), U)
+    out[:, 0], out[:, 1] = np.add.reduceat(w, first), np.add.reduceat(other, first)
+    out += np.diff(edges).astype(U)[:, None] * _SECOND[1:3]
     return mixed(out)
 
 
