@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from glyphreel import schemas
 from glyphreel.codecs import glyphs, pixels, png
 from glyphreel.operators import relational as R
+from glyphreel.operators.frames import batched
 
 LAYOUTS = ("digits", "no-row-index")
 
@@ -22,13 +26,14 @@ def paste(rows: list[tuple[np.ndarray, int, int]], width: int, height: int, gap:
     """rows: image, x, y in order. Black, each image over it, a row of digits or of white between or below."""
     canvas = np.zeros((height, width, 4), np.uint8)
     canvas[..., 3] = 255
+    between = glyphs.separator_row(width, gap) if layout == "digits" else 255
     for i, (img, x, y) in enumerate(rows):
         pixels.blend_at(canvas, img, x, y)
         a = y + img.shape[0]
         if layout == "digits":
-            canvas[a : a + gap] = glyphs.separator_row(width, gap)
+            canvas[a : a + gap] = between
         elif i + 1 < len(rows):
-            canvas[a : a + gap] = 255
+            canvas[a : a + gap] = between
     return canvas
 
 
@@ -39,14 +44,32 @@ def compose(frames: DataFrame, limit: int = 6, layout: str = "digits", separator
     placed = R.cue_offsets(placements(frames, limit), ["stream_id", "sheet_no"], ["cue_index"], layout, separator)
     wide = placed.join(frames.select("stream_id", "cue_index", "rgba"), ["stream_id", "cue_index"])
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("position_in_sheet")
-        if (df["width"] <= 0).any() or (df["height"] <= 0).any():
-            raise ValueError(f"{df['stream_id'].iloc[0]}: invalid frame size on {df['sheet'].iloc[0]}")
-        gap = max(separator, int(df["height"].min())) if layout == "digits" else separator
-        w, h = int(df["width"].max()), int(df["height"].sum()) + gap * (len(df) - (layout != "digits"))
-        rows = [(np.frombuffer(r.rgba, np.uint8).reshape(r.height, r.width, 4), int(r.x), int(r.y)) for r in df.itertuples()]
-        sheet = paste(rows, w, h, gap, layout)
-        return pd.DataFrame([(df["stream_id"].iloc[0], df["sheet"].iloc[0], w, h, png.encode(sheet), df["cue_index"].tolist())], columns=["stream_id", "sheet", "width", "height", "png", "cue_indexes"])
-
-    return wide.groupBy("stream_id", "sheet_no").applyInPandas(run, schemas.SHEET)
+    schema = schemas.struct(schemas.SHEET)
+    arrow = to_arrow_schema(schema)
+
+    def draw(cues: list[tuple]) -> tuple:
+        stream, sheet = cues[0][0], cues[0][1]
+        if any(c[4] <= 0 or c[5] <= 0 for c in cues):
+            raise ValueError(f"{stream}: invalid frame size on {sheet}")
+        gap = max(separator, min(c[5] for c in cues)) if layout == "digits" else separator
+        w, h = max(c[4] for c in cues), sum(c[5] for c in cues) + gap * (len(cues) - (layout != "digits"))
+        rows = [(np.frombuffer(c[8], np.uint8).reshape(c[5], c[4], 4), c[6], c[7]) for c in cues]
+        return stream, sheet, w, h, png.encode(paste(rows, w, h, gap, layout)), [c[3] for c in cues]
+
+    def sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held: list[tuple] = []
+        for batch in batches:
+            for cue in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and cue[:2] != held[0][:2]:
+                    yield draw(held)
+                    held = []
+                held.append(cue)
+        if held:
+            yield draw(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched(sheets(batches), arrow)
+
+    # one sheet's frames are held at a time
+    ordered = wide.repartition("stream_id", "sheet_no").sortWithinPartitions("stream_id", "sheet_no", "position_in_sheet")
+    return ordered.select("stream_id", "sheet", "position_in_sheet", "cue_index", "width", "height", "x", "y", "rgba").mapInArrow(run, schema)

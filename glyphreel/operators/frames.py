@@ -53,6 +53,19 @@ def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
 
+def batched(rows: Iterator[tuple], arrow: pa.Schema, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows together up to some bytes of pixels: neither a batch for each frame nor all frames in one."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, bytes)) + 64
+        if size >= limit:
+            yield _batch(held, arrow)
+            held, size = [], 0
+    if held:
+        yield _batch(held, arrow)
+
+
 def pgs_frames(files: DataFrame, permissive: bool = False) -> DataFrame:
     """Split and fold in one task for each stream, without a shuffle."""
     arrow = to_arrow_schema(schemas.struct(schemas.SHOWN))
@@ -198,11 +211,14 @@ def preprocess(frames: DataFrame, max_width: int = 1080, padding: int = 10, forc
     schema = schemas.struct(schemas.FRAME)
     arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for stream, cue, w, h, raw in zip(*(batch.column(n).to_pylist() for n in ("stream_id", "cue_index", "width", "height", "rgba")), strict=True):
                 img = pixels.preprocess(np.frombuffer(raw, np.uint8).reshape(h, w, 4), max_width, padding, force_white, solid_fallback, straight_alpha)
-                yield _batch([(stream, cue, img.shape[1], img.shape[0], img.tobytes())], arrow)
+                yield stream, cue, img.shape[1], img.shape[0], img.tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched(rows(batches), arrow)
 
     return frames.select("stream_id", "cue_index", "width", "height", "rgba").mapInArrow(run, schema)
 
@@ -212,9 +228,12 @@ def png_column(frames: DataFrame) -> DataFrame:
     schema = schemas.struct("stream_id string, cue_index int, png binary")
     arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for stream, cue, w, h, raw in zip(*(batch.column(n).to_pylist() for n in ("stream_id", "cue_index", "width", "height", "rgba")), strict=True):
-                yield _batch([(stream, cue, png.encode(np.frombuffer(raw, np.uint8).reshape(h, w, 4)))], arrow)
+                yield stream, cue, png.encode(np.frombuffer(raw, np.uint8).reshape(h, w, 4))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched(rows(batches), arrow)
 
     return frames.select("stream_id", "cue_index", "width", "height", "rgba").mapInArrow(run, schema)
