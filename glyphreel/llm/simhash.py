@@ -210,99 +210,176 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# The pipeline's stage: five-word shingles, similarity of 0.8 or more.
+# The pipeline's stage: five-word shingles, of which near copies share 0.8 or more.
 WIDE_SHINGLE = 5
 #: Distance of fingerprints of texts that share 0.8 of their shingles: 64 * acos(0.89) / pi is 9.7; chance adds to it.
 WIDE_RADIUS = 18
+#: Shared part of the distinct shingles of two texts, counted on the whole sets.
+SIMILAR = 0.8
+#: Parts of the range of hashes (2 ** 7); the least shingle in each stands in the sketch, which only proposes pairs.
 SKETCH = 128
-#: Of the shares that SKETCH values estimate (standard error 0.035 at 0.8; exact for up to SKETCH shingles).
-SIMILAR = 0.78
-SHARDS = 4
+#: Pairs whose sketches agree in less are not counted: at 0.8 about 1 of 700,000 pairs of long texts (binomial).
+LOOSE = 0.62
+SHARDS = 8
 #: Rows of a shard that meet in one task.
 PIECE = 1024
 _MIX = [np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF | 1) for k in range(1, SHARDS + 1)]
+_EDGES = np.arange(SKETCH, dtype="<u8") << np.uint64(57)
 
 
-def signature(text: str | None) -> tuple[bytes, int, list[int], bytes]:
-    """Digest of the words, fingerprint, the shingles' least values in SHARDS orders, the SKETCH least in another."""
+def digest_of(words: list[bytes]) -> bytes:
     from xxhash import xxh128_digest
 
+    return xxh128_digest(b" ".join(words), SEED)
+
+
+def signature(text: str | None) -> tuple[bytes, int, int, list[int], bytes]:
+    """Digest of the words, fingerprint, number of distinct shingles, their least values in SHARDS orders, sketch."""
     words = words_of(text)
     hashes = shingle_hashes(words, WIDE_SHINGLE)
-    digest, fp = xxh128_digest(b" ".join(words), SEED), signed(majority(hashes))
+    digest, fp, sketch = digest_of(words), signed(majority(hashes)), np.zeros(SKETCH, np.uint8)
     if not len(hashes):
-        return digest, fp, [0] * SHARDS, b""
+        return digest, fp, 0, [0] * SHARDS, sketch.tobytes()
+    hashes = np.unique(hashes)
     least = []
     for m in _MIX:
         x = hashes * m
         x ^= x >> np.uint64(29)
         least.append(signed(int((x * np.uint64(0xD6E8FEB86659FD93)).min())))
-    top = np.unique((hashes >> np.uint64(32)).astype("<u4"))
-    return digest, fp, least, top[:SKETCH].tobytes()
+    at = np.searchsorted(hashes, _EDGES)
+    full = np.append(at[1:], len(hashes)) > at
+    sketch[full] = 1 + hashes[at[full]] % np.uint64(255)  # 0 is an empty part
+    return digest, fp, len(hashes), least, sketch.tobytes()
 
 
-def shared(a: bytes, b: bytes) -> float:
-    """Estimate of |A and B| / |A or B| from the least values of both."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    both = np.union1d(x, y)[: max(SKETCH if len(x) == SKETCH or len(y) == SKETCH else len(x) + len(y), 1)]
-    return float((np.isin(both, x) & np.isin(both, y)).mean())
+def shingle_set(text: str | None) -> tuple[bytes, bytes]:
+    """Digest of the words, all distinct shingles in order."""
+    words = words_of(text)
+    return digest_of(words), np.unique(shingle_hashes(words, WIDE_SHINGLE)).tobytes()
 
 
-def wide_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard: links between documents whose fingerprints are near in the tree and whose sketches agree."""
-    key, tree, root, held = None, BKTree(WIDE_RADIUS), [], []
-    owner: list[list[int]] = []
+def estimates(sketches: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Estimates of |A and B| / |A or B| of the rows of sketches and x, over the parts that either has."""
+    same = np.count_nonzero(sketches == x, axis=1)
+    none = 0 if x.all() else np.count_nonzero(sketches | x == 0, axis=1)
+    return (same - none) / np.maximum(SKETCH - none, 1)
+
+
+def share(a: np.ndarray, b: np.ndarray) -> float:
+    """|A and B| / |A or B| of two sets in order."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return float(len(b) == 0)
+    both = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+    return both / (len(a) + len(b) - both)
+
 
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+class Shard:
+    """Rows of a shard by number of shingles; candidates(i): earlier rows that may share SIMILAR of i's shingles."""
 
+    def __init__(self, sizes: list[int], sketches: list[bytes]):
+        self.sizes = np.array(sizes, np.int64)
+        self.sketches = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
+
+    def candidates(self, i: int) -> np.ndarray:
+        # a set of less than 0.8 of another's size can't share 0.8 with it
+        first = int(np.searchsorted(5 * self.sizes[:i], 4 * self.sizes[i]))
+        return first + np.flatnonzero(estimates(self.sketches[first:i], self.sketches[i]) >= LOOSE)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list, list[list]]]:
+    """Key and columns of each run of rows that are equal in the first `keys` columns."""
+    key, held = None, []
     for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+            if row[:keys] != key:
+                if held:
+                    yield key, list(zip(*held, strict=True))
+                key, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield key, list(zip(*held, strict=True))
+
+
+def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (i, least, lo, hi, n, doc_id, digest, fp, sketch) sorted by shard and n: those with a candidate there."""
+    for (i, least, *_), (sizes, docs, digests, fps, sketches) in runs(batches, 4):
+        shard = Shard(sizes, sketches)
+        hit = np.zeros(len(docs), bool)
+        for k in range(1, len(docs)):
+            near = shard.candidates(k)
+            hit[near] = True
+            hit[k] |= len(near) > 0
+        at = np.flatnonzero(hit).tolist()
+        if at:
+            columns = [[i] * len(at), [least] * len(at), *([c[k] for k in at] for c in (sizes, docs, digests, fps, sketches))]
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["i", "least", "n", "doc_id", "digest", "fp", "sketch"])
+
+
+def wide_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (i, least, lo, hi, n, doc_id, fp, sketch, shingles) sorted by shard and n: links between documents that
+    share SIMILAR of their shingles, a spanning forest of each shard. The tree and the sketches propose, the sets decide.
+    """
+    for _, (sizes, docs, fps, sketches, sets) in runs(batches, 4):
+        shard, tree, owner, place = Shard(sizes, sketches), BKTree(WIDE_RADIUS), [], {}
+        held = [np.frombuffer(x, "<u8") for x in sets]
+        root = list(range(len(docs)))
         out: tuple[list[int], list[int]] = ([], [])
-        for *k, doc, fp, sketch in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
-            if k != key:
-                key, tree, root, held, owner = k, BKTree(WIDE_RADIUS), [], [], []
-            before, me = len(tree.values), len(held)
-            held.append((doc, sketch))
-            root.append(me)
+
+        def top(i: int, root: list[int] = root) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for me, fp in enumerate(fps):
             near = tree.add(fp & 0xFFFFFFFFFFFFFFFF)
-            if len(tree.values) > before:
+            if fp not in place:
+                place[fp] = len(owner)
                 owner.append([])
-            for node in near:
-                for j in owner[node]:
-                    a, b = top(me), top(j)
-                    if a != b and shared(sketch, held[j][1]) >= SIMILAR:
-                        root[a] = b
-                        out[0].append(doc)
-                        out[1].append(held[j][0])
-            node = before if len(tree.values) > before else next(n for n in near if tree.values[n] == fp & 0xFFFFFFFFFFFFFFFF)
-            owner[node].append(me)
+            close = set(shard.candidates(me).tolist())
+            for j in (j for node in near for j in owner[node] if j in close):
+                a, b = top(me), top(j)
+                if a != b and share(held[me], held[j]) >= SIMILAR:
+                    root[a] = b
+                    out[0].append(docs[me])
+                    out[1].append(docs[j])
+            owner[place[fp]].append(me)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["u", "v"])
 
 
+def by_shard(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """i, least, lo, hi, n, columns of the rows that meet others, sorted by shard and n; many are dealt in pieces."""
+    sizes = rows.groupBy("i", "least").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > 1)
+    pieces = F.ceil(F.col("_rows") / PIECE).cast("int")
+    placed = rows.join(sizes, ["i", "least"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), pieces).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    placed = placed.select("i", "least", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "n", *columns)
+    keys = ["i", "least", "lo", "hi"]
+    return placed.repartition(*keys).sortWithinPartitions(*keys, "n", "doc_id")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """node, root: documents (by doc_id) of a group of near copies of more than one text or row, and the smallest of each.
 
-    Texts of equal words are brought together first; one of each goes on. Two texts can meet in four shards, each named
-    by a least shingle, which near copies have in common with a chance of 0.8 or more: of pairs at 0.8, 0.2 ** 4 or
-    one in 600 never meet, of closer ones fewer. A shard of many texts is dealt in pieces to tasks for each pair of pieces.
+    Texts of equal words are brought together first; one of each goes on. Two texts can meet in SHARDS shards, each named
+    by a least shingle, which near copies have in common with a chance of 0.8 or more: of pairs at 0.8, 0.2 ** 8 or
+    one in 390,000 never meet, of closer ones fewer. A shard of many texts is dealt in pieces to tasks for each pair of
+    pieces. Sketches say which texts have a candidate in a shard; only these are read again and bring all their shingles
+    to it, on which every link is decided.
     """
-    signed_docs = map_text(docs.where(F.col("doc_id").isNotNull()), ["doc_id"], "text", lambda: signature, "digest binary, fp long, least array<long>, sketch binary")
-    signed_docs = checkpointed(spark, signed_docs.withColumn("doc_id", F.col("doc_id").cast("long")))
+    base = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed_docs = checkpointed(spark, map_text(base, ["doc_id"], "text", lambda: signature, "digest binary, fp long, n int, least array<long>, sketch binary"))
     reps = checkpointed(spark, signed_docs.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     texts = signed_docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    dealt = texts.select(F.posexplode("least").alias("i", "least"), "doc_id", "fp", "sketch")
-    sizes = dealt.groupBy("i", "least").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    pieces = F.ceil(F.col("n") / PIECE).cast("int")
-    placed = dealt.join(sizes, ["i", "least"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), pieces).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    placed = placed.select("i", "least", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc_id", "fp", "sketch")
-    keys = ["i", "least", "lo", "hi"]
-    found = placed.repartition(*keys).sortWithinPartitions(*keys, "fp", "doc_id").mapInArrow(wide_forest, "u long, v long")
+    dealt = texts.select(F.posexplode("least").alias("i", "least"), "n", "doc_id", "digest", "fp", "sketch")
+    met = by_shard(dealt, ["doc_id", "digest", "fp", "sketch"]).mapInArrow(proposed, "i int, least long, n int, doc_id long, digest binary, fp long, sketch binary")
+    met = checkpointed(spark, met.dropDuplicates(["i", "least", "doc_id"]))
+    again = base.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = map_text(again, ["doc_id"], "text", lambda: shingle_set, "digest binary, shingles binary").dropDuplicates(["doc_id", "digest"])
+    found = by_shard(met.join(sets, ["doc_id", "digest"]), ["doc_id", "fp", "sketch", "shingles"]).mapInArrow(wide_forest, "u long, v long")
     roots = checkpointed(spark, components(spark, found))
     # every row of the copies of a text follows the text's first
     copies = signed_docs.select("doc_id", "digest").join(reps, "digest").join(roots, F.col("rep") == F.col("node"), "left")

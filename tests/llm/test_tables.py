@@ -187,6 +187,22 @@ def test_near_copies(spark):
     assert all(close[i] for i in got)  # nothing goes that has no near copy
 
 
+def links_of(spark, pairs):
+    """For each pair of texts, whether near_copies puts it together (and nothing else)."""
+    root = {x.node: x.root for x in simhash.near_copies(spark, docs_of(spark, [t for p in pairs for t in p])).collect()}
+    assert all(k == v + 1 and v % 2 == 0 for k, v in root.items())
+    return [2 * i + 1 in root for i in range(len(pairs))]
+
+
+def test_near_copies_at_the_bound(spark):
+    """400 shared shingles of 500 (0.8) are a near copy, of 502 not: sets larger than the sketch are counted whole."""
+    pairs = []
+    for i in range(120):
+        common, tail = " ".join(f"c{i}x{k}" for k in range(404)), 50 + i % 2
+        pairs.append(tuple(common + "".join(f" {side}{i}x{k}" for k in range(tail)) for side in "ab"))
+    assert links_of(spark, pairs) == [i % 2 == 0 for i in range(120)]
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 30, 3000])
 def test_repeats(spark, block_bytes):
     r = random.Random(7)
