@@ -18,6 +18,7 @@ each give a row. Extra columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -234,13 +235,12 @@ def digest_of(words: list[bytes]) -> bytes:
 
 
 def signature(text: str | None) -> tuple[bytes, int, int, list[int], bytes]:
-    """Digest of the words, fingerprint, number of distinct shingles, their least values in SHARDS orders, sketch."""
+    """Digest of the words; of the distinct shingles fingerprint, number, least values in SHARDS orders, sketch."""
     words = words_of(text)
-    hashes = shingle_hashes(words, WIDE_SHINGLE)
+    hashes = np.unique(shingle_hashes(words, WIDE_SHINGLE))
     digest, fp, sketch = digest_of(words), signed(majority(hashes)), np.zeros(SKETCH, np.uint8)
     if not len(hashes):
         return digest, fp, 0, [0] * SHARDS, sketch.tobytes()
-    hashes = np.unique(hashes)
     least = []
     for m in _MIX:
         x = hashes * m
@@ -276,16 +276,20 @@ def share(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class Shard:
-    """Rows of a shard by number of shingles; candidates(i): earlier rows that may share SIMILAR of i's shingles."""
+    """Rows of a shard by number of shingles; candidates(i): earlier rows that may share SIMILAR of i's shingles.
 
-    def __init__(self, sizes: list[int], sketches: list[bytes]):
-        self.sizes = np.array(sizes, np.int64)
+    Either will do: sketches that agree in LOOSE, or fingerprints within WIDE_RADIUS, so a pair is lost if both fail.
+    """
+
+    def __init__(self, sizes: list[int], fps: list[int], sketches: list[bytes]):
+        self.sizes, self.fps = np.array(sizes, np.int64), np.array(fps, np.int64).view(np.uint64)
         self.sketches = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
 
     def candidates(self, i: int) -> np.ndarray:
         # a set of less than 0.8 of another's size can't share 0.8 with it
         first = int(np.searchsorted(5 * self.sizes[:i], 4 * self.sizes[i]))
-        return first + np.flatnonzero(estimates(self.sketches[first:i], self.sketches[i]) >= LOOSE)
+        near = np.bitwise_count(self.fps[first:i] ^ self.fps[i]) <= WIDE_RADIUS
+        return first + np.flatnonzero(near | (estimates(self.sketches[first:i], self.sketches[i]) >= LOOSE))
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list, list[list]]]:
@@ -303,12 +307,16 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list, l
 
 
 def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (i, least, lo, hi, n, doc_id, digest, fp, sketch) sorted by shard and n: those with a candidate there."""
-    for (i, least, *_), (sizes, docs, digests, fps, sketches) in runs(batches, 4):
-        shard = Shard(sizes, sketches)
+    """Rows (i, least, lo, hi, n, doc_id, digest, fp, sketch, orders) sorted by shard and n: those with a candidate.
+
+    A pair counts in the first shard that it shares (orders: all least values), where it is decided; not in later ones.
+    """
+    for (i, least, *_), (sizes, docs, digests, fps, sketches, orders) in runs(batches, 4):
+        shard, earlier = Shard(sizes, fps, sketches), np.array(orders, np.int64)[:, :i]
         hit = np.zeros(len(docs), bool)
         for k in range(1, len(docs)):
             near = shard.candidates(k)
+            near = near[~(earlier[near] == earlier[k]).any(axis=1)]
             hit[near] = True
             hit[k] |= len(near) > 0
         at = np.flatnonzero(hit).tolist()
@@ -320,10 +328,11 @@ def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def wide_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (i, least, lo, hi, n, doc_id, fp, sketch, shingles) sorted by shard and n: links between documents that
-    share SIMILAR of their shingles, a spanning forest of each shard. The tree and the sketches propose, the sets decide.
+    share SIMILAR of their shingles, a spanning forest of each shard. The tree's pairs are tried first, then those of
+    the sketches; the sets decide.
     """
     for _, (sizes, docs, fps, sketches, sets) in runs(batches, 4):
-        shard, tree, owner, place = Shard(sizes, sketches), BKTree(WIDE_RADIUS), [], {}
+        shard, tree, owner, place = Shard(sizes, fps, sketches), BKTree(WIDE_RADIUS), [], {}
         held = [np.frombuffer(x, "<u8") for x in sets]
         root = list(range(len(docs)))
         out: tuple[list[int], list[int]] = ([], [])
@@ -339,8 +348,7 @@ def wide_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if fp not in place:
                 place[fp] = len(owner)
                 owner.append([])
-            close = set(shard.candidates(me).tolist())
-            for j in (j for node in near for j in owner[node] if j in close):
+            for j in chain((j for node in near for j in owner[node]), shard.candidates(me).tolist()):
                 a, b = top(me), top(j)
                 if a != b and share(held[me], held[j]) >= SIMILAR:
                     root[a] = b
@@ -374,8 +382,8 @@ def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     signed_docs = checkpointed(spark, map_text(base, ["doc_id"], "text", lambda: signature, "digest binary, fp long, n int, least array<long>, sketch binary"))
     reps = checkpointed(spark, signed_docs.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     texts = signed_docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    dealt = texts.select(F.posexplode("least").alias("i", "least"), "n", "doc_id", "digest", "fp", "sketch")
-    met = by_shard(dealt, ["doc_id", "digest", "fp", "sketch"]).mapInArrow(proposed, "i int, least long, n int, doc_id long, digest binary, fp long, sketch binary")
+    dealt = texts.select(F.posexplode("least").alias("i", "least"), "n", "doc_id", "digest", "fp", "sketch", F.col("least").alias("orders"))
+    met = by_shard(dealt, ["doc_id", "digest", "fp", "sketch", "orders"]).mapInArrow(proposed, "i int, least long, n int, doc_id long, digest binary, fp long, sketch binary")
     met = checkpointed(spark, met.dropDuplicates(["i", "least", "doc_id"]))
     again = base.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = map_text(again, ["doc_id"], "text", lambda: shingle_set, "digest binary, shingles binary").dropDuplicates(["doc_id", "digest"])

@@ -203,6 +203,18 @@ def test_near_copies_at_the_bound(spark):
     assert links_of(spark, pairs) == [i % 2 == 0 for i in range(120)]
 
 
+def test_near_copies_of_repeated_lines(spark):
+    """A line many times over turns the fingerprint of all shingles, but not the set; short texts of 4 shingles of 5."""
+    pairs = []
+    for i in range(40):
+        text, line = (" ".join(f"{c}{i}x{k}" for k in range(n)) for c, n in (("t", 200), ("l", 12)))
+        pairs.append((text, " ".join([text, *[line] * (10 + i)])))
+    for i in range(400):
+        text = " ".join(f"s{i}x{k}" for k in range(8))
+        pairs.append((text, text + " more"))
+    assert all(links_of(spark, pairs))
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 30, 3000])
 def test_repeats(spark, block_bytes):
     r = random.Random(7)
