@@ -68,13 +68,21 @@ def pixel_rows(lineitem: DataFrame) -> DataFrame:
     return lineitem.groupBy("l_orderkey").agg(F.flatten(cells).alias("row")).select(F.col("l_orderkey").alias("key"), "row")
 
 
+#: What a unit's 16-bit size leaves for its body.
+UNIT_BODY = 65533
+
+
 def spu_rows(documents: DataFrame) -> DataFrame:
-    """stream_id, content: each text's first 3000 bytes as a unit (its size in front) in packets of the private stream."""
+    """doc_id, content, starts: each whole text as units (size in front) in packets of the private stream, and where they begin."""
 
     def make(r: dict) -> list[tuple]:
-        body = (r["text"] or "").encode()[:3000]
-        unit = (len(body) + 2).to_bytes(2, "big") + body
-        other = vobsub.packets(b"\0\x05abc", 0x21)
-        return [(r["doc_id"], other + vobsub.packets(unit, 0x20, 500))]
-
-    return map_rows(documents.select("doc_id", "text"), make, "doc_id bigint, content binary")
+        body = (r["text"] or "").encode()
+        content, starts = bytearray(), []
+        for at in range(0, max(len(body), 1), UNIT_BODY):
+            part = body[at : at + UNIT_BODY]
+            starts.append(len(content))
+            content += vobsub.packets(b"\0\x05abc", 0x21)
+            content += vobsub.packets((len(part) + 2).to_bytes(2, "big") + part, 0x20, 500)
+        return [(r["doc_id"], bytes(content), starts)]
+
+    return map_rows(documents.select("doc_id", "text"), make, "doc_id bigint, content binary, starts array<int>")

@@ -32,6 +32,15 @@ def test_query(spark, duck, name):
     assert rows(cols, map(tuple, got.collect()), got.columns) == rows(cols, want.fetchall(), want.columns)
 
 
+def test_whole_texts_in_units(spark):
+    from glyphreel import fixtures as X
+
+    texts = ["", "é" * 2000, "a" * 65533, "b" * 65534, "long é " * 40_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [len(r.starts) for r in X.spu_rows(docs).orderBy("doc_id").collect()] == [1, 1, 1, 2, 5]
+    assert [r.n_bytes for r in registry.unit_bytes(docs).orderBy("doc_id").collect()] == [len(t.encode()) for t in texts]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
