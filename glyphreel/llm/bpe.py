@@ -162,12 +162,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str, file: str | None = None) -> DataF
     return map_text(table(spark, sf_dir, "documents"), ["doc_id"], "text", make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def round_trip(c: Codec) -> Callable[[str | None], list[int]]:
+    """encode, with the ids decoded again: fails where they do not give the text back."""
+
+    def one(text: str | None) -> list[int]:
+        ids = c.encode(text)
+        if c.decode(ids) != (text or "").encode():
+            raise ValueError("token ids do not decode to their text")
+        return ids
+
+    return one
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds token_ids to the columns of the documents and puts the decoded text, which is the same, in place."""
+    """Adds token_ids to the columns of the documents; text is what they decode to, which is tested for every row."""
     from pyspark.sql import types as T
 
-    def make():
-        c = codec()
-        return c.encode
-
-    return replace_text(docs, "text", make, T.ArrayType(T.IntegerType()), "token_ids")
+    return replace_text(docs, "text", lambda: round_trip(codec()), T.ArrayType(T.IntegerType()), "token_ids")

@@ -283,3 +283,15 @@ def test_suffix_parts():
     assert [texts[i] for i in suffixes.multikey_sort(rows)] == sorted(texts)
     v = np.sort(r.integers(0, 1 << 49, 1000, dtype=np.uint64))
     assert (suffixes.unpack(suffixes.pack(v)) == v).all()
+
+
+def test_bpe_stage_decodes():
+    c = bpe.codec()
+    assert c.decode(bpe.round_trip(c)("naïve 😀 text")).decode() == "naïve 😀 text" and bpe.round_trip(c)(None) == []
+
+    class Lossy:
+        encode = staticmethod(c.encode)
+        decode = staticmethod(lambda ids: c.decode(ids[1:]))
+
+    with pytest.raises(ValueError):
+        bpe.round_trip(Lossy())("some text")
