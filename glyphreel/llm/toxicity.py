@@ -128,7 +128,7 @@ class Toxicity:
         wanted = {f for f, n in seen.items() if n >= least}
         bad = Counter()
         for w in clean:
-            bad.update(features(w) & wanted)
+            bad.update(features(w) & (wanted | self.stems.keys()))
         wanted = {f for f in wanted if seen[f] / len(toxic) * precision >= (1 - precision) * 10 * bad[f] / len(clean) and seen[f] >= precision * (seen[f] + bad[f])}
         for i, w in enumerate(toxic):
             for f in features(w) & wanted:
@@ -141,8 +141,8 @@ class Toxicity:
         open_ = {i for i, n in want.items() if n > 0}
         enough = max(least + 1, len(toxic) // 40)
         for s in stems:
-            n, b = seen.get(s, 0), sum(any(x.startswith(s) for x in w) for w in clean[:500])
-            stems[s] = max(0.5, math.log((n + 0.5) / (len(toxic) + 1) / ((b + 0.5) / (min(len(clean), 500) + 1)))) if n else stems[s]
+            n, b = seen.get(s, 0), bad[s]
+            stems[s] = max(0.5, math.log((n + 0.5) / (len(toxic) + 1) / ((b + 0.5) / (len(clean) + 1)))) if n else stems[s]
         gain = {f: len(x) for f, x in holds.items()}
         while open_ and gain:
             # most newly covered toxic texts; of equals the longer stem, which is the more specific one

@@ -285,6 +285,14 @@ def test_suffix_parts():
     assert (suffixes.unpack(suffixes.pack(v)) == v).all()
 
 
+def test_toxicity_weights_count_all_clean_texts():
+    toxic = [(f"you moron number {i}", 1) for i in range(50)]
+    plain = [(f"a plain text {i}", 0) for i in range(500)]
+    late = [(f"zoo moron {i}", 0) for i in range(100)]
+    got = toxicity.Toxicity().fit(sorted(toxic + plain + late)).stems["moron"]
+    assert got == pytest.approx(np.log((50.5 / 51) / (100.5 / 601)))
+
+
 def test_bpe_stage_decodes():
     c = bpe.codec()
     assert c.decode(bpe.round_trip(c)("naïve 😀 text")).decode() == "naïve 😀 text" and bpe.round_trip(c)(None) == []
