@@ -175,7 +175,8 @@ def links(fps: DataFrame, radius: int = RADIUS, max_shard: int = MAX_SHARD) -> D
 def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root for every node of the links u, v (longs): root is the smallest node that it reaches.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014); ends when the links stay the same.
+    Alternating large-star and small-star rounds (Kiveris et al., 2014); ends when the links stay the same,
+    fails where they still change after `rounds`.
     """
     e = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = checkpointed(spark, e)
@@ -191,6 +192,8 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"links of components have not settled in {rounds} rounds")
     stars = e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct().join(stars.select("node"), "node", "left_anti"))
 

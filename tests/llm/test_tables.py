@@ -171,6 +171,12 @@ def test_components_of_paths(spark):
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 130)}
 
 
+def test_components_that_do_not_settle(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        simhash.components(spark, edges, rounds=2)
+
+
 def test_near_copies(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     text = {r.doc_id: r.text for r in docs.collect()}
