@@ -3,8 +3,8 @@
 Base spans (email, ip, card, phone) follow fixed patterns, leftmost and without overlap within a kind. The field
 labels word, number and sign tokens with B/I tags of the kinds; its features are word shapes and a few words nearby.
 It is trained here from a small labelled table (TRAINING) by gradient ascent on the log likelihood and decoded by
-Viterbi over numpy batches. A text is cut for it into stretches around digits, @ and bracketed at/dot; elsewhere
-there is nothing that it could mark. A span that it adds must hold the digits or parts of its kind and must not
+Viterbi over numpy batches. A text is cut for it into stretches around digits, @, bracketed at/dot and words
+like "a at b dot c", in any case; other ways of writing an address are not looked at. A span that it adds must hold the digits or parts of its kind and must not
 overlap a base span.
 
 Cases: a null text is read as empty and has no span; n_* and base_sha256 describe base spans only, `spans` holds all.
@@ -87,7 +87,7 @@ N = len(TAGS)
 DIM = 1 << 12
 CLUES = frozenset("at dot email mail tel phone call fax mobile card visa pay ip host server from com org net".split())
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s\w]|_")
-_TRIGGER = re.compile(r"[0-9@]+|[(\[{<] ?(?:at|dot) ?[)\]}>]")
+_TRIGGER = re.compile(r"[0-9@]+|[(\[{<]\s*(?:at|dot)\s*[)\]}>]|\bat\s+[\w-]+(?:\s*\.\s*[\w-]+)*\s+dot\s", re.I)
 REACH = 48
 
 #: The small labelled table: a text with [kind ...] around each item.
@@ -100,6 +100,16 @@ ask [email mia.k [at] firm [dot] example [dot] net] first
 or [email joe99 (at) post (dot) de] later
 send it to [email info <at> example <dot> de] now
 reach [email r.diaz @ example . com] soon
+ask [email anna (AT) example (DOT) com] today
+write to [email KIM.LEE [At] Mail [Dot] Sample [Dot] ORG] please
+mail [email anna at example dot com] now
+please ask [email bob at sample dot com] today
+just tell [email eva at firm dot net] that we know
+send it to [email lee.k at post dot example dot net] today
+reach [email Tom at site dot org] or come by
+we met at noon and left on the dot of nine
+look at this dot on the map
+he was at home dot and all
 call [phone (212) 555-0143] before noon
 phone: [phone 415-555-0199] ask for Sam
 tel [phone 030 5550 1234] in the morning
@@ -300,7 +310,7 @@ def plausible(part: str, kind: str) -> bool:
         return 14 <= len(digits) <= 19 and luhn(digits) and len(part) <= 2 * len(digits) + 2
     if kind == "ip":
         return len(part) <= 40 and small_parts(re.findall(r"[0-9]+", part))
-    return bool(re.search(r"[\w.%+-]\s*(@|[(\[{<]\s*at\s*[)\]}>]|\sat\s)\s*\w.*?(\.|dot)\s*.?\s*[A-Za-z]{2}", part, re.S)) and len(part) <= 120
+    return bool(re.search(r"[\w.%+-]\s*(@|[(\[{<]\s*at\s*[)\]}>]|\sat\s)\s*\w.*?(\.|dot)\s*.?\s*[A-Za-z]{2}", part, re.S | re.I)) and len(part) <= 120
 
 
 def field_spans(texts: list[str], based: list[list[Span]]) -> list[list[Span]]:

@@ -293,6 +293,13 @@ def test_toxicity_weights_count_all_clean_texts():
     assert got == pytest.approx(np.log((50.5 / 51) / (100.5 / 601)))
 
 
+@pytest.mark.parametrize("item", ["anna (AT) example (DOT) com", "anna at example dot com", "JO.SMITH [At] Mail [Dot] Example [Dot] ORG", "Tom at sample dot org"])
+def test_written_out_addresses(item):
+    text = f"please ask {item} today"
+    assert [(text[a:b], k) for a, b, k in pii.all_spans(text)[1]] == [(item, "email")]
+    assert not pii.all_spans("we met at noon and left on the dot, at home dot and all")[1]
+
+
 def test_bpe_stage_decodes():
     c = bpe.codec()
     assert c.decode(bpe.round_trip(c)("naïve 😀 text")).decode() == "naïve 😀 text" and bpe.round_trip(c)(None) == []
