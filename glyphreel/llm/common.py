@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -82,14 +83,31 @@ def replace_text(df: DataFrame, text: str, make: Callable[[], Callable[[str | No
     return df.mapInArrow(run, schema)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where that is unset, as in tests, one of this machine in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return "/tmp/glyphreel-checkpoints"
+
+
 def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder in spark.checkpoint.dir (set here only where it is unset)."""
+    """Cuts the lineage through the shared folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/glyphreel-checkpoints")
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage through Parquet files in the shared folder, which take less room than a checkpoint's rows."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int]) -> list[tuple[str, int]]:
     """Texts and labels of at most per_class[c] training documents of each class c, chosen by a hash of the id.
 

@@ -1,660 +1,466 @@
 """Repeated passages: bytes covered by a string of WIDTH bytes that also starts in a document with a smaller id.
 
-A suffix array of the whole corpus would hold one suffix for each byte. Here suffixes that can't matter are left out
-before any is moved, without losing a match:
-
-1. Documents are dealt to blocks of bounded size by a hash of their id and kept as a table bucketed by block, so that
-   later passes read a block where it lies.
-2. Each block cuts its texts at content-defined places. A piece (with the WIDTH - 1 bytes behind it) that a smaller
-   document also has needs no closer look: all strings that start in it are repeated. Long copies end here. The smallest
-   document that holds a string is never marked, so it stays as the string's source.
-3. Each string of WIDTH bytes has an anchor, its K-gram of least hash. Equal strings have equal anchors, so a string
-   whose anchor occurs in one document only is unique. Blocks exchange sorted, packed anchor hashes by ranges of the hash
-   (a few bytes for each 12 of text) and learn which of theirs are shared.
-4. Pieces that hold strings with a shared anchor and aren't settled are cut finer and compared like the large ones; of
-   the strings still left the blocks exchange packed hashes as they did of anchors.
-5. Only suffixes that remain, cut to WIDTH bytes, one of each kind for a block, are range-partitioned by sampled
-   splitters. Each bucket sorts its suffixes by multikey quicksort on words of eight bytes and compares neighbours. Equal
-   suffixes share their leading bytes, so a splitter never parts them and no match crosses a bucket's boundary.
-6. Each block marks its texts by the answers and drops the covered bytes.
-
-A key that a third of all documents hold reaches a bucket once for each block, not once for each document.
-
-Cases: null is the empty text; texts shorter than WIDTH lose nothing; rows of equal id don't remove each other; a row
-without id counts as the last and is no source. Extra columns aren't read.
+A suffix array of the whole corpus would hold a suffix for each byte. Here it is a sparse one, which loses no match: each
+string of WIDTH bytes is filed under its anchor, the K-gram of least hash in it (the leftmost of equals). Equal strings
+have equal anchors at equal places, so they are found from the suffixes that start at anchors, about two of every
+SPAN + 1, each kept with the bytes before it that its strings need. No hash decides anything: the sorted bytes do.
+
+1. A task gathers some megabytes of text, makes the suffixes of their anchors, sorts them by multikey quicksort and
+   brings equal ones together: those of greater documents are repeats and end here, so what a third of all documents
+   hold leaves a task once, not once for each document.
+2. Splitters sampled from the corpus part the sorted suffixes into ranges (by leading bytes, then by the bytes before
+   the anchor, so that a frequent suffix is parted as well). Packed runs travel to their range's bucket.
+3. A bucket sorts its suffixes by multikey quicksort. Common prefixes of neighbours show which strings can have an equal;
+   of strings with i bytes before the anchor, those of equal prefix and equal i bytes before are one string, of which all
+   but the smallest document's are repeats.
+4. Strings whose prefix reaches over a splitter may have equals in the next buckets. A bucket gives these out (the
+   smallest document's only) and they are compared across the boundaries by grouping.
+5. Covered spans are gathered by document, joined with the texts, and cut out.
+
+Cases: null is the empty text; texts shorter than WIDTH lose nothing; rows of equal id don't remove each other (they may
+have different texts and are told apart by a hash of it); a row without id counts as the last and is no source; an empty
+table gives no rows. Extra columns aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
-import uuid
-import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from glyphreel.llm.common import checkpointed, table
+from glyphreel.llm.common import table, written
 
 WIDTH = 50
-K = 28
+K = 8
+#: K-grams in a string, and the most bytes that a string has before its anchor.
 SPAN = WIDTH - K + 1
-#: A piece ends where this many low bits of the K-gram's hash are zero: 512 bytes on average.
-CUT_BITS = 9
-#: The same for the finer pieces: 32 bytes.
-FINE_BITS = 5
-BLOCK_BYTES = 12 << 20
+BEFORE = SPAN - 1
+#: A suffix as a row: WIDTH bytes from the anchor on, BEFORE bytes before it backwards, the fewest and the most bytes
+#: that its strings have before the anchor; zeros where no string reaches, and to whole words.
+ROW = 96
+FEWEST, MOST = WIDTH + BEFORE, WIDTH + BEFORE + 1
+#: Text that a bucket's suffixes stand for; a bucket has about 4.5 times as many bytes.
+BUCKET_TEXT = 12 << 20
+#: Text that a task gathers, the windows looked at at once, and the suffixes that are sorted at once.
+GATHERED, SLICE, SORTED = 8 << 20, 1 << 18, 400_000
+#: Suffixes sampled for each bucket.
+SAMPLED = 32
 LAST = (1 << 63) - 1
 
 U = np.uint64
-_RANDOM = np.random.default_rng(20240229)
-_BYTE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_BASE = U(0x9E3779B97F4A7C15)
-_SECOND = _RANDOM.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * U(2) + U(1)
-
-
-@lru_cache(maxsize=None)
-def power(n: int) -> np.uint64:
-    return U(pow(int(_BASE), n, 1 << 64))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Spreads the bits of x, in place."""
-    spare = x >> U(32)
-    x ^= spare
-    x *= U(0xD6E8FEB86659FD93)
-    np.right_shift(x, U(29), out=spare)
-    x ^= spare
-    return x
-
-
-def rolling(data: np.ndarray, *sizes: int) -> list[np.ndarray]:
-    """Hashes of all strings of n bytes for each n, by doubling; the sizes share the doubled parts."""
-    doubled = [_BYTE[data]]
-    while 2 << len(doubled) - 1 <= max(sizes) and len(doubled[-1]) > 1 << len(doubled) - 1:
-        step = 1 << len(doubled) - 1
-        longer = doubled[-1][:-step] * power(step)
-        longer += doubled[-1][step:]
-        doubled.append(longer)
-    found = []
-    for n in sizes:
-        count, done, out = len(data) - n + 1, 0, None
-        if count <= 0:
-            found.append(np.zeros(0, U))
-            continue
-        for k, part in enumerate(doubled):
-            if n >> k & 1:
-                # the parts stand from short to long, each behind those before it
-                part = part[done : done + count]
-                if out is None:
-                    out = part.copy()
-                else:
-                    out *= power(1 << k)
-                    out += part
-                done += 1 << k
-        found.append(mixed(out))
-    return found
-
-
-def anchors(h: np.ndarray) -> np.ndarray:
-    """For each window of SPAN hashes the place of the least; of equal ones the first."""
-    n = len(h) - SPAN + 1
-    out = np.empty(max(n, 0), np.int64)
-    for at in range(0, n, 1 << 23):
-        part = h[at : at + (1 << 23) + SPAN - 1]
-        v = (part & ~U(0xFFFFFF)) | np.arange(len(part), dtype=U)
-        m, w = v, 1
-        while 2 * w <= SPAN:
-            m = np.minimum(m[:-w], m[w:])
-            w *= 2
-        m = np.minimum(m[: len(part) - SPAN + 1], m[SPAN - w : SPAN - w + len(part) - SPAN + 1])
-        out[at : at + len(m)] = (m & U(0xFFFFFF)).astype(np.int64) + at
+_LOW = U((1 << 20) - 1)
+
+
+def minimizers(data: np.ndarray) -> np.ndarray:
+    """Of each string of WIDTH bytes the place of its anchor; len(data) is at most 2 ** 20."""
+    n = len(data) - K + 1
+    h = np.ndarray((n,), "<u8", np.ascontiguousarray(data), strides=(1,)) * U(0x9E3779B97F4A7C15)
+    h ^= h >> U(29)
+    h *= U(0xBF58476D1CE4E5B9)
+    h &= ~_LOW
+    h |= np.arange(n, dtype=U)
+    wide = 1
+    while 2 * wide <= SPAN:
+        h = np.minimum(h[:-wide], h[wide:])
+        wide *= 2
+    if wide < SPAN:
+        h = np.minimum(h[: wide - SPAN], h[SPAN - wide :])
+    return (h & _LOW).astype(np.int64)
+
+
+def anchored(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first, last) of runs of strings with one anchor; valid: strings that lie in one text."""
+    place = minimizers(data)
+    place[~valid] = -1
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    last = np.append(first[1:], len(place)) - 1
+    held = place[first] >= 0
+    return place[first[held]], first[held], last[held]
+
+
+def suffix_rows(padded: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Rows of the suffixes at place; padded has BEFORE bytes in front and WIDTH behind."""
+    around = np.lib.stride_tricks.sliding_window_view(padded, BEFORE + WIDTH)[place]
+    fewest, most = place - last, place - first
+    out = np.zeros((len(place), ROW), np.uint8)
+    out[:, :WIDTH] = around[:, BEFORE:] * (np.arange(WIDTH) < (WIDTH - fewest)[:, None])
+    out[:, WIDTH:FEWEST] = around[:, BEFORE - 1 :: -1] * (np.arange(BEFORE) < most[:, None])
+    out[:, FEWEST], out[:, MOST] = fewest, most
     return out
 
 
-class Group:
-    """Texts end to end, with the hashes of their K-grams (h) and strings (w); what crosses texts is not valid."""
-
-    def __init__(self, texts: list[tuple[int, bytes]]):
-        self.ords = np.array([o for o, _ in texts])
-        self.data = np.frombuffer(b"".join(t for _, t in texts), np.uint8)
-        size = np.array([len(t) for _, t in texts])
-        self.begin = np.cumsum(size) - size
-        self.count = size - WIDTH + 1
-        self.h, self.w = rolling(self.data, K, WIDTH)
-        edge = np.zeros(len(self.w) + 1, np.int8)
-        edge[self.begin] = 1
-        edge[self.begin + self.count] -= 1
-        self.valid = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
-        self.turns = edge[:-1] != 0
-
-    def text_of(self, places: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.begin, places, side="right") - 1
-
-    def anchor_starts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where a run of strings of one anchor begins, and the anchor's 48 bits."""
-        places = anchors(self.h)
-        new = np.concatenate(([True], places[1:] != places[:-1])) | self.turns
-        first = np.flatnonzero(new)
-        return first, self.h[places[first]] >> U(16)
-
-    def edges(self, bits: int) -> np.ndarray:
-        """Where pieces begin, by content and at the ends of texts, and the end of all."""
-        cut = (self.h[: len(self.w)] & U((1 << bits) - 1)) == 0
-        cut |= self.turns
-        cut[0] = True
-        return np.append(np.flatnonzero(cut), len(self.w))
-
-    def pieces(self, bits: int, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Edges of pieces, which of them hold open places, and hashes and ids of those."""
-        edges = self.edges(bits)
-        some = np.add.reduceat(open_, edges[:-1], dtype=np.int64) > 0
-        return edges, some, piece_hashes(self.w, self.h, edges)[some], self.ords[self.text_of(edges[:-1][some])]
-
-    def unsettled(self, bits: int, open_: np.ndarray, known: Lookup) -> np.ndarray:
-        """The open places outside of pieces that a smaller document has."""
-        edges, some, hashes, ords = self.pieces(bits, open_)
-        some[some] = known.smaller(hashes, ords)
-        return open_ & ~np.repeat(some, np.diff(edges))
-
-
-def groups(texts: Iterator[tuple[int, bytes]], size: int = 1 << 17) -> Iterator[Group]:
-    """Texts that are long enough to hold a string, some at a time."""
-    got, total = [], 0
-    for ord_, raw in texts:
-        if len(raw) >= WIDTH:
-            got.append((ord_, raw))
-            total += len(raw)
-            if total >= size:
-                yield Group(got)
-                got, total = [], 0
-    if got:
-        yield Group(got)
-
-
-def by_text(values: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values in order, and whether more than one text holds them."""
-    order = np.argsort(values, kind="stable")
-    values, texts = values[order], texts[order]
-    at = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
-    if not len(at):
-        return values, np.zeros(0, bool)
-    return values[at], np.maximum.reduceat(texts, at) != np.minimum.reduceat(texts, at)
-
-
-def piece_hashes(w: np.ndarray, h: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """(pieces, 2): 128 bits of the strings that start in each piece: sums over hashes of strings and of their K-grams.
-
-    Pieces of the same strings are as good as equal here, whatever the strings' order.
+def words_of_rows(rows: np.ndarray) -> np.ndarray:
+    """Big-endian words of eight bytes, a line for each place in the row."""
+    wide = -(-rows.shape[1] // 8) * 8
+    if wide != rows.shape[1]:
+        rows = np.pad(rows, ((0, 0), (0, wide - rows.shape[1])))
+    return np.array(np.ascontiguousarray(rows).view(">u8").T, U, order="C")
+
+
+def multikey_sort(words: np.ndarray) -> np.ndarray:
+    """Order of the columns of words by multikey quicksort; stable.
+
+    Every open group is parted by the word at its depth into less, equal and greater than its pivot, all groups in one
+    sweep; the equal go on at the next word.
     """
-    first = edges[:-1]
-    other = h[: len(w)] ^ (w >> U(7))
-    other *= _SECOND[0]
-    out = np.empty((len(first), 2), U)
-    out[:, 0], out[:, 1] = np.add.reduceat(w, first), np.add.reduceat(other, first)
-    out += np.diff(edges).astype(U)[:, None] * _SECOND[1:3]
-    return mixed(out)
-
-
-def pack(values: np.ndarray) -> bytes:
-    """A sorted array of uint64 as differences, by bytes of like rank."""
-    d = np.diff(values, prepend=U(0)).astype("<u8")
-    return zlib.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    d = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T
-    return np.cumsum(np.ascontiguousarray(d).view("<u8").ravel(), dtype=U)
-
-
-def pack_rows(h: np.ndarray, ords: np.ndarray, many: np.ndarray | None = None) -> bytes:
-    many = np.zeros(len(ords), np.uint8) if many is None else many.astype(np.uint8)
-    return struct.pack("<q", len(ords)) + np.ascontiguousarray(h, "<u8").tobytes() + ords.astype("<i8").tobytes() + many.tobytes()
-
-
-def unpack_rows(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    (n,) = struct.unpack_from("<q", data)
-    return np.frombuffer(data, "<u8", 2 * n, 8).reshape(-1, 2), np.frombuffer(data, "<i8", n, 8 + 16 * n), np.frombuffer(data, np.uint8, n, 8 + 24 * n)
-
-
-def least_of_equal(h: np.ndarray, ords: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of equal hashes together: hash, least id, whether more than one id holds it."""
-    if not len(ords):
-        return h, ords, many.astype(bool)
-    order = np.lexsort((ords, h[:, 1], h[:, 0]))
-    h, ords, many = h[order], ords[order], many[order].astype(bool)
-    first = np.concatenate(([True], (h[1:] != h[:-1]).any(axis=1)))
-    at = np.flatnonzero(first)
-    ends = np.append(at[1:], len(ords)) - 1
-    return h[at], ords[at], np.logical_or.reduceat(many, at) | (ords[ends] != ords[at])
-
-
-MESSAGE = "q int, block int, kind string, data binary"
-
-
-def first_messages(block: int, texts: list[tuple[int, bytes]], bits: int) -> Iterator[tuple]:
-    """Anchors and large pieces of a block by ranges of their hash: range, block, kind, data."""
-    heads, owners, hashes, ords, n = [], [], [], [], 0
-    for g in groups(iter(texts)):
-        first, head = g.anchor_starts()
-        ok = g.valid[first]
-        heads.append(head[ok])
-        owners.append(g.text_of(first[ok]) + n)
-        n += len(g.ords)
-        _, _, h, o = g.pieces(CUT_BITS, g.valid)
-        hashes.append(h)
-        ords.append(o)
-    if not heads:
-        return
-    values, many = by_text(np.concatenate(heads), np.concatenate(owners))
-    for k, data in by_range(values, many, bits):
-        yield k, block, "a", data
-    o = np.concatenate(ords)
-    for k, kind, data in rows_by_range(np.concatenate(hashes), o, np.zeros(len(o), bool), bits, "p"):
-        yield k, block, kind, data
-
-
-def exchange(t: pa.Table) -> pa.Table:
-    """Answers of one range of hashes: to each block its anchors that are shared and its pieces that are, with the least id."""
-    rows = t.to_pylist()
-    out: list[tuple] = []
-    for kind in "as":
-        lines = [(r["block"], unpack(r["data"])) for r in rows if r["kind"] == kind]
-        if lines:
-            values, counts = np.unique(np.concatenate([v >> U(1) for _, v in lines]), return_counts=True)
-            own = np.unique(np.concatenate([v[(v & U(1)) == 1] >> U(1) for _, v in lines]))
-            shared = np.union1d(values[counts > 1], own)
-            for block, v in lines:
-                got = np.intersect1d(v >> U(1), shared, assume_unique=True)
-                if len(got):
-                    out.append((block, kind, pack(got)))
-    for kind in "pf":
-        parts = [(r["block"], *unpack_rows(r["data"])) for r in rows if r["kind"] == kind]
-        if parts:
-            h = np.concatenate([p[1] for p in parts])
-            blocks = np.repeat([p[0] for p in parts], [len(p[2]) for p in parts])
-            out += answers(h, np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]), blocks, kind)
-    return pa.table({"block": pa.array([r[0] for r in out], pa.int32()), "kind": pa.array([r[1] for r in out], pa.string()), "data": pa.array([r[2] for r in out], pa.binary())})
-
-
-def answers(h: np.ndarray, ords: np.ndarray, many: np.ndarray, blocks: np.ndarray, kind: str) -> list[tuple]:
-    u, least, shared = least_of_equal(h, ords, many)
-    u, least = u[shared], least[shared]
-    if not len(u):
-        return []
-    # rows find their hash by its first half and are held to the second
-    at = np.searchsorted(u[:, 0], h[:, 0])
-    hit = np.zeros(len(h), bool)
-    at = np.minimum(at, len(u) - 1)
-    same = (u[at] == h).all(axis=1)
-    clash = (u[at, 0] == h[:, 0]) & ~same
-    for i in np.flatnonzero(clash):
-        k = int(at[i])
-        while k < len(u) and u[k, 0] == h[i, 0]:
-            if u[k, 1] == h[i, 1]:
-                at[i], same[i] = k, True
-                break
-            k += 1
-    hit = same
-    out = []
-    order = np.flatnonzero(hit)
-    order = order[np.argsort(blocks[order], kind="stable")]
-    edges = np.flatnonzero(np.diff(blocks[order])) + 1
-    for part in np.split(order, edges):
-        if len(part):
-            out.append((int(blocks[part[0]]), kind, pack_rows(h[part], least[at[part]])))
+    depths, n = words.shape
+    order = np.arange(n)
+    begin, size, depth = (np.array([x] if n > 1 and depths else [], np.int64) for x in (0, n, 0))
+    flat = words.ravel()
+    while len(begin):
+        group = np.repeat(np.arange(len(size)), size)
+        first = np.cumsum(size) - size
+        inside = np.arange(len(group)) - first[group]
+        rows = order[inside + begin[group]]
+        key = flat[(depth * n)[group] + rows]
+        a, b, c = key[first], key[first + size // 2], key[first + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[group]
+        less, equal = key < pivot, key == pivot
+        cl, ce = np.cumsum(less), np.cumsum(equal)
+        nl, ne = np.diff(cl[first + size - 1], prepend=0), np.diff(ce[first + size - 1], prepend=0)
+        cl -= (np.cumsum(nl) - nl)[group]
+        ce -= (np.cumsum(ne) - ne)[group]
+        to = np.where(less, cl - 1, np.where(equal, nl[group] + ce - 1, (nl + ne)[group] + inside - cl - ce))
+        order[begin[group] + to] = rows
+        ng = size - nl - ne
+        begin, size, depth = np.concatenate([begin, begin + nl, begin + nl + ne]), np.concatenate([nl, ne, ng]), np.concatenate([depth, depth + 1, depth])
+        open_ = (size > 1) & (depth < depths)
+        begin, size, depth = begin[open_], size[open_], depth[open_]
+    return order
+
+
+def new_runs(words: np.ndarray) -> np.ndarray:
+    """True where a sorted column differs from the one before."""
+    out = np.ones(words.shape[1], bool)
+    out[1:] = (words[:, 1:] != words[:, :-1]).any(axis=0)
+    return out
+
+
+def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans by document and place, those that touch made one."""
+    if not len(doc):
+        return doc, start, stop
+    at = np.lexsort((start, doc))
+    doc, start, stop = doc[at], start[at], stop[at]
+    # all spans of a document lie beyond those of the documents before
+    far = int(stop.max()) + 2
+    reach = np.maximum.accumulate(stop + doc * far)
+    new = np.append(True, (start + doc * far)[1:] > reach[:-1])
+    edge = np.flatnonzero(new)
+    return doc[edge], start[edge], (reach - doc * far)[np.append(edge[1:], len(doc)) - 1]
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    import zstandard
+
+    sizes = np.array([len(a) for a in arrays], "<i8")
+    return zstandard.ZstdCompressor(level=1).compress(sizes.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+
+
+#: Of a message: rows of different suffixes, how many places each has, document and place of each place, ids and hashes
+#: of the documents, and settled spans (document, start, stop).
+KINDS = ((np.uint8, ROW), (np.uint32, 1), (np.uint32, 1), (np.uint32, 1), (np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint32, 1), (np.uint32, 1))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    sizes, at, out = np.frombuffer(raw, "<i8", len(KINDS)), 8 * len(KINDS), []
+    for n, (kind, wide) in zip(sizes.tolist(), KINDS, strict=True):
+        a = np.frombuffer(raw, kind, n * wide, at)
+        at += a.nbytes
+        out.append(a.reshape(n, wide) if wide > 1 else a)
     return out
 
 
-class Lookup:
-    """Least id by 128-bit hash, from the answers to a block."""
-
-    def __init__(self, parts: list[bytes]):
-        got = [unpack_rows(p) for p in parts]
-        h = np.concatenate([g[0] for g in got]) if got else np.zeros((0, 2), U)
-        least = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
-        order = np.lexsort((h[:, 1], h[:, 0]))
-        self.h, self.least = h[order], least[order]
-        same = np.diff(self.h[:, 0]) == 0
-        # how many hashes of equal first half stand side by side at most
-        self.steps, run = 1, same
-        while run.any():
-            self.steps, run = self.steps + 1, run[1:] & same[: len(run) - 1]
-
-    def first_half(self) -> np.ndarray:
-        return self.h[:, 0]
-
-    def smaller(self, h: np.ndarray, ord_: int | np.ndarray) -> np.ndarray:
-        """Whether a document below ord_ (one, or one for each) holds each hash."""
-        out = np.zeros(len(h), bool)
-        if not len(self.h) or not len(h):
-            return out
-        at = np.searchsorted(self.h[:, 0], h[:, 0])
-        for _ in range(self.steps):  # hashes of equal first half stand side by side
-            ok = at < len(self.h)
-            at_ = np.minimum(at, len(self.h) - 1)
-            match = ok & (self.h[at_] == h).all(axis=1)
-            out |= match & (self.least[at_] < ord_)
-            at = at + 1
-        return out
-
-
-def string_hashes(rows: np.ndarray) -> np.ndarray:
-    """128 bits of strings, one a row: the rolling hash, and another by other factors."""
-    first, second = np.zeros(len(rows), U), np.zeros(len(rows), U)
-    for i in range(WIDTH):
-        column = np.ascontiguousarray(rows[:, i])
-        first *= _BASE
-        first += _BYTE[column]
-        second += _BYTE[column ^ np.uint8(0x5A)] * _SECOND[i]
-    return np.stack([mixed(first), mixed(second)], axis=1)
-
-
-def windows_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return np.lib.stride_tricks.sliding_window_view(data, WIDTH)[places]
-
-
-def open_places(g: Group, shared: np.ndarray, known: Lookup) -> np.ndarray:
-    """Which starting places have a shared anchor and aren't settled by a large piece."""
-    first, heads = g.anchor_starts()
-    open_ = np.repeat(member(heads, shared), np.diff(np.append(first, len(g.w)))) & g.valid
-    return g.unsettled(CUT_BITS, open_, known) if open_.any() else open_
-
-
-def candidates(g: Group, shared: np.ndarray, known: Lookup, fine: Lookup) -> np.ndarray:
-    """Starting places that need a closer look."""
-    open_ = open_places(g, shared, known)
-    return np.flatnonzero(g.unsettled(FINE_BITS, open_, fine) if open_.any() else open_)
-
-
-def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Which values the sorted array holds."""
-    if not len(of):
-        return np.zeros(len(values), bool)
-    return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
-
-
-def told_values(messages: pa.Table, kind: str) -> np.ndarray:
-    return np.sort(np.concatenate([unpack(d) for d in told(messages, kind)] or [np.zeros(0, U)]))
-
-
-def by_range(values: np.ndarray, many: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
-    """Packed 48-bit values with a flag, for each range of the values."""
-    line = (values << U(1)) | many
-    edges = np.searchsorted(values >> U(48 - bits), np.arange((1 << bits) + 1, dtype=U)) if bits else np.array([0, len(values)])
-    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        if b > a:
-            yield k, pack(line[a:b])
-
-
-def message_table(rows: list[tuple], block: pa.Table) -> pa.Table:
-    """rows: range, kind, data."""
-    number = block.column("block")[0].as_py() if block.num_rows else 0
-    return pa.table({"q": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([number] * len(rows), pa.int32()), "kind": pa.array([r[1] for r in rows], pa.string()), "data": pa.array([r[2] for r in rows], pa.binary())})
-
-
-def rows_by_range(h: np.ndarray, ords: np.ndarray, many: np.ndarray, bits: int, kind: str) -> list[tuple]:
-    h, ords, many = least_of_equal(h, ords, many)
-    edges = np.searchsorted(h[:, 0] >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U)) if bits else np.array([0, len(h)])
-    return [(k, kind, pack_rows(h[a:b], ords[a:b], many[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-
-
-def tell_fine(bits: int):
-    def run(block: pa.Table, messages: pa.Table) -> pa.Table:
-        """The block's fine pieces that hold open places."""
-        shared, known = told_values(messages, "a"), Lookup(told(messages, "p"))
-        hashes, ords = [np.zeros((0, 2), U)], [np.zeros(0, np.int64)]
-        for g in groups(texts_of(block)):
-            open_ = open_places(g, shared, known)
-            if open_.any():
-                _, _, h, o = g.pieces(FINE_BITS, open_)
-                hashes.append(h)
-                ords.append(o)
-        h, o = np.concatenate(hashes), np.concatenate(ords)
-        return message_table(rows_by_range(h, o, np.zeros(len(o), bool), bits, "f"), block)
+class Gathered:
+    """Texts of a task end to end: parts of texts, so that a long one is looked at in pieces that overlap."""
+
+    def __init__(self, parts: list[tuple[int, int, int, bytes]]):
+        """parts: (ord, hash, offset in its text, bytes), each of WIDTH bytes or more."""
+        self.ords, self.hashes, self.offsets = (np.array([p[i] for p in parts], np.int64) for i in range(3))
+        sizes = np.array([len(p[3]) for p in parts], np.int64)
+        self.begin = np.cumsum(sizes) - sizes
+        self.padded = np.frombuffer(b"".join([bytes(BEFORE), *(p[3] for p in parts), bytes(WIDTH)]), np.uint8)
+        self.data = self.padded[BEFORE:-WIDTH]
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[self.begin] += 1
+        edge[self.begin + sizes - WIDTH + 1] -= 1
+        self.valid = np.cumsum(edge[: len(self.data) - WIDTH + 1], dtype=np.int8) > 0
+
+    def suffixes(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, first, last) of all anchored runs, at most about SORTED at once."""
+        held, many = [], 0
+        for at in range(0, len(self.valid), SLICE):
+            valid = self.valid[at : at + SLICE]
+            found = [x + at for x in anchored(self.data[at : at + len(valid) + WIDTH - 1], valid)]
+            held.append(found)
+            many += len(found[0])
+            if many >= SORTED:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, many = [], 0
+        if many:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+    def rows(self, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        return suffix_rows(self.padded, *found)
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[Gathered]:
+    """Of rows (ord, hash, text as binary)."""
+    parts, size = [], 0
+    for batch in batches:
+        for ord_, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if not text.is_valid:
+                continue
+            raw = text.as_buffer()
+            for at in range(0, len(raw) - WIDTH + 1, GATHERED):
+                part = raw[at : at + GATHERED + WIDTH - 1].to_pybytes()
+                parts.append((ord_, h, at, part))
+                size += len(part)
+                if size >= GATHERED:
+                    yield Gathered(parts)
+                    parts, size = [], 0
+    if parts:
+        yield Gathered(parts)
+
+
+MESSAGE = "bucket int, data binary"
+
+
+def send(splitters: list[bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (ord, hash, text) to messages for the buckets."""
+    cuts = np.array(splitters, f"S{ROW}")
+
+    def messages(g: Gathered, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[int, bytes]]:
+        rows = g.rows(found)
+        words = words_of_rows(rows)
+        order = multikey_sort(words)
+        rows, new = rows[order], new_runs(words[:, order])
+        place, first, last = (x[order] for x in found)
+        doc = np.searchsorted(g.begin, place, side="right") - 1
+        ords, run, edge = g.ords[doc], np.cumsum(new) - 1, np.flatnonzero(new)
+        shift = g.offsets[doc] - g.begin[doc]
+        keep = ords == np.minimum.reduceat(ords, edge)[run]
+        none, spans = np.zeros((0, ROW), np.uint8), merged(doc[~keep], (first + shift)[~keep], (last + shift)[~keep] + WIDTH)
+        if len(spans[0]):
+            known, at = np.unique(spans[0], return_inverse=True)
+            yield int(g.ords[known[0]] % (len(cuts) + 1)), pack(none, *[none[:, 0]] * 3, g.ords[known], g.hashes[known], at.astype(np.uint32), *(x.astype(np.uint32) for x in spans[1:]))
+        texts = np.ascontiguousarray(rows[edge]).view(f"S{ROW}").ravel()
+        ends = [0, *np.searchsorted(texts, cuts, side="left").tolist(), len(texts)]
+        doc, run, at = doc[keep], run[keep], (place + shift)[keep].astype(np.uint32)
+        many = np.bincount(run, minlength=len(edge))
+        upto = np.append(0, np.cumsum(many))
+        for b, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if hi > lo:
+                mine = slice(upto[lo], upto[hi])
+                known, index = np.unique(doc[mine], return_inverse=True)
+                yield b, pack(rows[edge[lo:hi]], many[lo:hi].astype(np.uint32), index.astype(np.uint32), at[mine], g.ords[known], g.hashes[known], *[none[:, 0]] * 3)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in gathered(batches):
+            for found in g.suffixes():
+                got = list(messages(g, found))
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in got], pa.int32()), pa.array([d for _, d in got], pa.binary())], names=["bucket", "data"])
 
     return run
 
 
-def tell_strings(bits: int):
-    def run(block: pa.Table, messages: pa.Table) -> pa.Table:
-        """Hashes of the block's strings that need a closer look."""
-        shared, known, fine = told_values(messages, "a"), Lookup(told(messages, "p")), Lookup(told(messages, "f"))
-        new, owners, n = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0
-        for g in groups(texts_of(block)):
-            at = candidates(g, shared, known, fine)
-            new.append(g.w[at] >> U(16))
-            owners.append(g.text_of(at) + n)
-            n += len(g.ords)
-        values, many = by_text(np.concatenate(new), np.concatenate(owners))
-        return message_table([(k, "s", data) for k, data in by_range(values, many, bits)], block)
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes that the first WIDTH bytes of rows have in common."""
+    differ = a[:, :WIDTH] != b[..., :WIDTH]
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), WIDTH)
+
+
+class Bucket:
+    """The sorted different suffixes of a range, and their places (row, ord, hash, pos)."""
+
+    def __init__(self, messages: list[list[np.ndarray]]):
+        rows = np.concatenate([m[0] for m in messages])
+        words = words_of_rows(rows)
+        order = multikey_sort(words)
+        new = new_runs(words[:, order])
+        del words
+        edge, kind = np.flatnonzero(new), np.empty(len(rows), np.int64)
+        kind[order] = np.cumsum(new) - 1
+        self.rows = rows[order[edge]]
+        self.row = np.repeat(kind, np.concatenate([m[1] for m in messages]))
+        self.ord = np.concatenate([m[4][m[2]] for m in messages])
+        self.hash = np.concatenate([m[5][m[2]] for m in messages])
+        self.pos = np.concatenate([m[3] for m in messages]).astype(np.int64)
+        self.least = np.full(len(self.rows), LAST, np.int64)
+        np.minimum.at(self.least, self.row, self.ord)
+        self.fewest, self.most = self.rows[:, FEWEST].astype(np.int64), self.rows[:, MOST].astype(np.int64)
+
+    def compare(self, low: bytes | None, high: bytes | None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, int]]]:
+        """(bits, over): bit i of a row where its string with i bytes before the anchor is a smaller document's too;
+        over: (rows, strings, i) that may have equals beyond the splitters low and high.
+        """
+        n, bits, over = len(self.rows), np.zeros(len(self.rows), U), []
+        next_ = common_prefix(self.rows[1:], self.rows[:-1])
+        best = np.maximum(np.append(next_, 0), np.append(0, next_))
+        beyond = np.zeros(n, np.int64)
+        for s in (low, high):
+            if s is not None:
+                beyond = np.maximum(beyond, common_prefix(self.rows, np.frombuffer(s.ljust(ROW, b"\0"), np.uint8)))
+        able = np.flatnonzero(np.maximum(best, beyond) >= WIDTH - self.most)
+        for i in range(BEFORE + 1):
+            after = WIDTH - i
+            mine = able[(self.fewest[able] <= i) & (i <= self.most[able])]
+            at = mine[best[mine] >= after]
+            if len(at) > 1:
+                group = np.append(0, np.cumsum(next_ < after))[at]
+                twin = group[1:] == group[:-1]
+                more = np.append(twin, False) | np.append(False, twin)
+                at, group = at[more], group[more]
+            if len(at) > 1:
+                keys = np.concatenate([group.astype(">u8")[:, None].view(np.uint8), self.rows[at, WIDTH : WIDTH + i]], axis=1)
+                words = words_of_rows(keys)
+                order = multikey_sort(words)
+                new = new_runs(words[:, order])
+                at = at[order]
+                least = np.minimum.reduceat(self.least[at], np.flatnonzero(new))[np.cumsum(new) - 1]
+                bits[at[self.least[at] > least]] |= U(1 << i)
+            out = mine[(beyond[mine] >= after) & (bits[mine] >> U(i) & U(1) == 0)]
+            if len(out):
+                over.append((out, np.concatenate([self.rows[out, WIDTH : WIDTH + i][:, ::-1], self.rows[out, :after]], axis=1), i))
+        return bits, over
+
+    def spans(self, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place's index, start, stop) of what is covered."""
+        whole = np.flatnonzero(self.ord > self.least[self.row])
+        row, pos = self.row[whole], self.pos[whole]
+        yield whole, pos - self.most[row], pos - self.fewest[row] + WIDTH
+        part = np.flatnonzero((self.ord == self.least[self.row]) & (bits[self.row] != 0))
+        for at in range(0, len(part), 1 << 16):
+            some = part[at : at + (1 << 16)]
+            on = np.zeros((len(some), SPAN + 2), np.int8)
+            on[:, 1:-1] = bits[self.row[some]][:, None] >> np.arange(SPAN, dtype=U) & U(1)
+            edge = np.diff(on, axis=1)
+            which, least = np.nonzero(edge == 1)
+            most = np.nonzero(edge == -1)[1] - 1
+            yield some[which], self.pos[some[which]] - most, self.pos[some[which]] - least + WIDTH
+
+
+FOUND = "ord long, hash long, start long, stop long, string binary"
+_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+
+
+def settle(splitters: list[bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Messages of a bucket to covered spans, and to strings that other buckets may hold."""
+
+    def table_of(ords: np.ndarray, hashes: np.ndarray, start: np.ndarray, stop: np.ndarray, strings: np.ndarray | None = None) -> pa.RecordBatch:
+        text = pa.nulls(len(ords), pa.binary())
+        if strings is not None:
+            text = pa.array(np.ascontiguousarray(strings).view(f"V{WIDTH}").ravel().tolist(), pa.binary())
+        return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x), pa.int64()) for x in (ords, hashes, start, stop)), text], names=_NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(b, []).append(data)
+        while held:
+            b, packed = held.popitem()
+            messages = [unpack(x) for x in packed]
+            for m in messages:
+                if len(m[6]):
+                    yield table_of(m[4][m[6]], m[5][m[6]], m[7], m[8])
+            messages = [m for m in messages if len(m[0])]
+            if not messages:
+                continue
+            bucket = Bucket(messages)
+            del messages
+            bits, over = bucket.compare(splitters[b - 1] if b else None, splitters[b] if b < len(splitters) else None)
+            for at, start, stop in bucket.spans(bits):
+                yield table_of(bucket.ord[at], bucket.hash[at], start, stop)
+            if over:
+                # places of a row: those of its smallest document
+                source = np.flatnonzero(bucket.ord == bucket.least[bucket.row])
+                source = source[np.argsort(bucket.row[source], kind="stable")]
+                begin = np.searchsorted(bucket.row[source], np.arange(len(bucket.rows) + 1))
+                for rows, strings, i in over:
+                    many = begin[rows + 1] - begin[rows]
+                    which = np.repeat(np.arange(len(rows)), many)
+                    at = source[begin[rows][which] + np.arange(len(which)) - (np.cumsum(many) - many)[which]]
+                    yield table_of(bucket.ord[at], bucket.hash[at], bucket.pos[at] - i, bucket.pos[at] - i + WIDTH, strings[which])
 
     return run
 
 
-def multikey_sort(rows: np.ndarray) -> np.ndarray:
-    """Order of strings (one a row of bytes), by multikey quicksort on words of eight bytes.
+def sampled_splitters(rows: DataFrame, total: int, bucket_text: int) -> list[bytes]:
+    """At most about total / bucket_text suffix rows, from SAMPLED suffixes for each bucket (all that the driver gets).
 
-    A part is split by a pivot word into less, equal and greater; the equal part goes on with the next word.
+    Texts are drawn for the sample at random until they hold some 16 kB for each bucket.
     """
-    n = len(rows)
-    width = -(-rows.shape[1] // 8) * 8
-    padded = np.zeros((n, width), np.uint8)
-    padded[:, : rows.shape[1]] = rows
-    words = padded.view(">u8").astype(U)
-    order = np.arange(n)
-    stack = [(0, n, 0)]
-    while stack:
-        a, b, d = stack.pop()
-        if b - a < 2 or d >= words.shape[1]:
-            continue
-        part = order[a:b]
-        if b - a <= 2048:
-            order[a:b] = part[np.lexsort(words[part, d:].T[::-1])]
-            continue
-        w = words[part, d]
-        pivot = np.sort(w[:: max(1, (b - a) // 63)])[len(w[:: max(1, (b - a) // 63)]) // 2]
-        less, more = part[w < pivot], part[w > pivot]
-        same = part[w == pivot]
-        order[a:b] = np.concatenate((less, same, more))
-        i, j = a + len(less), b - len(more)
-        stack += [(a, i, d), (i, j, d + 1), (j, b, d)]
-    return order
+    n = -(-total // bucket_text)
+    if n < 2:
+        return []
+    share = min(1.0, (1 << 14) / bucket_text)
+    part = min(1.0, SAMPLED * n * (SPAN + 1) / 2 / (share * total))
 
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(7)
+        for g in gathered(batches):
+            for found in g.suffixes():
+                some = rng.random(len(found[0])) < part
+                chosen = g.rows(tuple(x[some] for x in found))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in chosen], pa.binary())], names=["row"])
 
-def leading(rows: np.ndarray) -> np.ndarray:
-    """The first eight bytes as numbers, in the order of the strings."""
-    return np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(U)
-
-
-def pack_suffixes(rows: np.ndarray, ords: np.ndarray, many: np.ndarray) -> bytes:
-    """Sorted suffixes with ids; neighbours begin alike, which packs well."""
-    return struct.pack("<q", len(ords)) + zlib.compress(rows.tobytes() + ords.astype("<i8").tobytes() + many.astype(np.uint8).tobytes(), 1)
-
-
-def unpack_suffixes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    (n,) = struct.unpack_from("<q", data)
-    raw = zlib.decompress(data[8:])
-    return np.frombuffer(raw, np.uint8, n * WIDTH).reshape(n, WIDTH), np.frombuffer(raw, "<i8", n, n * WIDTH), np.frombuffer(raw, np.uint8, n, n * (WIDTH + 8)).astype(bool)
-
-
-def sort_bucket(t: pa.Table) -> pa.Table:
-    """Suffixes of one range: sorted, equal neighbours brought together, answers to their blocks."""
-    parts = [unpack_suffixes(d) for d in t.column("data").to_pylist()]
-    rows, ords, many = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    blocks = np.repeat(t.column("block").to_numpy(), [len(p[1]) for p in parts])
-    order = multikey_sort(rows)
-    rows, blocks, ords, many = rows[order], blocks[order], ords[order], many[order]
-    new = np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))
-    at = np.flatnonzero(new)
-    least = np.minimum.reduceat(ords, at)
-    shared = np.logical_or.reduceat(many, at) | (np.maximum.reduceat(ords, at) != least)
-    group = np.cumsum(new) - 1
-    keep = np.flatnonzero(shared[group])
-    out = []
-    if len(keep):
-        hashes = string_hashes(rows[at[shared]])
-        rank = np.cumsum(shared) - 1
-        keep = keep[np.argsort(blocks[keep], kind="stable")]
-        for part in np.split(keep, np.flatnonzero(np.diff(blocks[keep])) + 1):
-            g = group[part]
-            out.append((int(blocks[part[0]]), "w", pack_rows(hashes[rank[g]], least[g])))
-    return pa.table({"block": pa.array([r[0] for r in out], pa.int32()), "kind": pa.array([r[1] for r in out], pa.string()), "data": pa.array([r[2] for r in out], pa.binary())})
-
-
-def sampled_splitters(docs: DataFrame, buckets: int, sample: int = 4096) -> np.ndarray:
-    """Leading bytes that part the corpus's suffixes into about equal ranges, from a suffix of each of `sample` texts at most."""
-    if buckets < 2:
-        return np.zeros(0, U)
-    n = F.length("text")
-    at = F.pmod(F.xxhash64("doc_id", n), F.greatest(n, F.lit(1)).cast("long")).cast("int") + 1
-    rows = docs.where(n > 0).select(F.xxhash64("doc_id").alias("k"), F.encode(F.substring(F.col("text"), at, F.lit(8)), "UTF-8").alias("lead")).orderBy("k").limit(sample).select("lead").collect()
-    lead = np.sort([int.from_bytes(bytes(r[0])[:8].ljust(8, b"\0"), "big") for r in rows] or [0]).astype(U)
-    return np.unique(lead[np.arange(1, buckets) * len(lead) // buckets])
-
-
-def told(messages: pa.Table, kind: str) -> list[bytes]:
-    return [d for k, d in zip(messages.column("kind").to_pylist(), messages.column("data").to_pylist(), strict=True) if k == kind]
-
-
-def texts_of(block: pa.Table) -> Iterator[tuple[int, bytes]]:
-    for text, ord_ in zip(block.column("text").cast(pa.binary()), block.column("ord").to_pylist(), strict=True):
-        yield ord_, text.as_py() or b""
-
-
-def one_of_each(rows: np.ndarray, hashes: np.ndarray, ords: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Equal strings together, with their least id and whether more than one id holds them."""
-    order = np.lexsort((ords, hashes))
-    rows, hashes, ords, many = rows[order], hashes[order], ords[order], many[order]
-    at = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1]).any(axis=1))))
-    many = np.logical_or.reduceat(many, at) | (ords[np.append(at[1:], len(ords)) - 1] != ords[at])
-    return rows[at], hashes[at], ords[at], many
-
-
-#: Suffixes gathered before equal ones are brought together.
-GATHERED = 200_000
-
-
-def tell_suffixes(splitters: np.ndarray):
-    def run(block: pa.Table, messages: pa.Table) -> pa.Table:
-        """The block's suffixes that need a closer look, one of each kind with its least id, by range."""
-        shared, strings, known, fine = told_values(messages, "a"), told_values(messages, "s"), Lookup(told(messages, "p")), Lookup(told(messages, "f"))
-        kept = (np.zeros((0, WIDTH), np.uint8), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, bool))
-        new: list[tuple] = []
-        size = 0
-
-        def gather() -> tuple:
-            return one_of_each(*(np.concatenate([kept[i], *(x[i] for x in new)]) for i in range(4)))
-
-        for g in groups(texts_of(block)):
-            at = candidates(g, shared, known, fine)
-            at = at[member(g.w[at] >> U(16), strings)]
-            if len(at):
-                new.append((windows_at(g.data, at), g.w[at], g.ords[g.text_of(at)], np.zeros(len(at), bool)))
-                size += len(at)
-            if size >= GATHERED:
-                kept, new, size = gather(), [], 0
-        if new:
-            kept = gather()
-        order = multikey_sort(kept[0])
-        rows, _, ords, many = (x[order] for x in kept)
-        q = np.searchsorted(splitters, leading(rows), side="right")
-        edges = np.searchsorted(q, np.arange(len(splitters) + 2))
-        return message_table([(k, "x", pack_suffixes(rows[a:b], ords[a:b], many[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a], block)
-
-    return run
+    some = rows.where(F.rand(11) < share) if share < 1 else rows
+    found = sorted(r["row"] for r in some.mapInArrow(pick, "row binary").collect())
+    return sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def outcome(raw: bytes, starts: np.ndarray) -> tuple[int, int, int, str]:
-    if not starts.any():
-        return len(raw), 0, 0, hashlib.sha256(raw).hexdigest()
-    edge = np.zeros(len(raw) + 1, np.int32)
-    edge[: len(starts)] += starts
-    edge[WIDTH : WIDTH + len(starts)] -= starts
-    gone = np.cumsum(edge[:-1]) > 0
-    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-    return len(raw), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()
-
-
-def strip(block: pa.Table, messages: pa.Table) -> pa.Table:
-    known, fine, strings = (Lookup(told(messages, k)) for k in "pfw")
-    bitmap = None
-    if len(strings.h):
-        bitmap = np.zeros(1 << 24, bool)
-        bitmap[(strings.first_half() >> U(40)).astype(np.int64)] = True
-    found: list[tuple] = []
-    for g in groups(texts_of(block)):
-        left = g.unsettled(CUT_BITS, g.valid, known)
-        left = g.unsettled(FINE_BITS, left, fine) if len(fine.h) else left
-        starts = g.valid & ~left
-        if bitmap is not None:
-            at = np.flatnonzero(bitmap[(g.w >> U(40)).astype(np.int64)] & left)
-            starts[at] = strings.smaller(string_hashes(windows_at(g.data, at)), g.ords[g.text_of(at)])
-        raw = g.data.tobytes()
-        found += [outcome(raw[b : b + n + WIDTH - 1], starts[b : b + n]) for b, n in zip(g.begin.tolist(), g.count.tolist(), strict=True)]
-    # texts too short for a group lose nothing
-    later = iter(found)
-    out = [next(later) if len(raw) >= WIDTH else outcome(raw, np.zeros(0, bool)) for _, raw in texts_of(block)]
-    ids = block.column("doc_id").to_pylist()
-    cols = {"doc_id": pa.array(ids, pa.int64())}
-    for i, (name, kind) in enumerate((("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()))):
-        cols[name] = pa.array([r[i] for r in out], kind)
-    return pa.table(cols)
-
-
-def remove_repeats(spark: SparkSession, docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text)."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-total // block_bytes))
-    bits = max(0, (n_blocks - 1).bit_length())
+def outcome(raw: bytes, spans: np.ndarray) -> tuple[int, int, int, str]:
+    """spans: start and stop of each."""
+    start, stop = spans[:, 0], spans[:, 1]
+    _, start, stop = merged(np.zeros(len(start), np.int64), start, stop)
+    kept, at = hashlib.sha256(), 0
+    for a, b in zip(start.tolist(), stop.tolist(), strict=True):
+        kept.update(raw[at:a])
+        at = b
+    kept.update(raw[at:])
+    return len(raw), int((stop - start).sum()), len(start), kept.hexdigest()
+
+
+def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text as binary, list of spans) to doc_id and RESULT."""
+    none = np.zeros((0, 2), np.int64)
+    for batch in batches:
+        made = []
+        for text, spans in zip(batch.column(1), batch.column(2), strict=True):
+            raw = text.as_py() or b""
+            made.append(outcome(raw, np.stack([spans.values.field(i).to_numpy() for i in range(2)], axis=1) if spans.is_valid else none))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in made], t) for i, t in enumerate([pa.int64()] * 3 + [pa.string()]))], names=["doc_id", *(x.split()[0] for x in RESULT.split(", "))])
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, bucket_text: int = BUCKET_TEXT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text).
+
+    The driver and every task hold the splitters: ROW bytes for each bucket_text bytes of text, 8 MB for a terabyte
+    at the default. On executors with more memory a larger bucket_text keeps them (and the partitions) fewer.
+    """
     doc_id = F.col("doc_id").cast("long")
-    rows = docs.select(F.pmod(F.xxhash64(doc_id), F.lit(n_blocks)).cast("int").alias("block"), F.coalesce(doc_id, F.lit(LAST)).alias("ord"), doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"))
-    name = f"repeats_{uuid.uuid4().hex}"
-    rows.repartition(n_blocks, "block").sortWithinPartitions("block").write.option("compression", "zstd").bucketBy(n_blocks, "block").sortBy("block").saveAsTable(name)
-    try:
-        blocks = spark.table(name)
-        splitters = sampled_splitters(blocks, n_blocks)
-        arrow = to_arrow_schema(T._parse_datatype_string(MESSAGE))
-
-        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, texts = None, []
-
-            def batch() -> pa.RecordBatch:
-                got = list(first_messages(now, texts, bits))
-                return pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], f.type) for i, f in enumerate(arrow)], schema=arrow)
-
-            for b in batches:
-                for block, ord_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
-                    if block != now:
-                        if texts:
-                            yield batch()
-                        now, texts = block, []
-                    texts.append((ord_, text.as_py() or b""))
-            if texts:
-                yield batch()
-
-        messages = blocks.select("block", "ord", "text").mapInArrow(send, T._parse_datatype_string(MESSAGE))
-        first = checkpointed(spark, messages.groupBy("q").applyInArrow(exchange, "block int, kind string, data binary"))
-        for tell in (tell_fine, tell_strings):
-            told_now = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(tell(bits), MESSAGE)
-            answered = checkpointed(spark, told_now.groupBy("q").applyInArrow(exchange, "block int, kind string, data binary"))
-            first = first.unionByName(answered)
-        found = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(tell_suffixes(splitters), MESSAGE)
-        second = found.groupBy("q").applyInArrow(sort_bucket, "block int, kind string, data binary")
-        told_ = first.where("kind in ('p', 'f')").unionByName(second)
-        done = blocks.groupBy("block").cogroup(told_.groupBy("block")).applyInArrow(strip, "doc_id long, " + RESULT)
-        return checkpointed(spark, done.where("n_bytes is not null"))
-    finally:
-        spark.sql(f"drop table if exists {name}")
+    raw = F.col("text").cast("string").cast("binary")
+    rows = docs.select(F.coalesce(doc_id, F.lit(LAST)).alias("ord"), F.xxhash64(raw).alias("hash"), raw.alias("text"), doc_id.alias("doc_id"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = rows.select("ord", "hash", "text")
+    splitters = sampled_splitters(texts, total, bucket_text)
+    sent = texts.mapInArrow(send(splitters), MESSAGE)
+    found = written(spark, sent.repartitionById(len(splitters) + 1, "bucket").mapInArrow(settle(splitters), FOUND), "repeats")
+    across = found.where("string is not null").withColumn("least", F.min("ord").over(Window.partitionBy("string"))).where("ord > least")
+    spans = found.where("string is null").drop("string").unionByName(across.drop("string", "least"))
+    spans = spans.groupBy("ord", "hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return rows.join(spans, ["ord", "hash"], "left").select("doc_id", "text", "spans").mapInArrow(strip, "doc_id long, " + RESULT)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

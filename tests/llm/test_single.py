@@ -273,16 +273,31 @@ def brute_repeats(docs):
 
 def test_suffix_parts():
     r = np.random.default_rng(0)
-    data = r.integers(0, 256, 300, dtype=np.uint8)
-    assert (suffixes.rolling(data, 50)[0] == suffixes.string_hashes(suffixes.windows_at(data, np.arange(251)))[:, 0]).all()
-    h = suffixes.rolling(data, suffixes.K)[0]
-    assert suffixes.anchors(h).tolist() == [i + int(np.argmin(h[i : i + suffixes.SPAN] >> np.uint64(24))) for i in range(len(h) - suffixes.SPAN + 1)]
-    rows = r.integers(0, 3, (9000, 50), dtype=np.uint8)
-    rows[:, :20] = 0
-    texts = [x.tobytes() for x in rows]
-    assert [texts[i] for i in suffixes.multikey_sort(rows)] == sorted(texts)
-    v = np.sort(r.integers(0, 1 << 49, 1000, dtype=np.uint64))
-    assert (suffixes.unpack(suffixes.pack(v)) == v).all()
+    data = r.integers(97, 99, 400, dtype=np.uint8)
+    place = suffixes.minimizers(data)
+    anchor = {}
+    for s, p in enumerate(place.tolist()):
+        assert 0 <= p - s <= suffixes.BEFORE
+        # equal strings have their anchor at one place
+        assert anchor.setdefault(data[s : s + suffixes.WIDTH].tobytes(), p - s) == p - s
+    valid = np.ones(len(place), bool)
+    valid[100:149] = False
+    found = suffixes.anchored(data, valid)
+    assert sorted(s for f, l in zip(found[1], found[2], strict=True) for s in range(f, l + 1)) == np.flatnonzero(valid).tolist()
+    padded = np.concatenate([np.zeros(suffixes.BEFORE, np.uint8), data, np.zeros(suffixes.WIDTH, np.uint8)])
+    for row, p, first, last in zip(suffixes.suffix_rows(padded, *found), *found, strict=True):
+        fewest, most = row[suffixes.FEWEST], row[suffixes.MOST]
+        assert (most, fewest) == (p - first, p - last)
+        for i in range(fewest, most + 1):
+            string = row[suffixes.WIDTH : suffixes.WIDTH + i][::-1].tobytes() + row[: suffixes.WIDTH - i].tobytes()
+            assert string == data[p - i : p - i + suffixes.WIDTH].tobytes()
+    for rows in (r.integers(0, 3, (9000, 50), dtype=np.uint8), np.zeros((700, 50), np.uint8), r.integers(0, 256, (1, 50), dtype=np.uint8)):
+        rows[:, :20] = 0
+        texts = [x.tobytes() for x in rows]
+        order = suffixes.multikey_sort(suffixes.words_of_rows(rows)).tolist()
+        assert order == sorted(range(len(texts)), key=lambda i: texts[i])
+    some = (r.integers(0, 256, (3, suffixes.ROW), dtype=np.uint8), *(np.arange(n) for n in (3, 4, 4, 2, 2, 1, 1, 1)))
+    assert all((a == b).all() for a, b in zip(suffixes.unpack(suffixes.pack(*(x.astype(k) for x, (k, _) in zip(some, suffixes.KINDS, strict=True)))), some, strict=True))
 
 
 def test_toxicity_weights_count_all_clean_texts():

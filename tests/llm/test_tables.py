@@ -221,8 +221,8 @@ def test_near_copies_of_repeated_lines(spark):
     assert all(links_of(spark, pairs))
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 30, 3000])
-def test_repeats(spark, block_bytes):
+@pytest.mark.parametrize("bucket_text", [1 << 30, 3000, 100])
+def test_repeats(spark, bucket_text):
     r = random.Random(7)
     base = ["".join(r.choice("abcdé \n") for _ in range(r.randint(0, 300))) for _ in range(20)] + ["a" * 300, "ab" * 100, ""]
     texts = []
@@ -234,7 +234,7 @@ def test_repeats(spark, block_bytes):
             parts.append(b[at : at + r.choice((30, 49, 50, 51, 60, 200))])
         texts.append("".join(parts))
     texts[60:63] = texts[10:13]
-    got = {x.doc_id: tuple(x)[1:] for x in suffixes.remove_repeats(spark, docs_of(spark, texts), block_bytes).collect()}
+    got = {x.doc_id: tuple(x)[1:] for x in suffixes.remove_repeats(spark, docs_of(spark, texts), bucket_text).collect()}
     assert got == brute_repeats([(i, t.encode()) for i, t in enumerate(texts)])
 
 
