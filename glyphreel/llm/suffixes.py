@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from glyphreel.llm.common import table, written
 
 WIDTH = 50
-K = 8
+K = 6
 #: K-grams in a string, and the most bytes that a string has before its anchor.
 SPAN = WIDTH - K + 1
 BEFORE = SPAN - 1
@@ -58,7 +58,8 @@ _LOW = U((1 << 20) - 1)
 def minimizers(data: np.ndarray) -> np.ndarray:
     """Of each string of WIDTH bytes the place of its anchor; len(data) is at most 2 ** 20."""
     n = len(data) - K + 1
-    h = np.ndarray((n,), "<u8", np.ascontiguousarray(data), strides=(1,)) * U(0x9E3779B97F4A7C15)
+    h = np.ndarray((n,), "<u8", np.append(data, np.zeros(8 - K, np.uint8)), strides=(1,)) & U((1 << 8 * K) - 1)
+    h *= U(0x9E3779B97F4A7C15)
     h ^= h >> U(29)
     h *= U(0xBF58476D1CE4E5B9)
     h &= ~_LOW
@@ -154,36 +155,43 @@ def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return doc[edge], start[edge], (reach - doc * far)[np.append(edge[1:], len(doc)) - 1]
 
 
-def turned(rows: np.ndarray) -> np.ndarray:
-    """Bytes before the anchor forwards (or back again): text packs better so."""
-    out = rows.copy()
-    out[:, WIDTH:FEWEST] = rows[:, FEWEST - 1 : WIDTH - 1 : -1]
-    return out
+_COLUMN = np.arange(FEWEST)
+#: Of a message, after the rows: the bytes of rows of different suffixes (of each those that its strings hold, those
+#: before the anchor forwards), how many places each has, document and place of each place, ids and hashes of the
+#: documents, and settled spans (document, start, stop).
+KINDS = (np.uint8, np.uint8, np.uint8, np.uint32, np.uint32, np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.uint32)
+
+
+def held_bytes(fewest: np.ndarray, most: np.ndarray) -> np.ndarray:
+    return (_COLUMN < (WIDTH - fewest.astype(np.int64))[:, None]) | (_COLUMN >= (FEWEST - most.astype(np.int64))[:, None])
 
 
 def pack(rows: np.ndarray, *others: np.ndarray) -> bytes:
     import zstandard
 
-    arrays = (turned(rows), *others)
+    fewest, most = rows[:, FEWEST], rows[:, MOST]
+    forward = np.concatenate([rows[:, :WIDTH], rows[:, FEWEST - 1 : WIDTH - 1 : -1]], axis=1)
+    arrays = (fewest, most, forward[held_bytes(fewest, most)], *others)
     sizes = np.array([len(a) for a in arrays], "<i8")
-    return zstandard.ZstdCompressor(level=3).compress(sizes.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
-
-
-#: Of a message: rows of different suffixes, how many places each has, document and place of each place, ids and hashes
-#: of the documents, and settled spans (document, start, stop).
-KINDS = ((np.uint8, ROW), (np.uint32, 1), (np.uint32, 1), (np.uint32, 1), (np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint32, 1), (np.uint32, 1))
+    return zstandard.ZstdCompressor(level=5).compress(sizes.tobytes() + b"".join(np.ascontiguousarray(a, k).tobytes() for a, k in zip(arrays, KINDS, strict=True)))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
+    """rows and the others."""
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(data)
     sizes, at, out = np.frombuffer(raw, "<i8", len(KINDS)), 8 * len(KINDS), []
-    for n, (kind, wide) in zip(sizes.tolist(), KINDS, strict=True):
-        a = np.frombuffer(raw, kind, n * wide, at)
-        at += a.nbytes
-        out.append(turned(a.reshape(n, wide)) if wide > 1 else a)
-    return out
+    for n, kind in zip(sizes.tolist(), KINDS, strict=True):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    fewest, most, text = out[:3]
+    forward = np.zeros((len(fewest), FEWEST), np.uint8)
+    forward[held_bytes(fewest, most)] = text
+    rows = np.zeros((len(fewest), ROW), np.uint8)
+    rows[:, :WIDTH], rows[:, WIDTH:FEWEST] = forward[:, :WIDTH], forward[:, : WIDTH - 1 : -1]
+    rows[:, FEWEST], rows[:, MOST] = fewest, most
+    return [rows, *out[3:]]
 
 
 class Gathered:
@@ -260,17 +268,17 @@ def send(splitters: list[bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         none, spans = np.zeros((0, ROW), np.uint8), merged(doc[~keep], (first + shift)[~keep], (last + shift)[~keep] + WIDTH)
         if len(spans[0]):
             known, at = np.unique(spans[0], return_inverse=True)
-            yield int(g.ords[known[0]] % (len(cuts) + 1)), pack(none, *[none[:, 0]] * 3, g.ords[known], g.hashes[known], at.astype(np.uint32), *(x.astype(np.uint32) for x in spans[1:]))
+            yield int(g.ords[known[0]] % (len(cuts) + 1)), pack(none, *[none[:, 0]] * 3, g.ords[known], g.hashes[known], at, *spans[1:])
         texts = np.ascontiguousarray(rows[edge]).view(f"S{ROW}").ravel()
         ends = [0, *np.searchsorted(texts, cuts, side="left").tolist(), len(texts)]
-        doc, run, at = doc[keep], run[keep], (place + shift)[keep].astype(np.uint32)
+        doc, run, at = doc[keep], run[keep], (place + shift)[keep]
         many = np.bincount(run, minlength=len(edge))
         upto = np.append(0, np.cumsum(many))
         for b, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
             if hi > lo:
                 mine = slice(upto[lo], upto[hi])
                 known, index = np.unique(doc[mine], return_inverse=True)
-                yield b, pack(rows[edge[lo:hi]], many[lo:hi].astype(np.uint32), index.astype(np.uint32), at[mine], g.ords[known], g.hashes[known], *[none[:, 0]] * 3)
+                yield b, pack(rows[edge[lo:hi]], many[lo:hi], index, at[mine], g.ords[known], g.hashes[known], *[none[:, 0]] * 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in gathered(batches):
@@ -442,13 +450,28 @@ def outcome(raw: bytes, spans: np.ndarray) -> tuple[int, int, int, str]:
     return len(raw), int((stop - start).sum()), len(start), kept.hexdigest()
 
 
+PACKED = "ord long, hash long, doc_id long, packed binary"
+
+
+def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (ord, hash, doc_id, text as binary), the text packed for its way to its spans."""
+    import zstandard
+
+    c = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        packed = pa.array([c.compress(x.as_buffer()) if x.is_valid else None for x in batch.column(3)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=[x.split()[0] for x in PACKED.split(", ")])
+
+
 def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text as binary, list of spans) to doc_id and RESULT."""
-    none = np.zeros((0, 2), np.int64)
+    """Rows (doc_id, packed text, list of spans) to doc_id and RESULT."""
+    import zstandard
+
+    none, d = np.zeros((0, 2), np.int64), zstandard.ZstdDecompressor()
     for batch in batches:
         made = []
-        for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-            raw = text.as_py() or b""
+        for packed, spans in zip(batch.column(1), batch.column(2), strict=True):
+            raw = d.decompress(packed.as_buffer()) if packed.is_valid else b""
             made.append(outcome(raw, np.stack([spans.values.field(i).to_numpy() for i in range(2)], axis=1) if spans.is_valid else none))
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in made], t) for i, t in enumerate([pa.int64()] * 3 + [pa.string()]))], names=["doc_id", *(x.split()[0] for x in RESULT.split(", "))])
 
@@ -470,7 +493,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, bucket_text: int = BUCK
     across = found.where("string is not null").withColumn("least", F.min("ord").over(Window.partitionBy("string"))).where("ord > least")
     spans = found.where("string is null").drop("string").unionByName(across.drop("string", "least"))
     spans = spans.groupBy("ord", "hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return rows.join(spans, ["ord", "hash"], "left").select("doc_id", "text", "spans").mapInArrow(strip, "doc_id long, " + RESULT)
+    packed = rows.select("ord", "hash", "doc_id", "text").mapInArrow(squeeze, PACKED)
+    return packed.join(spans, ["ord", "hash"], "left").select("doc_id", "packed", "spans").mapInArrow(strip, "doc_id long, " + RESULT)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
