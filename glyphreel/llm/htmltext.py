@@ -8,7 +8,8 @@ marginals. The weights are trained on labelled pages written here from a rule (l
 the log likelihood with those marginals. Blocks of nodes whose marginal exceeds one half are the text.
 
 Cases: null or empty html gives an empty text; a page without block elements is content; pages of any length are read
-whole; character references are decoded once, white space in a block becomes one space, empty blocks vanish.
+whole; repeated rows give equal rows; an empty table gives no rows; extra columns aren't read; a marginal of exactly one
+half is not content; the words of formulas and drawings are text; character references are decoded once, white space in a block becomes one space, empty blocks vanish.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import html as html_lib
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -27,15 +29,17 @@ from glyphreel.llm.common import map_text, table
 SECTION = frozenset("html body div section article main nav aside header footer form ul ol dl table tbody thead tfoot tr figure fieldset details dialog center menu hgroup address".split())
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption blockquote pre figcaption summary legend label hr".split())
 BLOCK = SECTION | LEAF
+HEADED = ("p", "h1", "h2", "h3", "h4", "h5", "h6")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Content that isn't shown as text.
-HIDDEN = frozenset("script style noscript template textarea select option title head iframe object svg math canvas audio video button".split())
+HIDDEN = frozenset("script style noscript template textarea select option title head iframe object canvas audio video button desc metadata annotation annotation-xml".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 #: An open element of the value's set ends where the key begins, up to the nearest scope element.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}}
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|([!?])[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z))", re.S)
+#: A quote opens a value only behind an equals sign; one that isn't closed before the next tag ends with the tag.
+_TAG = re.compile(r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|([!?])[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[\"'][^>]*|[^>=]|=)*+)(>|\Z))", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -53,6 +57,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Nodes, parents before children, and blocks of text in page order with the node that holds them directly."""
     nodes = [Node("#root", -1, [])]
     stack: list[tuple[str, int]] = [("#root", 0)]
+    opened: Counter[str] = Counter()
     blocks: list[tuple[int, str]] = []
     run: list[str] = []
     hidden = links = at = 0
@@ -77,6 +82,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 hidden -= 1
             if tag == "a":
                 links -= 1
+            opened[tag] -= 1
             stack.pop()
 
     def words(text: str) -> None:
@@ -95,7 +101,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if not m[5] and not end:
             break  # the page is cut off inside a tag
         if end:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0) if opened[tag] else 0
             if depth:
                 close_to(depth)
             elif tag in BLOCK:
@@ -115,14 +121,14 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if tag in BLOCK:
             flush()
-            if tag in CLOSES:
+            if tag in CLOSES and any(opened[t] for t in CLOSES[tag]):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] in SCOPE.get(tag, ()):
                         break
                     if stack[i][0] in CLOSES[tag]:
                         close_to(i)
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph or heading
-                if stack[i][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[t] for t in HEADED) else ():  # a block ends an open paragraph or heading
+                if stack[i][0] in HEADED:
                     close_to(i)
                     break
                 if stack[i][0] in SECTION or stack[i][0] in ("td", "th", "li", "blockquote"):
@@ -135,6 +141,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if m[4].endswith("/"):
                 continue
             stack.append((tag, stack[-1][1]))
+        opened[tag] += 1
         if tag in HIDDEN:
             hidden += 1
         if tag == "a":
