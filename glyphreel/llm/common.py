@@ -22,8 +22,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def map_text(df: DataFrame, keys: list[str], text: str, make: Callable[[], Callable[[str | None], tuple]], out: str) -> DataFrame:
-    """keys of every row followed by the columns of `out` (a DDL string) that make()(text) gives.
+def map_text(df: DataFrame, keys: list[str], text: str, make: Callable[[], Callable], out: str, many: bool = False) -> DataFrame:
+    """keys of every row followed by the columns of `out` (a DDL string) that make()(text) gives; with `many`, the
+    function gets a list of texts and gives a list of rows.
 
     make runs once in each task, so that models and caches are built there. Only keys and text are read,
     so other columns, whatever their names, do no harm. Null texts reach the function as None.
@@ -38,7 +39,8 @@ def map_text(df: DataFrame, keys: list[str], text: str, make: Callable[[], Calla
             # a bounded number of rows at once: long texts must not pile up as Python strings
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = [f(x.as_py()) for x in part.column(len(keys))]
+                texts = part.column(len(keys))
+                rows = f(texts.to_pylist()) if many else [f(x.as_py()) for x in texts]
                 cols = [part.column(i).cast(arrow.field(i).type) for i in range(len(keys))]
                 cols += [pa.array([r[i] for r in rows], arrow.field(len(keys) + i).type) for i in range(len(extra))]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
@@ -62,7 +64,7 @@ def replace_text(df: DataFrame, text: str, make: Callable[[], Callable[[str | No
     """All columns, with `text` replaced by the function's result (or `name` added, of type `kind`)."""
     at = df.columns.index(text)
     kind = kind or df.schema[text].dataType
-    kept = [f for f in df.schema.fields if not (name and f.name == name)]
+    kept = [f for f in df.schema.fields if not (name and f.name.lower() == name.lower())]
     fields = [*kept, T.StructField(name, kind)] if name else [T.StructField(f.name, kind) if f.name == text else f for f in kept]
     schema = T.StructType(fields)
     arrow = to_arrow_schema(schema)

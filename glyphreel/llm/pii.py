@@ -8,7 +8,8 @@ like "a at b dot c", in any case; other ways of writing an address are not looke
 overlap a base span.
 
 Cases: a null text is read as empty and has no span; n_* and base_sha256 describe base spans only, `spans` holds all.
-Repeated rows get equal results. Offsets are code points, end exclusive.
+Repeated rows get equal results; an empty table gives no rows; extra columns aren't read. Tags that score alike are tied
+by their order in TAGS. Offsets are code points, end exclusive. Spans may have any length.
 """
 
 from __future__ import annotations
@@ -309,8 +310,8 @@ def plausible(part: str, kind: str) -> bool:
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits) and len(part) <= 2 * len(digits) + 2
     if kind == "ip":
-        return len(part) <= 40 and small_parts(re.findall(r"[0-9]+", part))
-    return bool(re.search(r"[\w.%+-]\s*(@|[(\[{<]\s*at\s*[)\]}>]|\sat\s)\s*\w.*?(\.|dot)\s*.?\s*[A-Za-z]{2}", part, re.S | re.I)) and len(part) <= 120
+        return small_parts(re.findall(r"[0-9]+", part))
+    return bool(re.search(r"[\w.%+-]\s*(@|[(\[{<]\s*at\s*[)\]}>]|\sat\s)\s*\w.*?(\.|dot)\s*.?\s*[A-Za-z]{2}", part, re.S | re.I))
 
 
 def field_spans(texts: list[str], based: list[list[Span]]) -> list[list[Span]]:
@@ -342,29 +343,30 @@ def field_spans(texts: list[str], based: list[list[Span]]) -> list[list[Span]]:
     return out
 
 
+def spans_of(texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:
+    """Of each text base spans, and all spans, in the order of start, then kind; the texts share the field's batches."""
+    based = [base_spans(t) if t else [] for t in texts]
+    looked = [i for i, t in enumerate(texts) if t and _TRIGGER.search(t)]
+    out = [(b, b) for b in based]
+    for i, more in zip(looked, field_spans([texts[i] for i in looked], [based[i] for i in looked]), strict=True):
+        out[i] = based[i], sorted(based[i] + more, key=lambda s: (s[0], KINDS.index(s[2])))
+    return out
+
+
 def all_spans(text: str | None) -> tuple[list[Span], list[Span]]:
-    """Base spans, and all spans, in the order of start, then kind."""
-    if not text:
-        return [], []
-    base = base_spans(text)
-    if not _TRIGGER.search(text):
-        return base, base
-    more = field_spans([text], [base])[0]
-    return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
+    return spans_of([text])[0]
 
 
 def find_documents(docs: DataFrame, keys: list[str]) -> DataFrame:
     def make() -> Callable:
         train()
 
-        def one(text):
-            base, spans = all_spans(text)
-            n = [sum(s[2] == k for s in base) for k in KINDS]
-            return *n, hashlib.sha256(digest(base).encode()).hexdigest(), digest(spans)
+        def rows(texts):
+            return [(*(sum(s[2] == k for s in base) for k in KINDS), hashlib.sha256(digest(base).encode()).hexdigest(), digest(spans)) for base, spans in spans_of(texts)]
 
-        return one
+        return rows
 
-    return map_text(docs, keys, "text", make, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_text(docs, keys, "text", make, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", many=True)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,7 +393,11 @@ def redact(text: str | None) -> str | None:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the kind's name in place of every span; n_chars, where there is one, counts the new text."""
+    """Puts the kind's name in place of every span; n_chars, where there is one, counts the new text.
+
+    Null and empty texts stay as they are, repeated rows get equal texts, other columns of any name pass unchanged; an empty
+    table gives an empty table.
+    """
     from pyspark.sql import functions as F
 
     clean = replace_text(docs, "text", lambda: redact)
