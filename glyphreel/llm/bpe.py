@@ -6,7 +6,8 @@ pair itself, the pair before it and the one swallowed) in logarithmic time, so a
 special case. Merged matches are remembered in a table of bounded size in each worker.
 
 Cases: null is read as the empty text, which has no tokens; its digests are those of no bytes. Texts of any length
-are encoded whole. Lone surrogates become U+FFFD, as in the library this follows.
+are encoded whole. Lone surrogates become U+FFFD, as in the library this follows. Pairs of equal rank are merged from the left. Repeated rows
+give equal rows; an empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -175,7 +176,11 @@ def round_trip(c: Codec) -> Callable[[str | None], list[int]]:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds token_ids to the columns of the documents; text is what they decode to, which is tested for every row."""
+    """Adds token_ids to the columns of the documents; text is what they decode to, which is tested for every row.
+
+    A null text stays null and has no ids. A column that is already named token_ids, in any case, is replaced; others
+    pass unchanged. Repeated rows stay; an empty table gives an empty table.
+    """
     from pyspark.sql import types as T
 
     return replace_text(docs, "text", lambda: round_trip(codec()), T.ArrayType(T.IntegerType()), "token_ids")

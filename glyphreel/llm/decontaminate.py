@@ -10,7 +10,8 @@ The items travel to the documents in blocks of bounded size (BLOCK_BYTES of text
 for each block, so a large benchmark needs more passes, not more memory.
 
 Cases: null or empty texts match nothing; items of fewer than five words cannot hold a match and are left out; equal
-items each report; repeated documents each report. Extra columns aren't read.
+items each report; repeated documents each report; a row without id reports with a null id; a longest match that occurs
+more than once takes its first place. Empty tables of documents or items give no rows. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -219,7 +220,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that leak an item."""
+    """Drops the documents that leak an item.
+
+    Null and empty texts stay, repeated rows stay or go together, other columns of any name pass unchanged; without items
+    everything stays; an empty table gives an empty table.
+    """
     from glyphreel.llm.common import keep_rows
 
     for rows in item_blocks(table(spark, sf_dir, "benchmark")):

@@ -400,7 +400,8 @@ def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group of copies and near copies (five-word shingles, 0.8).
 
-    Rows without doc_id stay; rows that repeat a doc_id stay or go together.
+    Rows without doc_id stay; rows that repeat a doc_id stay or go together. Null, empty and blank texts are copies of
+    each other. Columns of any name pass unchanged; an empty table gives an empty table.
     """
-    gone = near_copies(spark, docs).select(F.col("node").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = near_copies(spark, docs).select("node")
+    return docs.join(gone, docs["doc_id"] == gone["node"], "left_anti")
