@@ -6,7 +6,8 @@ the regularised leader (FTRL-proximal) with an elastic-net penalty, so that most
 the training rows is set aside to choose the temperature that calibrates the probabilities.
 
 Cases: a null text or one without a letter is `und` with score 0. Without training rows every text is `und`.
-Repeated rows are scored alike. Only text is read for a prediction.
+Repeated rows are scored alike; languages that score alike are tied by name; an empty table gives no rows. Only text is
+read for a prediction; extra columns of any name aren't read.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphreel.llm.common import held_out, map_text, table
@@ -149,13 +150,9 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, alpha: float = 0.3, beta:
 def train(spark: SparkSession, docs: DataFrame, per_lang: int = FIT_PER_LANG) -> LangModel:
     """From rows with a language that aren't held out, per_lang of each language at most."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    langs = sorted(r[0] for r in known.select("lang").distinct().collect())
-    chosen = None
-    for y in langs:
-        part = known.where(F.col("lang") == y).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
-        return fit([])
+    # one plan for any number of languages; the limit of a group is applied before the shuffle too
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = known.withColumn("_place", place).where(F.col("_place") <= per_lang).select("doc_id")
     picked = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull()).join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")
     return fit(sorted((r["text"], r["lang"]) for r in picked.select("text", "lang").toLocalIterator()))
 
