@@ -104,7 +104,7 @@ Palette = dict[int, tuple[int, int, int, int]]  # index -> y, cb, cr, alpha
 
 def parse_palette(body: bytes) -> tuple[int, Palette]:
     if len(body) < 2:
-        raise PgsError(f"PDS body too short: {len(body)}")
+        raise PgsError(f"palette packet of {len(body)} bytes")
     return body[0], {body[i]: (body[i + 1], body[i + 3], body[i + 2], body[i + 4]) for i in range(2, len(body) - 4, 5)}
 
 
@@ -125,7 +125,7 @@ class Composition:
 
 def parse_composition(body: bytes, pts90k: int) -> Composition:
     if len(body) < 11:
-        raise PgsError(f"PCS body too short: {len(body)}")
+        raise PgsError(f"composition packet of {len(body)} bytes")
     objects, at = [], 11
     for _ in range(body[10]):
         if at + 8 > len(body):
@@ -182,11 +182,11 @@ class Decoder:
 
     def add_object(self, body: bytes) -> None:
         if len(body) < 4:
-            raise PgsError(f"ODS body too short: {len(body)}")
+            raise PgsError(f"object packet of {len(body)} bytes")
         number, flag = u16(body, 0), body[3]
         if flag in (0x80, 0xC0):
             if len(body) < 11:
-                raise PgsError(f"ODS first-segment body too short: {len(body)}")
+                raise PgsError(f"first object packet of {len(body)} bytes")
             size = u24(body, 4)
             self.partial[number] = (u16(body, 7), u16(body, 9), size - 4 if size >= 4 else size, bytearray(body[11:]))
         elif number in self.partial:

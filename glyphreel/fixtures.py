@@ -62,6 +62,71 @@ def idx_texts_of(events: DataFrame) -> DataFrame:
     return listed.select("stream_id", F.array_join(F.concat(head, "ls"), "\n").alias("text"))
 
 
+def _put(number: int, kind: int, body: bytes) -> bytes:
+    return pgs.segment(number, kind, body)
+
+
+def rich_stream(w: int, luma: int, ticks: int) -> bytes:
+    """Two display sets. The first: a cropped object of several parts beside another one. Then the first object and the
+    palette are replaced and the set holds that object alone, beside one that isn't known.
+    """
+    out = _put(0, pgs.PDS, pgs.pds_body(3, {1: (luma, 128, 128, 255), 2: (235, 128, 128, 255)}))
+    out += b"".join(_put(0, pgs.ODS, b) for b in pgs.ods_bodies(7, np.ones((9, w + 4), np.uint8), part=5))
+    out += b"".join(_put(0, pgs.ODS, b) for b in pgs.ods_bodies(8, np.full((4, w), 2, np.uint8)))
+    out += _put(ticks, pgs.PCS, pgs.pcs_body(3, [pgs.Placed(7, 30, 50, (2, 1, w, 6)), pgs.Placed(8, 35 + w, 53)])) + _put(ticks, pgs.END, b"")
+    out += _put(ticks, pgs.PDS, pgs.pds_body(3, {1: (235, 128, 128, 255)}))
+    out += b"".join(_put(ticks, pgs.ODS, b) for b in pgs.ods_bodies(7, np.ones((3, 5), np.uint8)))
+    return out + _put(ticks + 900, pgs.PCS, pgs.pcs_body(3, [pgs.Placed(7, 0, 0), pgs.Placed(99, 40, 40)])) + _put(ticks + 900, pgs.END, b"")
+
+
+def rich_files_of(part: DataFrame) -> DataFrame:
+    rows = part.select(F.col("p_partkey").cast("string").alias("stream_id"), "p_size", (F.col("p_partkey") % 200 + 16).cast("int").alias("luma"), (F.col("p_partkey") * 90).alias("ticks"))
+    return map_rows(rows, lambda r: [(r["stream_id"], rich_stream(r["p_size"], r["luma"], r["ticks"]))], "stream_id string, content binary")
+
+
+def sub_files_of(events: DataFrame) -> DataFrame:
+    """Data files for idx_texts_of: a unit for each event, 2048 bytes apart; 1 + event_id % 7 by 3 pixels of colour 1 over colour 0."""
+
+    def unit(event_id: int) -> bytes:
+        img = np.zeros((3, 1 + event_id % 7), np.uint8)
+        img[1] = 1
+        return vobsub.packets(vobsub.encode_unit(img), 0x20, 40).ljust(2048, b"\xff")
+
+    listed = caption_events(events).groupBy("stream_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("us", "event_id"))), lambda x: x["event_id"]).alias("ids"))
+    return map_rows(listed, lambda r: [(r["stream_id"], b"".join(map(unit, r["ids"])))], "stream_id string, content binary")
+
+
+def plain_png(pixels: np.ndarray) -> bytes:
+    """A PNG of straight pixels without row filters, written without the codec."""
+    import struct
+    import zlib
+
+    h, w = pixels.shape[:2]
+    raw = b"".join(b"\0" + row.tobytes() for row in pixels)
+    parts = ((b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)), (b"IDAT", zlib.compress(raw)), (b"IEND", b""))
+    return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(b)) + n + b + struct.pack(">I", zlib.crc32(n + b)) for n, b in parts)
+
+
+def run_codes(lineitem: DataFrame) -> DataFrame:
+    """key, width, pgs, nibbles: the pixels of pixel_rows as run codes in hex, put together by expressions, without the codecs."""
+    q, colour = F.col("l_quantity").cast("int"), (F.col("l_partkey") % 4).cast("int")
+    seen = F.when(colour == 0, F.format_string("00%02X", q)).otherwise(F.format_string("00%02X%02X", q.bitwiseOR(F.lit(128)), colour))
+    code = q * 4 + colour
+    nibbles = F.when(q < 4, F.format_string("%X", code)).when(q < 16, F.format_string("%02X", code)).otherwise(F.format_string("%03X", code))
+    rows = lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", q.alias("q"), seen.alias("seen"), nibbles.alias("nibbles"))
+    listed = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_partkey", "seen", "nibbles")))
+    joined = lambda k: F.array_join(F.transform(listed, lambda x: x[k]), "")
+    return rows.groupBy(F.col("l_orderkey").alias("key")).agg(F.sum("q").cast("int").alias("width"), F.concat(joined("seen"), F.lit("0000")).alias("pgs"), joined("nibbles").alias("nibbles"))
+
+
+def unit_of_codes(nibbles: str, width: int) -> bytes:
+    """A unit of one row from its codes in hex: sizes, codes, an empty second field, one control sequence."""
+    field = bytes.fromhex(nibbles + "0" * (len(nibbles) % 2)) + b"\0"
+    control, right = 4 + len(field), width - 1
+    tail = b"\0\0" + control.to_bytes(2, "big") + bytes.fromhex("03321004ffff05") + bytes([0, right >> 8 & 15, right & 255, 0, 0, 0]) + b"\6\0\4" + (control - 1).to_bytes(2, "big") + b"\xff"
+    return (control + len(tail)).to_bytes(2, "big") + control.to_bytes(2, "big") + field + tail
+
+
 def pixel_rows(lineitem: DataFrame) -> DataFrame:
     """key, pixels: an image of two rows for each order, colours 0 to 3 by line and quantity as lengths of runs."""
     cells = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_partkey"))), lambda x: F.array_repeat((x["l_partkey"] % 4).cast("int"), x["l_quantity"].cast("int")))

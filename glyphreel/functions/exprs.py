@@ -16,8 +16,12 @@ def c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: The same white space, one by one.
+SPACES = "\t\n\v\f\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_space(x: Column | str) -> Column:
-    return F.regexp_replace(c(x), f"^[{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+$", "")
+    return F.btrim(c(x), F.lit(SPACES))
 
 
 def srt_timestamp(ms: Column | str) -> Column:
@@ -77,20 +81,41 @@ def bilinear_channel(c00: Column, c10: Column, c01: Column, c11: Column, wx: Col
 def strict_timestamp_ms(text: Column | str) -> Column:
     """Exactly HH:MM:SS:mmm once trimmed, else null."""
     t = trim_space(text)
-    part = lambda k: F.regexp_extract(t, "^([0-9]{2}):([0-9]{2}):([0-9]{2}):([0-9]{3})$", k).cast("bigint")
-    return F.when(t.rlike("^[0-9]{2}:[0-9]{2}:[0-9]{2}:[0-9]{3}$"), ((part(1) * 60 + part(2)) * 60 + part(3)) * 1000 + part(4))
+    return F.when(t.rlike(f"^{CLOCK}$"), clock_ms(t))
+
+
+CLOCK = "[0-9]{2}:[0-9]{2}:[0-9]{2}:[0-9]{3}"
+
+
+def clock_ms(stamp: Column | str) -> Column:
+    """Of a text of the form HH:MM:SS:mmm; null for an empty one."""
+    part = lambda at, n: F.substring(c(stamp), at, n).try_cast("bigint")
+    return ((part(1, 2) * 60 + part(4, 2)) * 60 + part(7, 2)) * 1000 + part(10, 3)
+
+
+def found_stamp(line: Column | str) -> Column:
+    """The first HH:MM:SS:mmm anywhere, else an empty text."""
+    return F.regexp_extract(c(line), f"({CLOCK})", 1)
 
 
 def found_timestamp_ms(line: Column | str) -> Column:
-    """The first HH:MM:SS:mmm anywhere, else null."""
-    return strict_timestamp_ms(F.nullif(F.regexp_extract(c(line), "([0-9]{2}:[0-9]{2}:[0-9]{2}:[0-9]{3})", 1), F.lit("")))
+    return clock_ms(found_stamp(line))
+
+
+def found_pos_digits(line: Column | str) -> Column:
+    """Hex digits behind the first lower-case `filepos:` that has some, without leading zeros; else an empty text."""
+    return F.regexp_extract(c(line), "filepos:[ \\t]*0*([0-9a-fA-F]+)", 1)
+
+
+def pos_of_digits(digits: Column | str) -> Column:
+    """Null for no digits or above 63 bits."""
+    d = c(digits)
+    fits = (F.length(d) > 0) & ((F.length(d) < 16) | ((F.length(d) == 16) & (F.lower(d) <= "7fffffffffffffff")))
+    return F.when(fits, F.conv(F.when(fits, d), 16, 10).cast("bigint"))
 
 
 def found_file_pos(line: Column | str) -> Column:
-    """Hex digits behind the first lower-case `filepos:` that has some; null if none or above 63 bits."""
-    digits = F.regexp_replace(F.regexp_extract(c(line), "filepos:[ \\t]*([0-9a-fA-F]+)", 1), "^0+(?=.)", "")
-    fits = (F.length(digits) > 0) & ((F.length(digits) < 16) | ((F.length(digits) == 16) & (F.lower(digits) <= "7fffffffffffffff")))
-    return F.when(fits, F.conv(F.when(fits, digits), 16, 10).cast("bigint"))
+    return pos_of_digits(found_pos_digits(line))
 
 
 def split_lines(text: Column | str) -> Column:
@@ -123,11 +148,19 @@ def data_uri(png: Column | str) -> Column:
     return F.concat(F.lit("data:image/png;base64,"), F.translate(F.base64(c(png)), "\r\n", ""))
 
 
+#: Braces pair from the left, so the count's place can't be followed by a third closing one.
+TEMPLATE_TOKEN = r"[^{}]+|\{\{|\}\}|\{expected_count\}(?!\})|[{}]"
+
+
 def render_template(template: Column | str, expected: Column) -> Column:
-    """Doubled braces stand for one; {expected_count} is replaced; any other brace gives null."""
-    left, right = "\u0001L\u0001", "\u0001R\u0001"
-    t = F.replace(F.replace(F.replace(c(template), F.lit("{{"), F.lit(left)), F.lit("}}"), F.lit(right)), F.lit("{expected_count}"), expected.cast("string"))
-    return F.when(~t.rlike("[{}]"), F.replace(F.replace(t, F.lit(left), F.lit("{")), F.lit(right), F.lit("}")))
+    """Doubled braces stand for one; {expected_count} is replaced; any other brace is an error, as in ocr.config.prompt.
+
+    The template is read as a list of tokens: plain runs, doubled braces, the count's place, single braces.
+    """
+    tokens = F.regexp_extract_all(c(template), F.lit(TEMPLATE_TOKEN), F.lit(0))
+    wrong = F.array_contains(tokens, F.lit("{")) | F.array_contains(tokens, F.lit("}"))
+    shown = F.transform(tokens, lambda x: F.when(x == "{expected_count}", expected.cast("string")).when(x == "{{", "{").when(x == "}}", "}").otherwise(x))
+    return F.when(wrong, F.raise_error(F.lit("a brace of the template is neither doubled nor part of {expected_count}")).cast("string")).otherwise(F.array_join(shown, ""))
 
 
 def be_uint(body: Column | str, at: int, n: int) -> Column:

@@ -33,7 +33,7 @@ def with_retry(call: Callable[[], str], sheet: str, retries: int, backoff: float
             return call()
         except Exception as e:  # noqa: BLE001
             if attempt == retries or not retryable(e):
-                raise RuntimeError(f"OCR failed for sheet {sheet} after {retries + 1} attempts: {e}") from e
+                raise RuntimeError(f"{sheet}: {e} (attempts: {attempt + 1})") from e
             if backoff > 0:
                 sleep(backoff * 2**attempt)
     raise AssertionError
@@ -44,7 +44,7 @@ def body_of(r: requests.Response) -> bytes:
     for part in r.iter_content(1 << 16):
         got += part
         if len(got) > C.BODY_LIMIT:
-            raise C.SchemaError(f"OCR API response body too large (> {C.BODY_LIMIT} bytes)")
+            raise C.SchemaError(f"an answer of more than {C.BODY_LIMIT} bytes")
     return bytes(got)
 
 
@@ -66,7 +66,7 @@ def ask_openai(c: C.OpenAI, png: bytes, expected: int) -> str:
         choices = json.loads(raw)["choices"]
         return X.envelope_text(X.content_text(choices[0]["message"].get("content")))
     except (ValueError, KeyError, IndexError, TypeError, AttributeError) as e:
-        raise C.SchemaError(f"decode OCR response JSON: {e!r}") from e
+        raise C.SchemaError(f"an answer without choices: {e!r}") from e
 
 
 def dump_line(stage: str, status: int, url: str, raw: bytes) -> str:
@@ -113,7 +113,7 @@ def ask_paddle(c: C.Paddle, name: str, png: bytes, dump: list[str], sleep: Calla
     options = json.dumps({"useDocOrientationClassify": False, "useDocUnwarping": False, "useTextlineOrientation": False})
     job = get("submit", http.post(c.api_url, headers=head, data={"model": c.model, "optionalPayload": options}, files={"file": (name, png)}, timeout=left(), stream=True), c.api_url).get("jobId")
     if not job:
-        raise C.SchemaError("decode paddle OCR response: missing data.jobId")
+        raise C.SchemaError("an answer without a job id")
     url = f"{c.api_url}/{quote(job, safe='')}"
     while True:
         data = get("poll", http.get(url, headers=head, timeout=left(), stream=True), url)
@@ -121,14 +121,14 @@ def ask_paddle(c: C.Paddle, name: str, png: bytes, dump: list[str], sleep: Calla
         if state in ("pending", "running"):
             sleep(min(C.POLL_SECONDS, left()))
         elif state == "failed":
-            raise RuntimeError(f"paddle OCR job failed: {data.get('errorMsg')}")
+            raise RuntimeError(f"the job failed: {data.get('errorMsg')}")
         elif state == "done":
             break
         else:
-            raise C.SchemaError(f"decode paddle OCR response: unexpected job state {state}")
+            raise C.SchemaError(f"an unknown state of the job: {state}")
     where = (data.get("resultUrl") or {}).get("jsonUrl")
     if not where:
-        raise C.SchemaError("decode paddle OCR response: missing data.resultUrl.jsonUrl")
+        raise C.SchemaError("an answer without the address of its result")
     with http.get(where, timeout=left(), stream=True) as r:
         raw = body_of(r)
         dump += [dump_line("result", r.status_code, where, line) for line in raw.split(b"\n") if line.strip()]

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, field
 
 import yaml
 
+from glyphreel.functions import exprs as E
+
 OPENAI, PADDLE = "openai_llm", "paddle_ocr"
 #: Limits and defaults.
 STRICT_ATTEMPTS, POLL_SECONDS, BODY_LIMIT, DETAIL = 5, 5.0, 8 << 20, 500
 PADDLE_TIMEOUT, PADDLE_RETRIES, PADDLE_BACKOFF = 120, 2, 1.0
 PADDLE_URL, PADDLE_MODEL = "https://paddleocr.aistudio-app.com/api/v2/ocr/jobs", "PP-OCRv6"
-PROMPT = "Read the subtitle lines in this image. Return exactly {expected_count} lines from top to bottom. Put a line that holds only 0123456789 between neighbouring subtitle lines, none before the first or after the last. Return plain text without remarks."
+#: Fixed value: what a service is asked where the settings have no template of their own.
+PROMPT = 'OCR only. Output exactly {expected_count} dialogue lines in top-to-bottom order. Insert a standalone line "0123456789" only between adjacent dialogue lines. Do not output a leading or trailing separator. Do not include JSON or explanation.'
 
 
 class ConfigError(ValueError):
@@ -21,7 +25,7 @@ class ConfigError(ValueError):
 
 class StatusError(RuntimeError):
     def __init__(self, status: int, url: str, detail: str = ""):
-        super().__init__(f"OCR API request failed ({status}) at {url}: {detail}")
+        super().__init__(f"the service answered {status} at {url}: {detail}")
         self.status = status
 
 
@@ -35,7 +39,7 @@ class Cancelled(RuntimeError):
 
 class StrictMismatch(RuntimeError):
     def __init__(self, sheet: str, expected: int, got: int, lines: list[str], attempts: int = STRICT_ATTEMPTS):
-        super().__init__(f"strict OCR split count mismatch for {sheet}: expected={expected} got={got} after {attempts} attempts")
+        super().__init__(f"{sheet}: {got} lines instead of {expected} in the last of {attempts} attempts")
         self.lines = lines
 
 
@@ -77,12 +81,12 @@ def _number(section: dict, key: str, default: float, kind: type = int) -> float:
 
 def load(path: str) -> OcrConfig:
     if not os.path.exists(path):
-        raise ConfigError(f"config file not found: {path}")
+        raise ConfigError(f"no settings file at {path}")
     with open(path, encoding="utf-8") as f:
         try:
             doc = yaml.safe_load(f) or {}
         except yaml.YAMLError as e:
-            raise ConfigError(f"parse YAML config {path}: {e}") from e
+            raise ConfigError(f"{path} is not YAML: {e}") from e
     general, o, p = (doc.get(k) or {} for k in ("ocr", OPENAI, PADDLE))
     text = lambda s, k: str(s.get(k) or "").strip()
     base = OpenAI()
@@ -93,14 +97,14 @@ def load(path: str) -> OcrConfig:
     paddle = Paddle(text(p, "api_url").rstrip("/") or PADDLE_URL, text(p, "token"), text(p, "model") or PADDLE_MODEL)
     config = OcrConfig(text(general, "provider"), _number(general, "max_concurrency", 4), openai, paddle)
     wrong = [
-        (config.max_concurrency <= 0, "ocr.max_concurrency must be > 0"),
-        (config.provider not in (OPENAI, PADDLE), f"ocr.provider must be one of: {OPENAI}, {PADDLE}"),
-        (config.provider == OPENAI and not (openai.api_base and openai.api_key and openai.model), "missing required fields for openai_llm: api_base, api_key, model"),
-        (config.provider == OPENAI and openai.max_retries < 0, "openai_llm.max_retries must be >= 0"),
-        (config.provider == OPENAI and openai.retry_backoff_seconds < 0, "openai_llm.retry_backoff_seconds must be >= 0"),
-        (config.provider == OPENAI and openai.timeout_seconds <= 0, "openai_llm.timeout_seconds must be > 0"),
-        (config.provider == OPENAI and openai.max_tokens <= 0, "openai_llm.max_tokens must be > 0"),
-        (config.provider == PADDLE and not paddle.token, "missing required fields for paddle_ocr: api_url, token"),
+        (config.max_concurrency <= 0, "ocr.max_concurrency: needs a positive number"),
+        (config.provider not in (OPENAI, PADDLE), f"ocr.provider: needs {OPENAI} or {PADDLE}"),
+        (config.provider == OPENAI and not (openai.api_base and openai.api_key and openai.model), "openai_llm: needs api_base, api_key and model"),
+        (config.provider == OPENAI and openai.max_retries < 0, "openai_llm.max_retries: needs zero or more"),
+        (config.provider == OPENAI and openai.retry_backoff_seconds < 0, "openai_llm.retry_backoff_seconds: needs zero or more"),
+        (config.provider == OPENAI and openai.timeout_seconds <= 0, "openai_llm.timeout_seconds: needs a positive number"),
+        (config.provider == OPENAI and openai.max_tokens <= 0, "openai_llm.max_tokens: needs a positive number"),
+        (config.provider == PADDLE and not paddle.token, "paddle_ocr: needs a token"),
     ]
     for bad, message in wrong:
         if bad:
@@ -110,17 +114,7 @@ def load(path: str) -> OcrConfig:
 
 def prompt(template: str, expected: int) -> str:
     """{{ and }} stand for braces, {expected_count} for the number; any other brace is an error."""
-    out, rest = [], template.strip() or PROMPT
-    while rest:
-        if rest.startswith(("{{", "}}")):
-            out.append(rest[0])
-            rest = rest[2:]
-        elif rest.startswith("{expected_count}"):
-            out.append(str(expected))
-            rest = rest[len("{expected_count}") :]
-        elif rest[0] in "{}":
-            raise ConfigError("invalid ocr.prompt_template. It must support {expected_count}")
-        else:
-            out.append(rest[0])
-            rest = rest[1:]
-    return "".join(out)
+    tokens = re.findall(E.TEMPLATE_TOKEN, template.strip() or PROMPT)
+    if "{" in tokens or "}" in tokens:
+        raise ConfigError("openai_llm.prompt_template: a brace is neither doubled nor part of {expected_count}")
+    return "".join({"{expected_count}": str(expected), "{{": "{", "}}": "}"}.get(x, x) for x in tokens)

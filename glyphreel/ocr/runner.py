@@ -36,7 +36,7 @@ def recognise_sheet(ask: client.Provider, sheet: str, png: bytes | None, expecte
     """A row of OCR_TEXT. A mismatch in strict mode is asked again, up to the limit, and keeps the last lines."""
     dump: list[str] = []
     if png is None:
-        return sheet, expected, None, None, 0, "error", f"sheet image missing: {sheet}", None
+        return sheet, expected, None, None, 0, "error", f"no image of {sheet}", None
     text, lines, attempt = "", [], 0
     try:
         for attempt in range(1, (C.STRICT_ATTEMPTS if strict else 1) + 1):
@@ -49,8 +49,12 @@ def recognise_sheet(ask: client.Provider, sheet: str, png: bytes | None, expecte
     return sheet, expected, text, aligned(lines, expected), attempt, "strict", str(C.StrictMismatch(sheet, expected, len(lines), lines)), "".join(dump)
 
 
-def recognise(sheets: DataFrame, make: Callable[[], client.Provider], concurrency: int, strict: bool = False) -> DataFrame:
-    """sheets: sheet, png, expected. Errors are rows, so no task fails and none is paid for twice by a task retry."""
+def recognise(sheets: DataFrame, make: Callable[[], client.Provider], concurrency: int, strict: bool = False, stop: str | None = None) -> DataFrame:
+    """sheets: sheet, png, expected. Errors are rows, so no task fails and none is paid for twice by a task retry.
+
+    stop names a file that all tasks see. The first error makes it, and from then on no task asks for another sheet: such
+    sheets get rows of kind `skipped`.
+    """
 
     names = schemas.struct(schemas.OCR_TEXT).names
 
@@ -58,7 +62,13 @@ def recognise(sheets: DataFrame, make: Callable[[], client.Provider], concurrenc
         ask = make()
         for df in batches:
             for r in df.itertuples(index=False):
-                row = recognise_sheet(ask, r.sheet, None if r.png is None else bytes(r.png), int(r.expected), strict)
+                if stop and os.path.exists(stop):
+                    row = r.sheet, int(r.expected), None, None, 0, "skipped", None, None
+                else:
+                    row = recognise_sheet(ask, r.sheet, None if r.png is None else bytes(r.png), int(r.expected), strict)
+                if stop and row[5] == "error":
+                    with open(stop, "a"):
+                        pass
                 yield pd.DataFrame([row], columns=names)
 
     return sheets.select("sheet", "png", "expected").repartition(concurrency).mapInPandas(run, schemas.OCR_TEXT)
@@ -89,7 +99,11 @@ def run_folder(spark: SparkSession, folder: str, config_path: str, strict: bool
         progress(0, n)
     images = files.binary_files(spark, folder, "*.png").select(F.element_at(F.split("path", "/"), -1).alias("sheet"), F.col("content").alias("png"))
     ask = make or client.provider
-    results = recognise(sheets.join(images, "sheet", "left"), lambda: ask(config), min(config.max_concurrency, n), strict)
+    stop = os.path.join(folder, "temp", "ocr_failed")
+    os.makedirs(os.path.dirname(stop), exist_ok=True)
+    if os.path.exists(stop):
+        os.remove(stop)
+    results = recognise(sheets.join(images, "sheet", "left"), lambda: ask(config), min(config.max_concurrency, n), strict, stop)
     # kept on reliable storage before any use: computing it again would pay for every request again
     kept = os.path.join(folder, "temp", "ocr_results")
     results.write.mode("overwrite").parquet(kept)
@@ -104,5 +118,5 @@ def run_folder(spark: SparkSession, folder: str, config_path: str, strict: bool
     writers.write_text(out, writers.srt_text(backfill(items, results)))
     wrong = [r["error"] for r in results.where("error_kind = 'strict'").orderBy("sheet").select("error").toLocalIterator()]
     if wrong:
-        raise RuntimeError("strict OCR mismatches:\n" + "\n".join(f"- {w}" for w in wrong))
+        raise RuntimeError("sheets whose lines do not fit:\n" + "\n".join(f"- {w}" for w in wrong))
     return out

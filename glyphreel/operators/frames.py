@@ -23,12 +23,14 @@ def pgs_segments(files: DataFrame) -> DataFrame:
     """files: stream_id, content. One row for each packet, in order."""
     arrow = to_arrow_schema(schemas.struct(schemas.SEGMENT))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for stream, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got = pgs.split_segments(content)
-                cols = [[stream] * len(got), list(range(len(got))), [g[0] for g in got], [g[1] for g in got], [g[2] for g in got], [g[3] for g in got]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, arrow, strict=True)], schema=arrow)
+                for n, segment in enumerate(pgs.split_segments(content)):
+                    yield stream, n, *segment
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched(rows(batches), arrow)
 
     return files.select("stream_id", "content").mapInArrow(run, schemas.struct(schemas.SEGMENT))
 
@@ -70,7 +72,7 @@ def pgs_frames(files: DataFrame, permissive: bool = False) -> DataFrame:
     """Split and fold in one task for each stream, without a shuffle."""
     arrow = to_arrow_schema(schemas.struct(schemas.SHOWN))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for stream, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
@@ -78,11 +80,13 @@ def pgs_frames(files: DataFrame, permissive: bool = False) -> DataFrame:
                 except pgs.PgsError as e:
                     if not permissive:
                         raise
-                    yield _batch([(stream, 0, None, None, None, None, f"{stream}: {e}")], arrow)
+                    yield stream, 0, None, None, None, None, f"{stream}: {e}"
                     continue
-                rows = _fold(stream, iter(s[1:] for s in segments), permissive)
-                for at in range(0, len(rows), 64):
-                    yield _batch(rows[at : at + 64], arrow)
+                yield from _fold(stream, iter(s[1:] for s in segments), permissive)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # short streams share a batch: one for each of them would cost more than its frames
+        return batched(rows(batches), arrow)
 
     return files.select("stream_id", "content").mapInArrow(run, schemas.struct(schemas.SHOWN))
 
@@ -91,10 +95,9 @@ def fold_segments(segments: DataFrame, permissive: bool = False) -> DataFrame:
     """The same from a table of segments: one shuffle and sort by stream, then a fold that holds one stream's state at a time."""
     arrow = to_arrow_schema(schemas.struct(schemas.SHOWN))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         now, decoder, n, failed = None, pgs.Decoder(), 0, False
         for batch in batches:
-            rows = []
             for stream, pts, kind, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if stream != now:
                     now, decoder, n, failed = stream, pgs.Decoder(), 0, False
@@ -106,16 +109,14 @@ def fold_segments(segments: DataFrame, permissive: bool = False) -> DataFrame:
                     if not permissive:
                         raise
                     failed = True
-                    rows.append((stream, 0, None, None, None, None, f"{stream}: {e}"))
+                    yield stream, 0, None, None, None, None, f"{stream}: {e}"
                     continue
                 if got:
                     n += 1
-                    rows.append((stream, n, got[0], got[1].shape[1], got[1].shape[0], got[1].tobytes(), None))
-                if len(rows) == 64:
-                    yield _batch(rows, arrow)
-                    rows = []
-            if rows:
-                yield _batch(rows, arrow)
+                    yield stream, n, got[0], got[1].shape[1], got[1].shape[0], got[1].tobytes(), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched(rows(batches), arrow)
 
     out = segments.repartition("stream_id").sortWithinPartitions("stream_id", "seg_no").select("stream_id", "pts90k", "seg_type", "body").mapInArrow(run, schemas.struct(schemas.SHOWN))
     if not permissive:
@@ -165,7 +166,7 @@ def vobsub_frames(pairs: DataFrame, entries: DataFrame, header: DataFrame, permi
     schema = schemas.struct("stream_id string, cue_index int, start_ms bigint, width int, height int, rgba binary, error string")
     arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for stream, content, entries_, palette, lang in zip(*(batch.column(n).to_pylist() for n in ("stream_id", "content", "spans", "palette", "lang_idx")), strict=True):
                 rows = []
@@ -180,8 +181,10 @@ def vobsub_frames(pairs: DataFrame, entries: DataFrame, header: DataFrame, permi
                     if not permissive:
                         raise
                     rows = [(stream, 0, None, None, None, None, f"{stream}: {x}")]
-                for at in range(0, len(rows), 64):
-                    yield _batch(rows[at : at + 64], arrow)
+                yield from rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched(drawn(batches), arrow)
 
     return todo.select("stream_id", "content", "spans", "palette", "lang_idx").mapInArrow(run, schema)
 
@@ -191,7 +194,7 @@ def image_frames(files: DataFrame, permissive: bool = False) -> DataFrame:
     schema = schemas.struct(schemas.FRAME + ", error string")
     arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for stream, cue, content in zip(*(batch.column(n).to_pylist() for n in ("stream_id", "cue_index", "content")), strict=True):
                 try:
@@ -199,9 +202,12 @@ def image_frames(files: DataFrame, permissive: bool = False) -> DataFrame:
                 except png.PngError as e:
                     if not permissive:
                         raise
-                    yield _batch([(stream, cue, None, None, None, f"{stream}: {e}")], arrow)
+                    yield stream, cue, None, None, None, f"{stream}: {e}"
                     continue
-                yield _batch([(stream, cue, img.shape[1], img.shape[0], img.tobytes(), None)], arrow)
+                yield stream, cue, img.shape[1], img.shape[0], img.tobytes(), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched(rows(batches), arrow)
 
     return files.select("stream_id", "cue_index", "content").mapInArrow(run, schema)
 

@@ -381,9 +381,9 @@ def colour_counts(key: str = "key") -> str:
     return f"select l_orderkey as {key}, cast(l_partkey % 4 as integer) as colour, cast(sum(cast(l_quantity as integer)) as bigint) as n from lineitem group by all"
 
 
-def decoded_counts(df: DataFrame, decode: Callable[[list[int]], list[int]]) -> DataFrame:
+def decoded_counts(df: DataFrame, decode: Callable[[dict], list[int]]) -> DataFrame:
     def make(r: dict) -> list[tuple]:
-        got = decode(r["row"])
+        got = decode(r)
         return [(r["key"], k, got.count(k)) for k in sorted(set(got))]
 
     return X.map_rows(df, make, "key bigint, colour int, n bigint")
@@ -391,41 +391,86 @@ def decoded_counts(df: DataFrame, decode: Callable[[list[int]], list[int]]) -> D
 
 @query(colour_counts())
 def pgs_rle_pixels(spark, sf_dir):
-    """Run lengths there and back."""
+    """Run codes written by expressions, read by the codec."""
+    return decoded_counts(X.run_codes(t(spark, sf_dir, "lineitem")), lambda r: pgs.decode_runs(bytes.fromhex(r["pgs"]), r["width"], 1).ravel().tolist())
+
+
+@query(colour_counts())
+def pgs_rle_round_trip(spark, sf_dir):
+    """Run codes of the codec's own writer."""
     import numpy as np
 
-    return decoded_counts(X.pixel_rows(t(spark, sf_dir, "lineitem")), lambda row: pgs.decode_runs(pgs.encode_runs(np.array([row], np.uint8)), len(row), 1).ravel().tolist())
+    return decoded_counts(X.pixel_rows(t(spark, sf_dir, "lineitem")), lambda r: pgs.decode_runs(pgs.encode_runs(np.array([r["row"]], np.uint8)), len(r["row"]), 1).ravel().tolist())
 
 
 @query(colour_counts())
 def vobsub_rle_pixels(spark, sf_dir):
-    """Units of two fields there and back, by colour."""
+    """Units put together from codes that expressions wrote, read by the codec, by colour."""
+    palette = [0x010000, 0x020000, 0x030000, 0x040000]
+    return decoded_counts(X.run_codes(t(spark, sf_dir, "lineitem")), lambda r: (vobsub.decode_unit(X.unit_of_codes(r["nibbles"], r["width"]), palette)[..., 0] - 1).ravel().tolist())
+
+
+@query(colour_counts())
+def vobsub_rle_round_trip(spark, sf_dir):
+    """Units of the codec's own writer."""
     import numpy as np
 
     palette = [0x010000, 0x020000, 0x030000, 0x040000]
-    return decoded_counts(X.pixel_rows(t(spark, sf_dir, "lineitem")), lambda row: (vobsub.decode_unit(vobsub.encode_unit(np.array([row], np.uint8)), palette)[..., 0] - 1).ravel().tolist())
+    return decoded_counts(X.pixel_rows(t(spark, sf_dir, "lineitem")), lambda r: (vobsub.decode_unit(vobsub.encode_unit(np.array([r["row"]], np.uint8)), palette)[..., 0] - 1).ravel().tolist())
+
+
+GREY = "((298 * (luma - 16) + 128) >> 8)"
+
+
+@query(f"""with p as (select cast(p_partkey as varchar) as stream_id, p_partkey, p_size as w, p_partkey % 200 + 16 as luma from part)
+select stream_id, 1 as cue_index, p_partkey as start_ms, p_partkey + 10 as end_ms, 2 * w + 5 as width, 7 as height, cast({GREY} * 6 * w + 255 * 4 * w as bigint) as red, cast(255 * 10 * w as bigint) as alpha, cast({GREY} * 6 * w * (w - 1) // 2 + 255 * 4 * (w * (w + 5) + w * (w - 1) // 2) as bigint) as red_by_x, cast({GREY} * w * 15 + 255 * w * 18 as bigint) as red_by_y from p
+union all select stream_id, 2, p_partkey + 10, p_partkey + 2010, 5, 3, 255 * 15, 255 * 15, 255 * 30, 255 * 15 from p""")
+def pgs_pixels(spark, sf_dir):
+    """Several parts, a crop, two objects, a replaced object and palette, an unknown object; sums of pixels, plain and by place."""
+    shown = frames.pgs_frames(X.rich_files_of(t(spark, sf_dir, "part")))
+    return pixel_sums(frames.shown_frames(shown), ("red", "alpha", "red_by_x", "red_by_y")).join(frames.shown_cues(shown), ["stream_id", "cue_index"]).select("stream_id", "cue_index", "start_ms", "end_ms", "width", "height", "red", "alpha", "red_by_x", "red_by_y")
+
+
+def pixel_sums(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """stream_id, cue_index, width, height of frames and sums of their red and alpha values, plain and times the column or row."""
+    import numpy as np
+
+    def make(r: dict) -> list[tuple]:
+        px = np.frombuffer(r["rgba"], np.uint8).reshape(r["height"], r["width"], 4).astype(np.int64)
+        red, x, y = px[..., 0], np.arange(r["width"]), np.arange(r["height"])[:, None]
+        sums = {"red": red, "alpha": px[..., 3], "red_by_x": red * x, "red_by_y": red * y}
+        return [(r["stream_id"], r["cue_index"], r["width"], r["height"], *(int(sums[n].sum()) for n in names))]
+
+    return X.map_rows(df.select("stream_id", "cue_index", "width", "height", "rgba"), make, "stream_id string, cue_index int, width int, height int, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def unit_bytes(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes: sizes of the units read back from each text's packets, summed."""
+    """doc_id, n_bytes, digest: of the units read back from each text's packets, end to end."""
+    import hashlib
 
     def make(r: dict) -> list[tuple]:
         ends = [*r["starts"][1:], len(r["content"])]
-        return [(r["doc_id"], sum(len(vobsub.find_unit(r["content"], a, b, 0x20)) - 2 for a, b in zip(r["starts"], ends, strict=True)))]
+        body = b"".join(vobsub.find_unit(r["content"], a, b, 0x20)[2:] for a, b in zip(r["starts"], ends, strict=True))
+        return [(r["doc_id"], len(body), hashlib.sha256(body).hexdigest())]
 
-    return X.map_rows(X.spu_rows(documents), make, "doc_id bigint, n_bytes bigint")
+    return X.map_rows(X.spu_rows(documents), make, "doc_id bigint, n_bytes bigint, digest string")
 
 
-@query("select doc_id, least(octet_length(encode(text)), 3000) as n_bytes from documents")
+@query("select doc_id, octet_length(encode(coalesce(text, ''))) as n_bytes, sha256(coalesce(text, '')) as digest from documents")
 def spu_merge(spark, sf_dir):
-    """Units from packets of two header forms, beside another stream's; all of a text is read, its SQL shows 3000 at most."""
-    return unit_bytes(t(spark, sf_dir, "documents")).withColumn("n_bytes", F.least("n_bytes", F.lit(3000).cast("bigint")))
+    """Whole texts as units from packets of two header forms, beside another stream's; sizes and bytes."""
+    return unit_bytes(t(spark, sf_dir, "documents"))
 
 
-@query("select doc_id, octet_length(encode(text)) as n_bytes from documents")
-def spu_merge_whole(spark, sf_dir):
-    """The same with the whole sizes."""
-    return unit_bytes(t(spark, sf_dir, "documents"))
+@query(f"""with {STREAMS}, c as (select stream_id, event_id, row_number() over w as cue_index, us // 1000 as start_ms, lead(us // 1000) over w as nxt from s window w as (partition by stream_id order by us, event_id))
+select stream_id, cast(cue_index as integer) as cue_index, start_ms, case when coalesce(nxt, start_ms + 2000) <= start_ms then start_ms + 500 else coalesce(nxt, start_ms + 2000) end as end_ms, cast(1 + event_id % 7 as integer) as width, 3 as height, 255 * (1 + event_id % 7) as red, 765 * (1 + event_id % 7) as alpha, 255 * (1 + event_id % 7) as red_by_y from c""")
+def vobsub_cues(spark, sf_dir):
+    """Index texts joined with data files, byte spans, units, fields, colours and times."""
+    events = t(spark, sf_dir, "events")
+    texts = X.idx_texts_of(events)
+    got = frames.vobsub_frames(X.sub_files_of(events), idx.entries(idx.lines(texts)), idx.header(texts))
+    cues = R.infer_ends(got.select("stream_id", "cue_index", "start_ms"), ["stream_id"], ["cue_index"])
+    return pixel_sums(got, ("red", "alpha", "red_by_y")).join(cues, ["stream_id", "cue_index"]).select("stream_id", "cue_index", "start_ms", "end_ms", "width", "height", "red", "alpha", "red_by_y")
 
 
 @query(f"with {STREAMS} select stream_id, cast(row_number() over (partition by stream_id order by us, event_id) as integer) as entry_no, us // 1000 as start_ms, (row_number() over (partition by stream_id order by us, event_id) - 1) * 2048 as file_pos from s")
@@ -487,6 +532,140 @@ def compose_sheets(spark, sf_dir):
     return sheets.select("stream_id", "sheet", E.be_uint("png", 16, 4).cast("int").alias("width"), E.be_uint("png", 20, 4).cast("int").alias("height"), F.size("cue_indexes").alias("n_cues"))
 
 
+def drawn(spark: SparkSession, sf_dir: str, shade, right: int = 4, low: int = 3) -> DataFrame:
+    """made_frames with a box of other values: shade(h, w) gives its (h, w, 4) pixels; borders as wide as told."""
+    import numpy as np
+
+    def make(r: dict) -> list[tuple]:
+        w, h = r["p_size"], r["p_size"] // 2 + 1
+        img = np.zeros((h + low + 3, w + right + 2, 4), np.uint8)
+        img[3 : 3 + h, 2 : 2 + w] = shade(h, w)
+        return [(r["p_brand"], r["p_partkey"], img.shape[1], img.shape[0], img.tobytes())]
+
+    return X.map_rows(t(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").cast("int").alias("p_partkey"), "p_size"), make, "stream_id string, cue_index int, width int, height int, rgba binary")
+
+
+def flat(colour: tuple[int, int, int, int]):
+    import numpy as np
+
+    return lambda h, w: np.full((h, w, 4), colour, np.uint8)
+
+
+BOXES = "(select p_brand as stream_id, cast(p_partkey as integer) as cue_index, p_size as w, p_size // 2 + 1 as h from part)"
+
+
+def padded_sql(red: int) -> str:
+    return f"select stream_id, cue_index, cast(w + 20 as integer) as width, cast(h + 20 as integer) as height, {red} * w * h as red, 255 * w * h as alpha, {red} * h * (10 * w + w * (w - 1) // 2) as red_by_x, {red} * w * (10 * h + h * (h - 1) // 2) as red_by_y from {BOXES}"
+
+
+@query(padded_sql(40))
+def crop_pad_pixels(spark, sf_dir):
+    """Pixels of frames cropped to their alpha and padded, by value and place."""
+    done = frames.preprocess(drawn(spark, sf_dir, flat((40, 90, 7, 255))), max_width=1080, padding=10)
+    return pixel_sums(done, ("red", "alpha", "red_by_x", "red_by_y"))
+
+
+@query(padded_sql(255))
+def force_white_pixels(spark, sf_dir):
+    """The same, whitened."""
+    done = frames.preprocess(drawn(spark, sf_dir, flat((40, 90, 7, 255))), max_width=1080, padding=10, force_white=True)
+    return pixel_sums(done, ("red", "alpha", "red_by_x", "red_by_y"))
+
+
+def on_ground(h: int, w: int):
+    import numpy as np
+
+    img = np.full((h + 6, w + 6, 4), (9, 9, 9, 255), np.uint8)
+    img[3 : 3 + h, 2 : 2 + w] = (200, 1, 2, 255)
+    return img
+
+
+@query(f"select stream_id, cue_index, cast(w as integer) as width, cast(h as integer) as height, 200 * w * h as red, 255 * w * h as alpha from {BOXES}")
+def solid_crop_pixels(spark, sf_dir):
+    """Opaque frames cropped to what differs from the colour of their corners."""
+
+    def make(r: dict) -> list[tuple]:
+        img = on_ground(r["p_size"] // 2 + 1, r["p_size"])
+        return [(r["p_brand"], r["p_partkey"], img.shape[1], img.shape[0], img.tobytes())]
+
+    made = X.map_rows(t(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").cast("int").alias("p_partkey"), "p_size"), make, "stream_id string, cue_index int, width int, height int, rgba binary")
+    return pixel_sums(frames.preprocess(made, max_width=1080, padding=0, solid_fallback=True), ("red", "alpha"))
+
+
+def slope(h: int, w: int):
+    import numpy as np
+
+    img = np.full((h, w, 4), 255, np.uint8)
+    img[..., 0] = (np.arange(w) * 7 + np.arange(h)[:, None] * 13) % 256
+    return img
+
+
+@query(f"""with b as (select *, cast(greatest(1, floor(h * (16.0::double / w) + 0.5)) as integer) as nh from {BOXES} where w > 16),
+ax as (select stream_id, cue_index, w, h, nh, i, (i + 0.5) * (w / 16.0::double) - 0.5 as pos from b, range(16) r(i)),
+ay as (select stream_id, cue_index, i as j, (i + 0.5) * (h / nh::double) - 0.5 as pos, h from b, range(60) r(i) where i < nh),
+tx as (select stream_id, cue_index, w, h, nh, i, cast(greatest(floor(pos), 0) as bigint) as x0, cast(least(floor(pos) + 1, w - 1) as bigint) as x1, pos - floor(pos) as wx from ax),
+ty as (select stream_id, cue_index, j, cast(greatest(floor(pos), 0) as bigint) as y0, cast(least(floor(pos) + 1, h - 1) as bigint) as y1, pos - floor(pos) as wy from ay),
+px as (select stream_id, cue_index, nh, i, wx, wy, ((x0 * 7 + y0 * 13) % 256)::double as a, ((x1 * 7 + y0 * 13) % 256)::double as b, ((x0 * 7 + y1 * 13) % 256)::double as c, ((x1 * 7 + y1 * 13) % 256)::double as d from tx join ty using (stream_id, cue_index)),
+v as (select stream_id, cue_index, nh, i, cast(floor(greatest(0, least(255, (a + (b - a) * wx) + ((c + (d - c) * wx) - (a + (b - a) * wx)) * wy)) + 0.5) as bigint) as v from px)
+select stream_id, cue_index, 16 as width, nh as height, cast(sum(v) as bigint) as red, cast(sum(v * i) as bigint) as red_by_x from v group by stream_id, cue_index, nh""")
+def shrink_pixels(spark, sf_dir):
+    """Every pixel of frames shrunk to 16 columns."""
+    made = drawn(spark, sf_dir, slope).where("width > 22")
+    return pixel_sums(frames.preprocess(made, max_width=16, padding=0), ("red", "red_by_x"))
+
+
+@query(f"""with z as (select stream_id, cue_index, w, h, cast((row_number() over (partition by stream_id order by cue_index) - 1) // 6 + 1 as integer) as sheet_no from {BOXES}),
+s as (select stream_id, sheet_no, max(w + 6) as width, sum(h + 6) + 12 * (count(*) - 1) as height, count(*) as n, sum(40 * w * h) as boxes from z group by all)
+select stream_id, printf('sheet_%04d.png', sheet_no) as sheet, cast(width as integer) as width, cast(height as integer) as height, cast(boxes + 255 * 12 * width * (n - 1) as bigint) as red, cast(255 * width * height as bigint) as alpha from s""")
+def compose_pixels(spark, sf_dir):
+    """Pixels of sheets, read back from their images."""
+    from glyphreel.codecs import png
+    from glyphreel.operators import compose
+
+    def make(r: dict) -> list[tuple]:
+        px = png.decode(r["png"]).astype(int)
+        return [(r["stream_id"], r["sheet"], px.shape[1], px.shape[0], int(px[..., 0].sum()), int(px[..., 3].sum()))]
+
+    sheets = compose.compose(drawn(spark, sf_dir, flat((40, 90, 7, 255))), layout="no-row-index")
+    return X.map_rows(sheets.select("stream_id", "sheet", "png"), make, "stream_id string, sheet string, width int, height int, red bigint, alpha bigint")
+
+
+@query("select p_brand as stream_id, cast(p_partkey as integer) as cue_index, cast(p_size as integer) as width, 3 as height, 3 * p_size * (p_partkey % 256) as red, 255 * 3 * p_size as alpha from part")
+def image_decode(spark, sf_dir):
+    """PNG files that the codec did not write."""
+    import numpy as np
+
+    def make(r: dict) -> list[tuple]:
+        return [(r["p_brand"], r["p_partkey"], X.plain_png(np.full((3, r["p_size"], 4), (r["p_partkey"] % 256, 5, 6, 255), np.uint8)))]
+
+    made = X.map_rows(t(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").cast("int").alias("p_partkey"), "p_size"), make, "stream_id string, cue_index int, content binary")
+    return pixel_sums(frames.image_frames(made), ("red", "alpha"))
+
+
+def recognised(spark: SparkSession, sf_dir: str, expected: int, strict: bool) -> DataFrame:
+    """Conversations as sheets, recognised by a stand-in for the service that reads the image's bytes as text."""
+    from glyphreel.ocr import runner
+
+    def make():
+        return lambda sheet, png, expected, dump: png.decode()
+
+    sheets = joined_turns(spark, sf_dir).select(F.col("conv_id").cast("string").alias("sheet"), F.encode("text", "UTF-8").alias("png"), F.lit(expected).alias("expected"))
+    return runner.recognise(sheets, make, 4, strict)
+
+
+@query("select cast(conv_id as varchar) as sheet, n, line from (select conv_id, unnest([1, 2, 3]) as n, unnest(case when len(ls) <= 3 then list_concat(ls, list_transform(range(3 - len(ls)), lambda x: '')) else list_concat(ls[1:2], [array_to_string(ls[3:], ' ')]) end) as line from (select conv_id, list(trim(text) order by turn) as ls from conversations group by conv_id))")
+def ocr_lines(spark, sf_dir):
+    """Sheets through the runner with a stand-in for the service, lines aligned with the cues."""
+    got = recognised(spark, sf_dir, 3, False)
+    return got.select("sheet", F.posexplode("lines").alias("n", "line")).select("sheet", (F.col("n") + 1).alias("n"), "line")
+
+
+@query("select cast(conv_id as varchar) as sheet, case when count(*) = 4 then 1 else 5 end as attempts, case when count(*) <> 4 then 'strict' end as error_kind, case when count(*) <> 4 then cast(conv_id as varchar) || ': ' || cast(count(*) as varchar) || ' lines instead of 4 in the last of 5 attempts' end as error from conversations group by conv_id")
+def ocr_strict(spark, sf_dir):
+    """Sheets asked again until their lines fit, five times at most."""
+    return recognised(spark, sf_dir, 4, True).select("sheet", "attempts", "error_kind", "error")
+
+
 @query("select a, c, case when a = 0 then 0 when a = 255 then c else ((c * 65535 // a) >> 8) % 256 end as straight from (select a, c from range(256) x(a), range(256) y(c))")
 def straight_alpha(spark, sf_dir):
     """Every pair of alpha and colour out of the premultiplied container, wrap included."""

@@ -8,6 +8,7 @@ import os
 import shutil
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -19,16 +20,16 @@ def write_binaries(df: DataFrame, folder: str, name: str, content: str) -> int:
     """A file for each row; the number of files. A file is written beside its place and then renamed, so retries do no harm."""
     os.makedirs(folder, exist_ok=True)
 
-    def run(rows: Iterator[Row]) -> None:
-        for r in rows:
-            path = os.path.join(folder, r[0])
-            with open(f"{path}.part", "wb") as f:
-                f.write(r[1])
-            os.replace(f"{path}.part", path)
-
-    out = df.select(name, content)
-    out.foreachPartition(run)
-    return len(glob.glob(os.path.join(glob.escape(folder), "*.png")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                path = os.path.join(folder, n)
+                with open(f"{path}.part", "wb") as f:
+                    f.write(data.as_buffer())
+                os.replace(f"{path}.part", path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return df.select(name, content).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def srt_text(cues: DataFrame, text: str = "text") -> str:

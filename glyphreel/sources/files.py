@@ -37,12 +37,16 @@ def vobsub_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return both.select("stream_id", "text"), both.select("stream_id", "content"), idx.join(sub.select("stem"), "stem", "left_anti").select("stream_id")
 
 
+#: Names of images in any case.
+IMAGES = "*.{[pP][nN][gG],[jJ][pP][gG],[jJ][pP][eE][gG]}"
+
+
 def numbered_images(spark: SparkSession, path: str) -> DataFrame:
     """stream_id (the folder), cue_index, suffix, path of png, jpg and jpeg files directly in a folder.
 
     Content is left out; numbers are checked by check_numbers.
     """
-    files = binary_files(spark, path, "*.{png,jpg,jpeg,PNG,JPG,JPEG}").select("path")
+    files = binary_files(spark, path, IMAGES).select("path")
     name = F.element_at(F.split("path", "/"), -1)
     number = F.regexp_extract(name, r"^([+-]?[0-9]+)\.[^.]*$", 1)
     return files.select(
@@ -77,7 +81,7 @@ def image_cues(images: DataFrame) -> DataFrame:
 
 
 def image_contents(spark: SparkSession, path: str, images: DataFrame) -> DataFrame:
-    files = binary_files(spark, path, "*.{png,jpg,jpeg,PNG,JPG,JPEG}").select("path", "content")
+    files = binary_files(spark, path, IMAGES).select("path", "content")
     return files.join(images.select("path", "stream_id", "cue_index"), "path").select("stream_id", "cue_index", "content")
 
 

@@ -19,7 +19,9 @@ def entries(idx_lines: DataFrame) -> DataFrame:
     """stream_id, entry_no, start_ms, file_pos of the time lines that can be read, ordered by place in the data file."""
     from pyspark.sql import Window as W
 
-    got = idx_lines.where(F.col("line").rlike("(?i)^timestamp:")).select("stream_id", "line_no", E.found_timestamp_ms("line").alias("start_ms"), E.found_file_pos("line").alias("file_pos"))
+    # each pattern runs once for a line; numbers are read from what it found
+    found = idx_lines.where(F.lower(F.substring("line", 1, 10)) == "timestamp:").select("stream_id", "line_no", E.found_stamp("line").alias("stamp"), E.found_pos_digits("line").alias("digits"))
+    got = found.select("stream_id", "line_no", E.clock_ms("stamp").alias("start_ms"), E.pos_of_digits("digits").alias("file_pos"))
     got = got.where("start_ms is not null and file_pos is not null")
     return got.select("stream_id", F.row_number().over(W.partitionBy("stream_id").orderBy("file_pos", "line_no")).alias("entry_no"), "start_ms", "file_pos")
 

@@ -8,12 +8,16 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import numpy as np
 import pytest
 import requests
+from pyspark.sql import functions as F
 
 from glyphreel import cli
 from glyphreel.codecs import pgs, pixels, png, vobsub
+from glyphreel.functions import exprs as E
 from glyphreel.ocr import client, runner
 from glyphreel.ocr import config as C
 from glyphreel.plans import verbs
+from glyphreel.sinks import writers
+from glyphreel.sources import files
 from glyphreel.sources.files import InputError
 from tests.test_codecs import frame_stream
 
@@ -158,14 +162,14 @@ def test_strict(spark, sheets, tmp_path):
     run_with(spark, sheets, {"a.png": ["x", "x", "p 0123456789 q"], "b.png": ["c"]}, tmp_path, strict=True)
     assert texts(sheets / "timeline.srt") == ["p", "q", "c"] and (tmp_path / "a.png.calls").read_text() == "xxx"
     (tmp_path / "a.png.calls").unlink()
-    with pytest.raises(RuntimeError, match="expected=2 got=1 after 5 attempts"):
+    with pytest.raises(RuntimeError, match=r"a\.png: 1 lines instead of 2 in the last of 5 attempts"):
         run_with(spark, sheets, {"a.png": ["x"], "b.png": ["c"]}, tmp_path, strict=True)
     assert texts(sheets / "timeline.srt") == ["x", "[img:a.png#02]", "c"]
 
 
 def test_recognition_errors(spark, sheets, tmp_path):
     (sheets / "b.png").unlink()
-    with pytest.raises(RuntimeError, match=r"sheet image missing: b\.png"):
+    with pytest.raises(RuntimeError, match=r"no image of b\.png"):
         run_with(spark, sheets, {"a.png": ["x"]}, tmp_path)
     assert not (sheets / "timeline.srt").exists()
     (sheets / "mapping.json").write_text('{"items": []}')
@@ -222,7 +226,7 @@ def test_services(service, tmp_path):
     path.write_text(CONFIG.format(provider="openai_llm", url=url))
     assert client.provider(C.load(str(path)), lambda _: None)("a.png", b"png", 2, []) == "one 0123456789 two"
     sent = json.loads(handler.seen[-1][2])
-    assert sent["temperature"] == 0 and "exactly 2 lines" in sent["messages"][0]["content"][0]["text"] and handler.seen[-1][1] == "Bearer k"
+    assert sent["temperature"] == 0 and "exactly 2 dialogue lines" in sent["messages"][0]["content"][0]["text"] and handler.seen[-1][1] == "Bearer k"
     path.write_text(CONFIG.format(provider="paddle_ocr", url=url))
     dump = []
     assert client.provider(C.load(str(path)), lambda _: None)("a.png", b"png", 2, dump) == "A\n\nB\nC & D"
@@ -236,15 +240,59 @@ def test_retryable(error, want):
 
 def test_config(tmp_path):
     path = tmp_path / "c.yaml"
-    for text, message in (("ocr: {provider: x}", "provider"), ("ocr: {provider: openai_llm}", "missing"), ("ocr: {provider: paddle_ocr}", "missing"), ("ocr: {provider: paddle_ocr, max_concurrency: 0}", "max_concurrency"), ("ocr: [", "parse YAML")):
+    for text, message in (("ocr: {provider: x}", "provider"), ("ocr: {provider: openai_llm}", "needs api_base"), ("ocr: {provider: paddle_ocr}", "needs a token"), ("ocr: {provider: paddle_ocr, max_concurrency: 0}", "max_concurrency"), ("ocr: [", "not YAML")):
         path.write_text(text)
         with pytest.raises(C.ConfigError, match=message):
             C.load(str(path))
-    with pytest.raises(C.ConfigError, match="not found"):
+    with pytest.raises(C.ConfigError, match="no settings file"):
         C.load(str(tmp_path / "none"))
-    assert C.prompt("{{a}} {expected_count}", 3) == "{a} 3"
-    with pytest.raises(C.ConfigError):
-        C.prompt("{oops}", 1)
+
+
+def test_prompts(spark):
+    fine = {"{{a}} {expected_count}": "{a} 3", "{{{expected_count}": "{3", "{{expected_count}}": "{expected_count}", "}}{{": "}{", "{expected_count}{expected_count}": "33", "plain": "plain"}
+    for template, shown in fine.items():
+        assert C.prompt(template, 3) == shown
+        assert spark.range(1).select(E.render_template(F.lit(template), F.lit(3))).first()[0] == shown
+    assert C.prompt("", 4) == C.PROMPT.replace("{expected_count}", "4")
+    for template in ("{oops}", "{", "a}", "{expected_count}}", "{expected_count}}}", "{{{"):
+        with pytest.raises(C.ConfigError):
+            C.prompt(template, 1)
+        with pytest.raises(Exception, match="brace"):
+            spark.range(1).select(E.render_template(F.lit(template), F.lit(3))).first()
+
+
+def test_first_error_ends_asking(spark, tmp_path):
+    stop = str(tmp_path / "stop")
+    asked = tmp_path / "asked"
+
+    def make():
+        def ask(sheet, png, expected, dump):
+            with open(asked, "a") as f:
+                f.write(sheet + "\n")
+            if sheet == "s05":
+                raise RuntimeError("down")
+            return "x"
+
+        return ask
+
+    sheets = spark.createDataFrame([(f"s{i:02}", b"p", 1) for i in range(40)], "sheet string, png binary, expected int").coalesce(1)
+    rows = runner.recognise(sheets, make, 1, stop=stop).toPandas()
+    n = len(asked.read_text().split())
+    assert (rows.error_kind == "error").sum() == 1 and (rows.error_kind == "skipped").sum() == 40 - n and rows[rows.error_kind == "error"].error.item() == "down"
+
+
+def test_files_of_other_verbs_do_not_count(spark, tmp_path):
+    (tmp_path / "cue_00001.png").write_bytes(b"old")
+    df = spark.createDataFrame([("a.png", b"1"), ("b.png", b"2")], "name string, png binary")
+    assert writers.write_binaries(df, str(tmp_path), "name", "png") == 2 and (tmp_path / "b.png").read_bytes() == b"2"
+
+
+def test_suffixes_of_any_case(spark, tmp_path):
+    for name in ("1.Png", "2.pNG", "3.png", "4.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    images = files.numbered_images(spark, str(tmp_path))
+    files.check_numbers(images)
+    assert sorted(r.cue_index for r in images.collect()) == [1, 2, 3]
 
 
 def test_streaming(spark, tmp_path):
