@@ -373,6 +373,23 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_documents(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def _kind_sql(kind: str, pattern: str, good: str) -> str:
+    """kind, doc_id, start and stop of matches; m is the match, v its digits."""
+    return f"""select doc_id, '{kind}' as kind, {KINDS.index(kind)} as k, a, a + len(m) as b from (select doc_id, ms[i] as m, regexp_replace(ms[i], '[^0-9]', '', 'g') as v,
+cast(coalesce(list_sum(list_transform(ps[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0) as bigint) as a
+from (select doc_id, ms, ps, unnest(range(1, len(ms) + 1)) as i from (select doc_id, regexp_extract_all(text, '{pattern}') as ms, string_split_regex(text, '{pattern}') as ps from t))) where {good}"""
+
+
+#: The base columns of op7.
+BASE_SQL = f"""with t as (select doc_id, coalesce(text, '') as text from documents),
+s as ({_kind_sql("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+", "true")}
+union all {_kind_sql("ip", "[0-9]+([.][0-9]+)([.][0-9]+)([.][0-9]+)", "list_max(list_transform(string_split(m, '.'), lambda x: cast(x as hugeint))) <= 255")}
+union all {_kind_sql("card", "[0-9]([ -]?[0-9])+", "len(v) between 14 and 19 and list_sum(list_transform(range(1, len(v) + 1), lambda i: case when (len(v) - i) % 2 = 0 then cast(v[i] as integer) when v[i] >= '5' then 2 * cast(v[i] as integer) - 9 else 2 * cast(v[i] as integer) end)) % 10 = 0")}
+union all {_kind_sql("phone", "[+][0-9][ ().0-9-]+[0-9]", "len(v) between 10 and 15")}),
+g as (select doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip, count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone, string_agg(kind || ':' || cast(a as varchar) || ':' || cast(b as varchar), ',' order by a, k) as d from s group by doc_id)
+select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(d, '')) as base_sha256 from t left join g using (doc_id)"""
+
+
 def redact(text: str | None) -> str | None:
     """Each span, or run of overlapping spans, becomes its first kind in angle brackets."""
     if not text:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphreel.llm import pii, suffixes, urlrules
 from glyphreel.llm.bpe import op10_bpe
 from glyphreel.llm.decontaminate import op3_decontaminate
 from glyphreel.llm.htmltext import op9_html_text
@@ -30,4 +31,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 reads back, by size and digest: the columns that SQL can express."""
+    return op6_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op7: the columns that SQL can express."""
+    return op7_pii(spark, sf_dir).drop("spans")
+
+
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what op10's ids decode to."""
+    return op10_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+QUERIES |= {"media_payload": media_payload, "pii_base": pii_base, "bpe_round_trip": bpe_round_trip}
+
+#: For the queries that SQL can express whole; the others are held to brute force, round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": urlrules.SQL,
+    "op8_suffix_dedup": suffixes.SQL,
+    "media_payload": """with p as (select doc_id, encode(coalesce(text, '')) as x, octet_length(x) as n_bytes, greatest(64, (n_bytes + 63) // 64 * 64) as payload_bytes from documents)
+select doc_id, n_bytes, payload_bytes, sha256(unhex(hex(x) || repeat('00', payload_bytes - n_bytes))) as payload_sha256 from p""",
+    "pii_base": pii.BASE_SQL,
+    "bpe_round_trip": "select doc_id, sha256(coalesce(text, '')) as decoded_sha256 from documents",
+}

@@ -499,3 +499,15 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, bucket_text: int = BUCK
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
+#: For tables that fit one machine: all strings of WIDTH bytes, grouped.
+SQL = f"""with d as (select doc_id, encode(coalesce(text, '')) as x, hex(x) as y from documents),
+w as (select doc_id, unnest(range(0, octet_length(x) - {WIDTH - 1})) as i, unnest(list_transform(range(0, octet_length(x) - {WIDTH - 1}), lambda i: x[i + 1 : i + {WIDTH}])) as s from d),
+f as (select s, min(doc_id) as least from w group by s),
+hit as (select w.doc_id, i from w join f using (s) where least < w.doc_id),
+run as (select doc_id, i, sum(new) over (partition by doc_id order by i) as k from (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + {WIDTH} then 0 else 1 end as new from hit)),
+span as (select doc_id, k, min(i) as a, max(i) + {WIDTH} as b from run group by doc_id, k),
+piece as (select doc_id, k, a, b, coalesce(lag(b) over (partition by doc_id order by k), 0) as z from span),
+cut as (select doc_id, cast(sum(b - a) as bigint) as n_removed, count(*) as n_spans, max(b) as far, string_agg(substring(y, 2 * z + 1, 2 * (a - z)), '' order by k) as head from piece join d using (doc_id) group by doc_id)
+select doc_id, octet_length(x) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(head, '') || substring(y, 2 * coalesce(far, 0) + 1))) as kept_sha256 from d left join cut using (doc_id)"""

@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,14 +104,16 @@ def test_mined_rules_by_brute_force(spark):
     labelled = rows.where("ruled is not null")
     data = [(frozenset(r.tokens), r.ruled) for r in labelled.collect()]
     least, support, confidence = 0.1, collections.Counter(), collections.Counter()
+    assert max(len(tokens) for tokens, _ in data) <= 8
+    share = collections.Counter(v for _, v in data)
     for tokens, verdict in data:
-        for k in range(1, urlrules.MAX_ITEMS + 1):
+        for k in range(1, len(tokens) + 1):
             for c in itertools.combinations(sorted(tokens), k):
                 support[c] += 1
                 confidence[c, verdict] += 1
     want = {}
     for (c, v), n in confidence.items():
-        if len(c) < urlrules.MAX_ITEMS and n >= least * len(data) and n / support[c] >= urlrules.MIN_CONFIDENCE:
+        if n >= least * len(data) and n / support[c] >= max(urlrules.MIN_CONFIDENCE, urlrules.MIN_LIFT * share[v] / len(data)):
             want[c, v] = n / support[c]
     want = {(c, v): p for (c, v), p in want.items() if not any((c[:i] + c[i + 1 :], v) in want and want[c[:i] + c[i + 1 :], v] >= p for i in range(len(c)) if len(c) > 1)}
     got = {(tuple(r.tokens), r.verdict): r.confidence for r in urlrules.mine(labelled, least).collect()}
@@ -127,6 +130,21 @@ def test_url_filter_whole(spark):
     assert not re.search("Python|Pandas|ArrowEval", plan)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_by_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, DATA), con.sql(queries.ORACLE_SQL[name])
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+
+    def rows(found, have):
+        return sorted((tuple(r[have.index(c)] for c in cols) for r in found), key=repr)
+
+    assert rows(map(tuple, got.collect()), got.columns) == rows(want.fetchall(), want.columns)
+
+
 def test_leaks(spark):
     items = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(5)]
     texts = ["nothing to see here at all", "pre " + items[2][1] + " post", " ".join(items[0][1].split()[10:] + items[0][1].split()[:10]), items[1][1][: len(items[1][1]) // 2], None, items[3][1] + " and " + items[4][1].upper()]
