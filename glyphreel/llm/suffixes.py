@@ -134,10 +134,13 @@ def multikey_sort(words: np.ndarray) -> np.ndarray:
     return order
 
 
-def new_runs(words: np.ndarray) -> np.ndarray:
-    """True where a sorted column differs from the one before."""
-    out = np.ones(words.shape[1], bool)
-    out[1:] = (words[:, 1:] != words[:, :-1]).any(axis=0)
+def new_runs(words: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """True where a column differs from the one before it in the order."""
+    out = np.zeros(len(order), bool)
+    out[:1] = True
+    for line in words:
+        held = line[order]
+        out[1:] |= held[1:] != held[:-1]
     return out
 
 
@@ -257,7 +260,7 @@ def send(splitters: list[bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         rows = g.rows(found)
         words = words_of_rows(rows)
         order = multikey_sort(words)
-        new = new_runs(words[:, order])
+        new = new_runs(words, order)
         del words
         rows = rows[order]
         place, first, last = (x[order] for x in found)
@@ -299,10 +302,13 @@ class Bucket:
     """The sorted different suffixes of a range, and their places (row, ord, hash, pos)."""
 
     def __init__(self, messages: list[list[np.ndarray]]):
-        rows = np.concatenate([m[0] for m in messages])
+        rows, at = np.empty((sum(len(m[0]) for m in messages), ROW), np.uint8), 0
+        for m in messages:  # each goes as soon as it is copied
+            rows[at : at + len(m[0])] = m[0]
+            at, m[0] = at + len(m[0]), None
         words = words_of_rows(rows)
         order = multikey_sort(words)
-        new = new_runs(words[:, order])
+        new = new_runs(words, order)
         del words
         edge, kind = np.flatnonzero(new), np.empty(len(rows), np.int64)
         kind[order] = np.cumsum(new) - 1
@@ -340,7 +346,7 @@ class Bucket:
                 keys = np.concatenate([group.astype(">u8")[:, None].view(np.uint8), self.rows[at, WIDTH : WIDTH + i]], axis=1)
                 words = words_of_rows(keys)
                 order = multikey_sort(words)
-                new = new_runs(words[:, order])
+                new = new_runs(words, order)
                 at = at[order]
                 least = np.minimum.reduceat(self.least[at], np.flatnonzero(new))[np.cumsum(new) - 1]
                 bits[at[self.least[at] > least]] |= U(1 << i)
