@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -326,3 +327,38 @@ def test_bpe_stage_decodes():
 
     with pytest.raises(ValueError):
         bpe.round_trip(Lossy())("some text")
+
+
+@pytest.mark.parametrize(
+    ("html", "texts"),
+    [
+        ("<article><p>Let <math><mi>x</mi></math> be <svg><title>icon</title><text>y</text></svg></p></article>", ["Let x be y"]),
+        ("<p>one<!--> two</p><p>three</p>", ["one two", "three"]),
+        ("<p>First words <a title=\"x>y of it.</a> then</p><p>more</p>", ["First words y of it. then", "more"]),
+        ("<p a=\"q>r\" b='s>t'>ok</p>", ["ok"]),
+        ("<p>it's <b class=x>5\" disk</b></p>", ["it's 5\" disk"]),
+    ],
+)
+def test_odd_markup(html, texts):
+    assert [t for _, t in htmltext.parse(html)[1]] == texts
+
+
+def test_long_odd_inputs_take_linear_time():
+    began = time.perf_counter()
+    htmltext.parse("<b>" * 40_000 + "</i>" * 40_000)
+    htmltext.parse("<b>" * 40_000 + "<h1>x</h1>" * 40_000)
+    _, hits, _ = toxicity.Toxicity().rater()("trash can idiot " * 40_000)
+    assert hits == 40_000 and time.perf_counter() - began < 20
+
+
+def test_images_in_bands():
+    for h in (1, 31, 33, 63 * 64, 64 * 64 + 1):
+        px = np.random.default_rng(h).integers(97, 122, (h, 64), dtype=np.uint8)
+        assert (media.read_png(media.write_png(px)) == px).all()
+        grey, side = px.astype(float), 32
+        for axis in (0, 1):
+            n = grey.shape[axis]
+            grey = np.stack([grey.take(range(i * n // side, max(i * n // side + 1, (i + 1) * n // side)), axis).mean(axis) for i in range(side)], axis)
+        base = np.cos(np.pi / side * (np.arange(side) + 0.5) * np.arange(8)[:, None])
+        low = np.round(base @ grey @ base.T, 6).ravel()
+        assert media.cosine_hash(px) == "".join(f"{int(''.join('1' if x else '0' for x in (low > np.median(low[1:]))[i : i + 8]), 2):02x}" for i in range(0, 64, 8))

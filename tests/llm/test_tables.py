@@ -19,7 +19,7 @@ DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None), (2, ""), (3, "   "), (4, "a"), (5, "word " * 4000), (6, "a"), (6, "a"), (None, "no id here"), (7, "é ñ 😀"), (8, "x" * 20_000)]
 #: Names that operators use themselves.
-CLASH = ("score", "predicted", "fp", "block", "ord", "n", "label", "spans", "digest", "q", "kind", "_label", "root", "node")
+CLASH = ("score", "predicted", "fp", "block", "ord", "n", "label", "spans", "digest", "q", "kind", "_label", "root", "node", "_gone", "Token_IDs", "hash", "least", "packed", "_place")
 
 
 def odd_docs(spark):
@@ -264,6 +264,13 @@ def test_repeats_of_a_long_copy(spark):
     assert got == brute_repeats([(i, t.encode()) for i, t in enumerate(texts)])
 
 
+def test_repeats_of_odd_rows(spark):
+    text = "".join(chr(97 + random.Random(3).randrange(26)) for _ in range(80))
+    rows = [(None, text), (1, text), (1, text), (1, "#" + text), (2, text + "!"), (3, None), (None, "")]
+    got = collections.Counter(tuple(r)[:3] for r in suffixes.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), 64).collect())
+    assert got == collections.Counter([(None, 80, 80), (1, 80, 0), (1, 80, 0), (1, 81, 0), (2, 81, 80), (3, 0, 0), (None, 0, 0)])
+
+
 def test_media_and_tokens(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     text = {r.doc_id: r.text.encode() for r in docs.collect()}
