@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphreel.llm import bpe, decontaminate, pii, simhash, toxicity
+from glyphreel.llm.common import shared_folder
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", toxicity.stage),
@@ -17,13 +18,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", bpe.stage),
 ]
 
-#: Learned stages can't be put in SQL; tests compare run() with a brute-force version.
+#: Learned stages can't be put in SQL. tests/llm holds run() against the stages' rules applied row by row; that test
+#: shares the fitted model, the near-copy links, the tile matcher and the span finder, which have brute-force tests of their own.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over sf_dir's documents; each result is written as Parquet in the shared folder and read again."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/glyphreel-checkpoints").rstrip("/")
+    folder = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
