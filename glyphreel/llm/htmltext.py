@@ -39,7 +39,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}}
 
 #: A quote opens a value only behind an equals sign; one that isn't closed before the next tag ends with the tag.
-_TAG = re.compile(r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|([!?])[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[\"'][^>]*|[^>=]|=)*+)(>|\Z))", re.S)
+_TAG = re.compile(r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|([!?])[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[\"'][^>]*|[^>=]++|=)*+)(>|\Z))", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
