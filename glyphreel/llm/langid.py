@@ -150,9 +150,12 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, alpha: float = 0.3, beta:
 def train(spark: SparkSession, docs: DataFrame, per_lang: int = FIT_PER_LANG) -> LangModel:
     """From rows with a language that aren't held out, per_lang of each language at most."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    # one plan for any number of languages; the limit of a group is applied before the shuffle too
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("_place", place).where(F.col("_place") <= per_lang).select("doc_id")
+    # one plan for any number of languages: a language's least hashes, about twice as many as wanted, are ranked
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
+    hashed = known.withColumn("_hash", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).join(sizes, "lang")
+    few = hashed.where(F.col("_hash").cast("double") * F.col("_rows") < F.lit(float((2 * per_lang + 100) << 40)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "doc_id"))
+    chosen = few.withColumn("_place", place).where(F.col("_place") <= per_lang).select("doc_id")
     picked = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull()).join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")
     return fit(sorted((r["text"], r["lang"]) for r in picked.select("text", "lang").toLocalIterator()))
 
