@@ -26,6 +26,8 @@ BITS = 15
 DIM = 1 << BITS
 #: Training documents read for each language at most, chosen by a hash of the id.
 FIT_PER_LANG = 700
+#: Languages that are learned at most, those with most training rows; bounds what is broadcast and sent to the driver.
+FIT_LANGS = 1000
 UND = "und"
 
 
@@ -151,8 +153,8 @@ def train(spark: SparkSession, docs: DataFrame, per_lang: int = FIT_PER_LANG) ->
     """From rows with a language that aren't held out, per_lang of each language at most."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
     # one plan for any number of languages: a language's least hashes, about twice as many as wanted, are ranked
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
-    hashed = known.withColumn("_hash", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).join(sizes, "lang")
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows")).orderBy(F.desc("_rows"), "lang").limit(FIT_LANGS)
+    hashed = known.withColumn("_hash", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).join(F.broadcast(sizes), "lang")
     few = hashed.where(F.col("_hash").cast("double") * F.col("_rows") < F.lit(float((2 * per_lang + 100) << 40)))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "doc_id"))
     chosen = few.withColumn("_place", place).where(F.col("_place") <= per_lang).select("doc_id")
