@@ -239,6 +239,49 @@ def test_near_copies_of_repeated_lines(spark):
     assert all(links_of(spark, pairs))
 
 
+@pytest.mark.parametrize("piece", [simhash.PIECE, 16])
+def test_near_copies_of_large_shards(spark, monkeypatch, piece):
+    """Large groups of near copies, chains of them and a passage that many other texts share, dealt in small pieces:
+    every group as by comparing all pairs."""
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    monkeypatch.setattr(simhash, "LEADERS", 4, raising=False)
+    r = random.Random(11)
+    words = lambda tag, n: [f"{tag}{r.randrange(10**6)}" for _ in range(n)]
+    lists = []
+    for c in range(2):
+        base = words(f"b{c}x", 150)
+        for _ in range(90):  # most are further than 0.8 from each other, fewer from the group
+            w = list(base)
+            for _ in range(r.randint(0, 5)):
+                w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+            lists.append(w)
+    chain = words("k", 150)
+    for _ in range(60):
+        chain = list(chain)
+        for _ in range(r.randint(1, 4)):
+            chain[r.randrange(len(chain))] = f"m{r.randrange(10**6)}"
+        lists.append(chain)
+    passage = words("p", 60)
+    lists += [words("q", r.randint(5, 60)) + passage + words("z", r.randint(5, 60)) for _ in range(120)]
+    r.shuffle(lists)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in lists]
+    root = list(range(len(lists)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(lists)), 2):
+        both = len(sets[i] & sets[j])
+        if both and both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+    want = {i: top(i) for i in range(len(lists)) if top(i) != i}
+    got = {x.node: x.root for x in simhash.near_copies(spark, docs_of(spark, [" ".join(w) for w in lists])).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("bucket_text", [1 << 30, 3000, 100])
 def test_repeats(spark, bucket_text):
     r = random.Random(7)
