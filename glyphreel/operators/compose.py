@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from glyphreel import schemas
 from glyphreel.codecs import glyphs, pixels, png
 from glyphreel.operators import relational as R
-from glyphreel.operators.frames import batched
+from glyphreel.operators.frames import batched, rows_of
 
 LAYOUTS = ("digits", "no-row-index")
 
@@ -42,8 +42,10 @@ def compose(frames: DataFrame, limit: int = 6, layout: str = "digits", separator
     if layout not in LAYOUTS:
         raise ValueError(f"unknown sheet layout {layout!r}")
     placed = R.cue_offsets(placements(frames, limit), ["stream_id", "sheet_no"], ["cue_index"], layout, separator)
-    wide = placed.join(frames.select("stream_id", "cue_index", "rgba"), ["stream_id", "cue_index"])
+    # never a broadcast: the planner takes decoded frames for as small as what they were decoded from
+    wide = placed.hint("merge").join(frames.select("stream_id", "cue_index", "rgba"), ["stream_id", "cue_index"])
 
+    columns = ("stream_id", "sheet", "position_in_sheet", "cue_index", "width", "height", "x", "y", "rgba")
     schema = schemas.struct(schemas.SHEET)
     arrow = to_arrow_schema(schema)
 
@@ -58,12 +60,11 @@ def compose(frames: DataFrame, limit: int = 6, layout: str = "digits", separator
 
     def sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held: list[tuple] = []
-        for batch in batches:
-            for cue in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and cue[:2] != held[0][:2]:
-                    yield draw(held)
-                    held = []
-                held.append(cue)
+        for cue in rows_of(batches, *columns):
+            if held and cue[:2] != held[0][:2]:
+                yield draw(held)
+                held = []
+            held.append(cue)
         if held:
             yield draw(held)
 
@@ -72,4 +73,4 @@ def compose(frames: DataFrame, limit: int = 6, layout: str = "digits", separator
 
     # one sheet's frames are held at a time
     ordered = wide.repartition("stream_id", "sheet_no").sortWithinPartitions("stream_id", "sheet_no", "position_in_sheet")
-    return ordered.select("stream_id", "sheet", "position_in_sheet", "cue_index", "width", "height", "x", "y", "rgba").mapInArrow(run, schema)
+    return ordered.select(*columns).mapInArrow(run, schema)

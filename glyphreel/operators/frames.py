@@ -19,15 +19,28 @@ from glyphreel.functions import exprs as E
 from glyphreel.operators import relational as R
 
 
+def pieces(batch: pa.RecordBatch, size: int = 1 << 20, most: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Slices of about that many bytes: a whole batch, of up to 64 MB, must not become Python values at once."""
+    step = max(1, min(most, size * batch.num_rows // max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """Rows as tuples of the named columns."""
+    for batch in batches:
+        for part in pieces(batch):
+            yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
+
+
 def pgs_segments(files: DataFrame) -> DataFrame:
     """files: stream_id, content. One row for each packet, in order."""
     arrow = to_arrow_schema(schemas.struct(schemas.SEGMENT))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for stream, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for n, segment in enumerate(pgs.split_segments(content)):
-                    yield stream, n, *segment
+        for stream, content in rows_of(batches, "stream_id", "content"):
+            for n, segment in enumerate(pgs.split_segments(content)):
+                yield stream, n, *segment
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batched(rows(batches), arrow)
@@ -73,16 +86,15 @@ def pgs_frames(files: DataFrame, permissive: bool = False) -> DataFrame:
     arrow = to_arrow_schema(schemas.struct(schemas.SHOWN))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for stream, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    segments = pgs.split_segments(content)
-                except pgs.PgsError as e:
-                    if not permissive:
-                        raise
-                    yield stream, 0, None, None, None, None, f"{stream}: {e}"
-                    continue
-                yield from _fold(stream, iter(s[1:] for s in segments), permissive)
+        for stream, content in rows_of(batches, "stream_id", "content"):
+            try:
+                segments = pgs.split_segments(content)
+            except pgs.PgsError as e:
+                if not permissive:
+                    raise
+                yield stream, 0, None, None, None, None, f"{stream}: {e}"
+                continue
+            yield from _fold(stream, iter(s[1:] for s in segments), permissive)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # short streams share a batch: one for each of them would cost more than its frames
@@ -97,23 +109,22 @@ def fold_segments(segments: DataFrame, permissive: bool = False) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         now, decoder, n, failed = None, pgs.Decoder(), 0, False
-        for batch in batches:
-            for stream, pts, kind, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if stream != now:
-                    now, decoder, n, failed = stream, pgs.Decoder(), 0, False
-                if failed:
-                    continue
-                try:
-                    got = decoder.feed(pts, kind, body)
-                except pgs.PgsError as e:
-                    if not permissive:
-                        raise
-                    failed = True
-                    yield stream, 0, None, None, None, None, f"{stream}: {e}"
-                    continue
-                if got:
-                    n += 1
-                    yield stream, n, got[0], got[1].shape[1], got[1].shape[0], got[1].tobytes(), None
+        for stream, pts, kind, body in rows_of(batches, "stream_id", "pts90k", "seg_type", "body"):
+            if stream != now:
+                now, decoder, n, failed = stream, pgs.Decoder(), 0, False
+            if failed:
+                continue
+            try:
+                got = decoder.feed(pts, kind, body)
+            except pgs.PgsError as e:
+                if not permissive:
+                    raise
+                failed = True
+                yield stream, 0, None, None, None, None, f"{stream}: {e}"
+                continue
+            if got:
+                n += 1
+                yield stream, n, got[0], got[1].shape[1], got[1].shape[0], got[1].tobytes(), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batched(rows(batches), arrow)
@@ -167,21 +178,20 @@ def vobsub_frames(pairs: DataFrame, entries: DataFrame, header: DataFrame, permi
     arrow = to_arrow_schema(schema)
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for stream, content, entries_, palette, lang in zip(*(batch.column(n).to_pylist() for n in ("stream_id", "content", "spans", "palette", "lang_idx")), strict=True):
-                rows = []
-                try:
-                    for e in entries_:
-                        if e["file_pos"] >= len(content):
-                            raise vobsub.SpuError(f"filepos {e['file_pos']} beyond the file")
-                        end = min(e["span_end"] if e["span_end"] is not None else len(content), len(content))
-                        img = vobsub.decode_unit(vobsub.find_unit(content, e["file_pos"], end, 0x20 + lang), palette)
-                        rows.append((stream, e["cue_index"], e["start_ms"], img.shape[1], img.shape[0], img.tobytes(), None))
-                except vobsub.SpuError as x:
-                    if not permissive:
-                        raise
-                    rows = [(stream, 0, None, None, None, None, f"{stream}: {x}")]
-                yield from rows
+        for stream, content, entries_, palette, lang in rows_of(batches, "stream_id", "content", "spans", "palette", "lang_idx"):
+            rows = []
+            try:
+                for e in entries_:
+                    if e["file_pos"] >= len(content):
+                        raise vobsub.SpuError(f"filepos {e['file_pos']} beyond the file")
+                    end = min(e["span_end"] if e["span_end"] is not None else len(content), len(content))
+                    img = vobsub.decode_unit(vobsub.find_unit(content, e["file_pos"], end, 0x20 + lang), palette)
+                    rows.append((stream, e["cue_index"], e["start_ms"], img.shape[1], img.shape[0], img.tobytes(), None))
+            except vobsub.SpuError as x:
+                if not permissive:
+                    raise
+                rows = [(stream, 0, None, None, None, None, f"{stream}: {x}")]
+            yield from rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batched(drawn(batches), arrow)
@@ -195,16 +205,15 @@ def image_frames(files: DataFrame, permissive: bool = False) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for stream, cue, content in zip(*(batch.column(n).to_pylist() for n in ("stream_id", "cue_index", "content")), strict=True):
-                try:
-                    img = pixels.premultiply(png.decode(content))
-                except png.PngError as e:
-                    if not permissive:
-                        raise
-                    yield stream, cue, None, None, None, f"{stream}: {e}"
-                    continue
-                yield stream, cue, img.shape[1], img.shape[0], img.tobytes(), None
+        for stream, cue, content in rows_of(batches, "stream_id", "cue_index", "content"):
+            try:
+                img = pixels.premultiply(png.decode(content))
+            except png.PngError as e:
+                if not permissive:
+                    raise
+                yield stream, cue, None, None, None, f"{stream}: {e}"
+                continue
+            yield stream, cue, img.shape[1], img.shape[0], img.tobytes(), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batched(rows(batches), arrow)
@@ -218,10 +227,9 @@ def preprocess(frames: DataFrame, max_width: int = 1080, padding: int = 10, forc
     arrow = to_arrow_schema(schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for stream, cue, w, h, raw in zip(*(batch.column(n).to_pylist() for n in ("stream_id", "cue_index", "width", "height", "rgba")), strict=True):
-                img = pixels.preprocess(np.frombuffer(raw, np.uint8).reshape(h, w, 4), max_width, padding, force_white, solid_fallback, straight_alpha)
-                yield stream, cue, img.shape[1], img.shape[0], img.tobytes()
+        for stream, cue, w, h, raw in rows_of(batches, "stream_id", "cue_index", "width", "height", "rgba"):
+            img = pixels.preprocess(np.frombuffer(raw, np.uint8).reshape(h, w, 4), max_width, padding, force_white, solid_fallback, straight_alpha)
+            yield stream, cue, img.shape[1], img.shape[0], img.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batched(rows(batches), arrow)
@@ -235,9 +243,8 @@ def png_column(frames: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for stream, cue, w, h, raw in zip(*(batch.column(n).to_pylist() for n in ("stream_id", "cue_index", "width", "height", "rgba")), strict=True):
-                yield stream, cue, png.encode(np.frombuffer(raw, np.uint8).reshape(h, w, 4))
+        for stream, cue, w, h, raw in rows_of(batches, "stream_id", "cue_index", "width", "height", "rgba"):
+            yield stream, cue, png.encode(np.frombuffer(raw, np.uint8).reshape(h, w, 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batched(rows(batches), arrow)

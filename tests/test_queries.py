@@ -46,3 +46,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["stream_id", "cue_index", "start_ms", "end_ms"]
     assert set(registry.QUERIES) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["compose_pixels", "compose_sheets"])
+def test_frames_are_not_broadcast(spark, name):
+    # by file sizes the planner takes them for a few KB
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
