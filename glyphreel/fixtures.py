@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from glyphreel import schemas
 from glyphreel.codecs import pgs, vobsub
+from glyphreel.operators.frames import batched, pieces
 
 
 def map_rows(df: DataFrame, make, ddl: str) -> DataFrame:
@@ -20,13 +21,17 @@ def map_rows(df: DataFrame, make, ddl: str) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [r for row in batch.to_pylist() for r in make(row)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+        return batched((r for batch in batches for part in pieces(batch) for row in part.to_pylist() for r in make(row)), arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows over enough tasks for what is made of them: a file of a few MB may be one task's, and each of its rows an image."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def caption_events(events: DataFrame) -> DataFrame:
     """stream_id (user and half day, as ticks are of 32 bits), event_id, us (within the half day), pts90k."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -81,7 +86,7 @@ def rich_stream(w: int, luma: int, ticks: int) -> bytes:
 
 def rich_files_of(part: DataFrame) -> DataFrame:
     rows = part.select(F.col("p_partkey").cast("string").alias("stream_id"), "p_size", (F.col("p_partkey") % 200 + 16).cast("int").alias("luma"), (F.col("p_partkey") * 90).alias("ticks"))
-    return map_rows(rows, lambda r: [(r["stream_id"], rich_stream(r["p_size"], r["luma"], r["ticks"]))], "stream_id string, content binary")
+    return map_rows(dealt(rows, "stream_id"), lambda r: [(r["stream_id"], rich_stream(r["p_size"], r["luma"], r["ticks"]))], "stream_id string, content binary")
 
 
 def sub_files_of(events: DataFrame) -> DataFrame:

@@ -503,6 +503,11 @@ def idx_langidx(spark, sf_dir):
 # Frames
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What frames are made of: a row each, dealt over the tasks."""
+    return X.dealt(t(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").cast("int").alias("p_partkey"), "p_size"), "p_partkey")
+
+
 def made_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A frame for each part: a white box at (2, 3) of p_size x (p_size // 2 + 1) pixels with a border of 4 to the right and below."""
     import numpy as np
@@ -513,7 +518,7 @@ def made_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         img[3 : 3 + h, 2 : 2 + w] = 255
         return [(r["p_brand"], r["p_partkey"], w + 6, h + 7, img.tobytes())]
 
-    return X.map_rows(t(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").cast("int").alias("p_partkey"), "p_size"), make, "stream_id string, cue_index int, width int, height int, rgba binary")
+    return X.map_rows(parts(spark, sf_dir), make, "stream_id string, cue_index int, width int, height int, rgba binary")
 
 
 @query("select p_partkey, least(w, 40) as width, case when w <= 40 then h else cast(greatest(1, floor(h * (40.0::double / w) + 0.5)) as integer) end as height from (select cast(p_partkey as integer) as p_partkey, p_size + 20 as w, p_size // 2 + 21 as h from part)")
@@ -542,7 +547,7 @@ def drawn(spark: SparkSession, sf_dir: str, shade, right: int = 4, low: int = 3)
         img[3 : 3 + h, 2 : 2 + w] = shade(h, w)
         return [(r["p_brand"], r["p_partkey"], img.shape[1], img.shape[0], img.tobytes())]
 
-    return X.map_rows(t(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").cast("int").alias("p_partkey"), "p_size"), make, "stream_id string, cue_index int, width int, height int, rgba binary")
+    return X.map_rows(parts(spark, sf_dir), make, "stream_id string, cue_index int, width int, height int, rgba binary")
 
 
 def flat(colour: tuple[int, int, int, int]):
@@ -588,7 +593,7 @@ def solid_crop_pixels(spark, sf_dir):
         img = on_ground(r["p_size"] // 2 + 1, r["p_size"])
         return [(r["p_brand"], r["p_partkey"], img.shape[1], img.shape[0], img.tobytes())]
 
-    made = X.map_rows(t(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").cast("int").alias("p_partkey"), "p_size"), make, "stream_id string, cue_index int, width int, height int, rgba binary")
+    made = X.map_rows(parts(spark, sf_dir), make, "stream_id string, cue_index int, width int, height int, rgba binary")
     return pixel_sums(frames.preprocess(made, max_width=1080, padding=0, solid_fallback=True), ("red", "alpha"))
 
 
@@ -638,7 +643,7 @@ def image_decode(spark, sf_dir):
     def make(r: dict) -> list[tuple]:
         return [(r["p_brand"], r["p_partkey"], X.plain_png(np.full((3, r["p_size"], 4), (r["p_partkey"] % 256, 5, 6, 255), np.uint8)))]
 
-    made = X.map_rows(t(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").cast("int").alias("p_partkey"), "p_size"), make, "stream_id string, cue_index int, content binary")
+    made = X.map_rows(parts(spark, sf_dir), make, "stream_id string, cue_index int, content binary")
     return pixel_sums(frames.image_frames(made), ("red", "alpha"))
 
 
