@@ -53,3 +53,18 @@ def test_frames_are_not_broadcast(spark, name):
     # by file sizes the planner takes them for a few KB
     plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["preprocess_geometry", "force_white_pixels", "crop_pad_pixels", "solid_crop_pixels", "shrink_pixels"])
+def test_frames_are_made_by_many_tasks(spark, name):
+    # the table is one small file
+    assert registry.QUERIES[name](spark, DATA).rdd.getNumPartitions() > 1
+
+
+def decodings(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+
+
+def test_streams_are_decoded_once(spark):
+    # made, decoded, summed
+    assert decodings(registry.QUERIES["pgs_pixels"](spark, DATA)) == 3
