@@ -137,14 +137,19 @@ def fold_segments(segments: DataFrame, permissive: bool = False) -> DataFrame:
     return out.where("error is not null").unionByName(out.where("error is null").join(bad, "stream_id", "left_anti"))
 
 
+def timed_frames(shown: DataFrame) -> DataFrame:
+    """Frames with their start, in stream order (not in the order of time)."""
+    return shown.where("error is null").select("stream_id", F.col("frame_no").alias("cue_index"), E.ticks_to_ms("pts90k").alias("start_ms"), "width", "height", "rgba")
+
+
 def shown_cues(shown: DataFrame) -> DataFrame:
     """Cues of frames in stream order (not in the order of time)."""
-    narrow = shown.where("error is null").select("stream_id", F.col("frame_no").alias("cue_index"), E.ticks_to_ms("pts90k").alias("start_ms"))
+    narrow = timed_frames(shown).select("stream_id", "cue_index", "start_ms")
     return R.infer_ends(narrow, ["stream_id"], ["cue_index"]).select("stream_id", "cue_index", "start_ms", "end_ms")
 
 
 def shown_frames(shown: DataFrame) -> DataFrame:
-    return shown.where("error is null").select("stream_id", F.col("frame_no").alias("cue_index"), "width", "height", "rgba")
+    return timed_frames(shown).drop("start_ms")
 
 
 def palettes_in_force(segments: DataFrame) -> DataFrame:

@@ -427,21 +427,28 @@ select stream_id, 1 as cue_index, p_partkey as start_ms, p_partkey + 10 as end_m
 union all select stream_id, 2, p_partkey + 10, p_partkey + 2010, 5, 3, 255 * 15, 255 * 15, 255 * 30, 255 * 15 from p""")
 def pgs_pixels(spark, sf_dir):
     """Several parts, a crop, two objects, a replaced object and palette, an unknown object; sums of pixels, plain and by place."""
-    shown = frames.pgs_frames(X.rich_files_of(t(spark, sf_dir, "part")))
-    return pixel_sums(frames.shown_frames(shown), ("red", "alpha", "red_by_x", "red_by_y")).join(frames.shown_cues(shown), ["stream_id", "cue_index"]).select("stream_id", "cue_index", "start_ms", "end_ms", "width", "height", "red", "alpha", "red_by_x", "red_by_y")
+    # times go with the frames, so that streams are decoded once
+    sums = pixel_sums(frames.timed_frames(frames.pgs_frames(X.rich_files_of(t(spark, sf_dir, "part")))), ("red", "alpha", "red_by_x", "red_by_y"))
+    return R.infer_ends(sums, ["stream_id"], ["cue_index"]).select("stream_id", "cue_index", "start_ms", "end_ms", "width", "height", "red", "alpha", "red_by_x", "red_by_y")
 
 
 def pixel_sums(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """stream_id, cue_index, width, height of frames and sums of their red and alpha values, plain and times the column or row."""
+    """stream_id, cue_index, width, height of frames (start_ms, if they have it) and sums of their red and alpha values, plain and times the column or row."""
     import numpy as np
 
+    keys = [c for c in ("stream_id", "cue_index", "start_ms", "width", "height") if c in df.columns]
+    sums = {
+        "red": lambda px: px[..., 0].sum(dtype=np.int64),
+        "alpha": lambda px: px[..., 3].sum(dtype=np.int64),
+        "red_by_x": lambda px: px[..., 0].sum(axis=0, dtype=np.int64) @ np.arange(px.shape[1]),
+        "red_by_y": lambda px: px[..., 0].sum(axis=1, dtype=np.int64) @ np.arange(px.shape[0]),
+    }
+
     def make(r: dict) -> list[tuple]:
-        px = np.frombuffer(r["rgba"], np.uint8).reshape(r["height"], r["width"], 4).astype(np.int64)
-        red, x, y = px[..., 0], np.arange(r["width"]), np.arange(r["height"])[:, None]
-        sums = {"red": red, "alpha": px[..., 3], "red_by_x": red * x, "red_by_y": red * y}
-        return [(r["stream_id"], r["cue_index"], r["width"], r["height"], *(int(sums[n].sum()) for n in names))]
+        px = np.frombuffer(r["rgba"], np.uint8).reshape(r["height"], r["width"], 4)
+        return [(*(r[k] for k in keys), *(int(sums[n](px)) for n in names))]
 
-    return X.map_rows(df.select("stream_id", "cue_index", "width", "height", "rgba"), make, "stream_id string, cue_index int, width int, height int, " + ", ".join(f"{n} bigint" for n in names))
+    return X.map_rows(df.select(*keys, "rgba"), make, ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), *(f"{n} bigint" for n in names)]))
 
 
 def unit_bytes(documents: DataFrame) -> DataFrame:
@@ -469,8 +476,8 @@ def vobsub_cues(spark, sf_dir):
     events = t(spark, sf_dir, "events")
     texts = X.idx_texts_of(events)
     got = frames.vobsub_frames(X.sub_files_of(events), idx.entries(idx.lines(texts)), idx.header(texts))
-    cues = R.infer_ends(got.select("stream_id", "cue_index", "start_ms"), ["stream_id"], ["cue_index"])
-    return pixel_sums(got, ("red", "alpha", "red_by_y")).join(cues, ["stream_id", "cue_index"]).select("stream_id", "cue_index", "start_ms", "end_ms", "width", "height", "red", "alpha", "red_by_y")
+    sums = pixel_sums(got, ("red", "alpha", "red_by_y"))
+    return R.infer_ends(sums, ["stream_id"], ["cue_index"]).select("stream_id", "cue_index", "start_ms", "end_ms", "width", "height", "red", "alpha", "red_by_y")
 
 
 @query(f"with {STREAMS} select stream_id, cast(row_number() over (partition by stream_id order by us, event_id) as integer) as entry_no, us // 1000 as start_ms, (row_number() over (partition by stream_id order by us, event_id) - 1) * 2048 as file_pos from s")
