@@ -133,8 +133,8 @@ def unit_of_codes(nibbles: str, width: int) -> bytes:
 
 
 def pixel_rows(lineitem: DataFrame) -> DataFrame:
-    """key, pixels: an image of two rows for each order, colours 0 to 3 by line and quantity as lengths of runs."""
-    cells = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_partkey"))), lambda x: F.array_repeat((x["l_partkey"] % 4).cast("int"), x["l_quantity"].cast("int")))
+    """key, row: the pixels of each order, a byte each, colours 0 to 3 by line and quantity as lengths of runs."""
+    cells = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_partkey"))), lambda x: F.array_repeat((x["l_partkey"] % 4).cast("tinyint"), x["l_quantity"].cast("int")))
     return lineitem.groupBy("l_orderkey").agg(F.flatten(cells).alias("row")).select(F.col("l_orderkey").alias("key"), "row")
 
 

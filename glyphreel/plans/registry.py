@@ -7,18 +7,24 @@ a table of constants (`golden`) is checked against vectors, not recomputed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphreel import fixtures as X
+from glyphreel import schemas
 from glyphreel.codecs import pgs, pixels, vobsub
 from glyphreel.functions import exprs as E
 from glyphreel.operators import frames, text
 from glyphreel.operators import relational as R
 from glyphreel.sources import idx
 
+if TYPE_CHECKING:
+    import numpy as np
+    import pyarrow as pa
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -337,8 +343,6 @@ def box_lines(spark, sf_dir):
 @query("select doc_id as cue_index, doc_id * 1000 as start_ms, doc_id * 1000 + n_chars as end_ms, printf('sheet_%04d.png', doc_id // 6 + 1) as sheet, cast(doc_id % 6 + 1 as integer) as position_in_sheet from documents")
 def mapping_roundtrip(spark, sf_dir):
     """Items to JSON and back."""
-    from glyphreel import schemas
-
     d = t(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("cue_index"), (F.col("doc_id") * 1000).alias("start_ms"), (F.col("doc_id") * 1000 + F.col("n_chars")).alias("end_ms"), E.sheet_name(F.expr("doc_id div 6 + 1")).alias("sheet"), (F.col("doc_id") % 6 + 1).cast("int").alias("position_in_sheet"))
     files_ = d.groupBy((F.col("cue_index") % 16).alias("file")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("*"))).alias("items"))).alias("json"))
     back = files_.select(F.explode(F.from_json("json", schemas.struct(schemas.MAPPING))["items"]).alias("i")).select("i.*")
@@ -381,42 +385,57 @@ def colour_counts(key: str = "key") -> str:
     return f"select l_orderkey as {key}, cast(l_partkey % 4 as integer) as colour, cast(sum(cast(l_quantity as integer)) as bigint) as n from lineitem group by all"
 
 
-def decoded_counts(df: DataFrame, decode: Callable[[dict], list[int]]) -> DataFrame:
-    def make(r: dict) -> list[tuple]:
-        got = decode(r)
-        return [(r["key"], k, got.count(k)) for k in sorted(set(got))]
+def decoded_counts(df: DataFrame, decode: Callable[..., np.ndarray]) -> DataFrame:
+    """Pixels of each key by colour; decode(columns behind the key) gives a key's colours. Array columns come as numpy arrays."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = schemas.struct("key bigint, colour int, n bigint")
+    arrow = to_arrow_schema(schema)
 
-    return X.map_rows(df, make, "key bigint, colour int, n bigint")
+    def values(column: pa.Array) -> list:
+        if not pa.types.is_list(column.type):
+            return column.to_pylist()
+        ends = np.cumsum(column.value_lengths().to_numpy())
+        return np.split(column.flatten().to_numpy().view(np.uint8), ends[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in frames.pieces(batch):
+                got = [decode(*row) for row in zip(*map(values, part.columns[1:]), strict=True)]
+                place = np.repeat(np.arange(len(got)), [len(g) for g in got]) * 256 + np.concatenate(got)
+                counts = np.bincount(place)
+                seen = counts.nonzero()[0]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(seen // 256)), pa.array(seen % 256, pa.int32()), pa.array(counts[seen])], schema=arrow)
+
+    return df.mapInArrow(run, schema)
 
 
 @query(colour_counts())
 def pgs_rle_pixels(spark, sf_dir):
     """Run codes written by expressions, read by the codec."""
-    return decoded_counts(X.run_codes(t(spark, sf_dir, "lineitem")), lambda r: pgs.decode_runs(bytes.fromhex(r["pgs"]), r["width"], 1).ravel().tolist())
+    return decoded_counts(X.run_codes(t(spark, sf_dir, "lineitem")).select("key", "pgs", "width"), lambda codes, width: pgs.decode_runs(bytes.fromhex(codes), width, 1).ravel())
 
 
 @query(colour_counts())
 def pgs_rle_round_trip(spark, sf_dir):
     """Run codes of the codec's own writer."""
-    import numpy as np
-
-    return decoded_counts(X.pixel_rows(t(spark, sf_dir, "lineitem")), lambda r: pgs.decode_runs(pgs.encode_runs(np.array([r["row"]], np.uint8)), len(r["row"]), 1).ravel().tolist())
+    return decoded_counts(X.pixel_rows(t(spark, sf_dir, "lineitem")), lambda row: pgs.decode_runs(pgs.encode_runs(row[None]), len(row), 1).ravel())
 
 
 @query(colour_counts())
 def vobsub_rle_pixels(spark, sf_dir):
     """Units put together from codes that expressions wrote, read by the codec, by colour."""
     palette = [0x010000, 0x020000, 0x030000, 0x040000]
-    return decoded_counts(X.run_codes(t(spark, sf_dir, "lineitem")), lambda r: (vobsub.decode_unit(X.unit_of_codes(r["nibbles"], r["width"]), palette)[..., 0] - 1).ravel().tolist())
+    return decoded_counts(X.run_codes(t(spark, sf_dir, "lineitem")).select("key", "nibbles", "width"), lambda nibbles, width: vobsub.decode_unit(X.unit_of_codes(nibbles, width), palette)[..., 0].ravel() - 1)
 
 
 @query(colour_counts())
 def vobsub_rle_round_trip(spark, sf_dir):
     """Units of the codec's own writer."""
-    import numpy as np
-
     palette = [0x010000, 0x020000, 0x030000, 0x040000]
-    return decoded_counts(X.pixel_rows(t(spark, sf_dir, "lineitem")), lambda r: (vobsub.decode_unit(vobsub.encode_unit(np.array([r["row"]], np.uint8)), palette)[..., 0] - 1).ravel().tolist())
+    return decoded_counts(X.pixel_rows(t(spark, sf_dir, "lineitem")), lambda row: vobsub.decode_unit(vobsub.encode_unit(row[None]), palette)[..., 0].ravel() - 1)
 
 
 GREY = "((298 * (luma - 16) + 128) >> 8)"

@@ -170,3 +170,8 @@ def test_separator_row():
     row = glyphs.separator_row(200, 27)
     assert row.shape == (27, 200, 4) and (row[..., 3] == 255).all() and 0 < (row[..., 0] == 0).sum() < 27 * 200 / 2
     assert (glyphs.separator_row(2, 9) == 255).all()
+
+
+def test_row_without_pixels():
+    assert pgs.encode_runs(np.zeros((1, 0), np.uint8)) == b"\0\0"
+    assert [*pixels.runs_of(np.array([7, 7, 0, 9, 9, 9], np.uint8))] == [(7, 2), (0, 1), (9, 3)]

@@ -68,3 +68,16 @@ def decodings(df):
 def test_streams_are_decoded_once(spark):
     # made, decoded, summed
     assert decodings(registry.QUERIES["pgs_pixels"](spark, DATA)) == 3
+
+
+def test_pixels_travel_as_bytes(spark):
+    from glyphreel import fixtures as X
+
+    assert X.pixel_rows(spark.read.parquet(f"{DATA}/lineitem.parquet")).schema["row"].dataType.simpleString() == "array<tinyint>"
+
+
+@pytest.mark.parametrize("rows", [1, 3000])
+def test_colours_are_counted_by_key(spark, rows):
+    df = spark.range(rows).selectExpr("id as key", "transform(sequence(0, cast(id % 3 as int)), x -> cast(x * 50 as tinyint)) as row").coalesce(1)
+    got = registry.decoded_counts(df, lambda row: row.repeat(2))
+    assert sorted(map(tuple, got.collect())) == [(k, c * 50, 2) for k in range(rows) for c in range(k % 3 + 1)]
