@@ -81,3 +81,58 @@ def test_colours_are_counted_by_key(spark, rows):
     df = spark.range(rows).selectExpr("id as key", "transform(sequence(0, cast(id % 3 as int)), x -> cast(x * 50 as tinyint)) as row").coalesce(1)
     got = registry.decoded_counts(df, lambda row: row.repeat(2))
     assert sorted(map(tuple, got.collect())) == [(k, c * 50, 2) for k in range(rows) for c in range(k % 3 + 1)]
+
+
+class Batches:
+    """Stands in for a DataFrame: gives the function that would run in a task."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_rows_are_made_piece_by_piece():
+    import pyarrow as pa
+
+    from glyphreel import fixtures as X
+
+    made = []
+
+    def make(r):
+        made.append(r["id"])
+        return [(r["id"], bytes(1 << 17))]
+
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(500), pa.int64()), "text": ["x" * 100_000] * 500})
+    out = X.map_rows(Batches(), make, "id bigint, content binary")(iter([batch]))
+    first = next(out)
+    assert len(made) < 100 and first.nbytes < 6 << 20
+    assert first.num_rows + sum(b.num_rows for b in out) == 500 and made == [*range(500)]
+
+
+def test_streams_are_split_piece_by_piece(monkeypatch):
+    import pyarrow as pa
+
+    from glyphreel.codecs import pgs
+    from glyphreel.operators import frames
+
+    split, seen = pgs.split_segments, []
+    monkeypatch.setattr(pgs, "split_segments", lambda data: seen.append(1) or split(data))
+    content = pgs.segment(1, pgs.END, b"") + pgs.segment(2, pgs.PDS, bytes(60_000))
+    batch = pa.RecordBatch.from_pydict({"stream_id": [f"s{i}" for i in range(500)], "content": [content] * 500})
+    out = frames.pgs_segments(Batches())(iter([batch]))
+    first = next(out)
+    assert len(seen) < 100 and first.num_rows + sum(b.num_rows for b in out) == 1000
+
+
+def test_pieces_hold_few_bytes():
+    import pyarrow as pa
+
+    from glyphreel.operators.frames import pieces
+
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 500_000] * 60})
+    parts = [*pieces(batch)]
+    assert max(p.num_rows for p in parts) <= 2 and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert [p.num_rows for p in pieces(pa.RecordBatch.from_pydict({"n": range(3000)}))] == [1024, 1024, 952]
+    assert [*pieces(pa.RecordBatch.from_pydict({"n": pa.array([], pa.int64())}))] == []
