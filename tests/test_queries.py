@@ -93,7 +93,7 @@ class Batches:
         return run
 
 
-def test_rows_are_made_piece_by_piece():
+def test_rows_are_made_piece_by_piece(spark):
     import pyarrow as pa
 
     from glyphreel import fixtures as X
@@ -111,7 +111,7 @@ def test_rows_are_made_piece_by_piece():
     assert first.num_rows + sum(b.num_rows for b in out) == 500 and made == [*range(500)]
 
 
-def test_streams_are_split_piece_by_piece(monkeypatch):
+def test_streams_are_split_piece_by_piece(spark, monkeypatch):
     import pyarrow as pa
 
     from glyphreel.codecs import pgs
