@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,16 +90,17 @@ def rich_files_of(part: DataFrame) -> DataFrame:
     return map_rows(dealt(rows, "stream_id"), lambda r: [(r["stream_id"], rich_stream(r["p_size"], r["luma"], r["ticks"]))], "stream_id string, content binary")
 
 
-def sub_files_of(events: DataFrame) -> DataFrame:
-    """Data files for idx_texts_of: a unit for each event, 2048 bytes apart; 1 + event_id % 7 by 3 pixels of colour 1 over colour 0."""
+@lru_cache(maxsize=16)
+def sub_unit(width: int) -> bytes:
+    img = np.zeros((3, width), np.uint8)
+    img[1] = 1
+    return vobsub.packets(vobsub.encode_unit(img), 0x20, 40).ljust(2048, b"\xff")
 
-    def unit(event_id: int) -> bytes:
-        img = np.zeros((3, 1 + event_id % 7), np.uint8)
-        img[1] = 1
-        return vobsub.packets(vobsub.encode_unit(img), 0x20, 40).ljust(2048, b"\xff")
 
+def sub_files_of(events: DataFrame) -> DataFrame:
+    """Data files for idx_texts_of: a unit for each event, 2048 bytes apart; 1 + event_id % 7 by 3 pixels of colour 1 over colour 0."""
     listed = caption_events(events).groupBy("stream_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("us", "event_id"))), lambda x: x["event_id"]).alias("ids"))
-    return map_rows(listed, lambda r: [(r["stream_id"], b"".join(map(unit, r["ids"])))], "stream_id string, content binary")
+    return map_rows(listed, lambda r: [(r["stream_id"], b"".join(sub_unit(1 + i % 7) for i in r["ids"]))], "stream_id string, content binary")
 
 
 def plain_png(pixels: np.ndarray) -> bytes:

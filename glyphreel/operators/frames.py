@@ -178,7 +178,8 @@ def vobsub_frames(pairs: DataFrame, entries: DataFrame, header: DataFrame, permi
     w = W.partitionBy("stream_id").orderBy("file_pos", "entry_no")
     spans = entries.withColumn("cue_index", F.row_number().over(w)).withColumn("span_end", F.lead("file_pos").over(w))
     listed = spans.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("cue_index", "start_ms", "file_pos", "span_end"))).alias("spans"))
-    todo = pairs.select("stream_id", "content").join(listed, "stream_id").join(header, "stream_id")
+    # never a broadcast: the planner may take whole files for as small as what they were read from
+    todo = pairs.select("stream_id", "content").hint("merge").join(listed.hint("merge").join(header, "stream_id"), "stream_id")
     schema = schemas.struct("stream_id string, cue_index int, start_ms bigint, width int, height int, rgba binary, error string")
     arrow = to_arrow_schema(schema)
 

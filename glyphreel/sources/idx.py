@@ -49,5 +49,5 @@ def header(texts: DataFrame) -> DataFrame:
     """stream_id, palette, lang_idx, with defaults where lines are absent."""
     t = lines(texts)
     none = F.array_repeat(F.lit(0).cast("bigint"), 16)
-    out = texts.select("stream_id").join(palettes(t), "stream_id", "left").join(language_index(t), "stream_id", "left")
+    out = texts.select("stream_id").join(palettes(t).hint("merge"), "stream_id", "left").join(language_index(t).hint("merge"), "stream_id", "left")
     return out.select("stream_id", F.coalesce("palette", none).alias("palette"), F.coalesce("lang_idx", F.lit(0)).alias("lang_idx"))

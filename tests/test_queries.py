@@ -55,6 +55,12 @@ def test_frames_are_not_broadcast(spark, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_data_files_are_read_once_and_not_broadcast(spark):
+    plan = registry.QUERIES["vobsub_cues"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    # made, decoded, summed
+    assert plan.count("MapInArrow") == 3 and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("name", ["preprocess_geometry", "force_white_pixels", "crop_pad_pixels", "solid_crop_pixels", "shrink_pixels"])
 def test_frames_are_made_by_many_tasks(spark, name):
     # the table is one small file
