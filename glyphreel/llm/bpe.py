@@ -26,6 +26,8 @@ FILE = "byte_bpe_multi_50k.tiktoken"
 #: Matches remembered by a worker at most.
 REMEMBERED = 600_000
 NONE = 1 << 62
+#: Pieces of at most so many bytes are merged by a list of ranks; its search is quadratic but shorter than the tree's there.
+SHORT = 128
 
 
 @lru_cache(maxsize=4)
@@ -34,12 +36,30 @@ def load_ranks(file: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def merge_short(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+    """As merge: the leftmost pair of minimum rank first."""
+    get = ranks.get
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [get(piece[i : i + 2], NONE) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) != NONE:
+        i = pairs.index(least)
+        joined = parts[i] = parts[i] + parts[i + 1]
+        del parts[i + 1], pairs[i]
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + joined, NONE)
+        if i < len(pairs):
+            pairs[i] = get(joined + parts[i + 1], NONE)
+    return tuple(map(ranks.__getitem__, parts))
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """The ids of one match."""
     whole = ranks.get(piece)
     if whole is not None:
         return (whole,)
     n = len(piece)
+    if n <= SHORT:
+        return merge_short(piece, ranks)
     size, bits = 1, max(1, n.bit_length())
     while size < n:
         size *= 2
@@ -89,6 +109,21 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ids)
 
 
+class Known(dict[str, tuple[int, ...]]):
+    """Matches with their ids, merged when they are first asked for; emptied where they would be too many."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+
+    def __missing__(self, p: str) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        ids = merge(p.encode("utf-8", "replace") if p.isascii() else p.encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode(), self.ranks)
+        if len(p) <= 64:
+            self[p] = ids
+        return ids
+
+
 class Codec:
     """encode(text) -> ids; decode(ids) -> bytes."""
 
@@ -100,22 +135,12 @@ class Codec:
         self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, i in self.ranks.items():
             self.bytes_of[i] = token
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self.ranks)
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        known, ranks, found = self.known, self.ranks, []
-        for p in self.cut.findall(text):
-            ids = known.get(p)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = merge(p.encode("utf-8", "replace") if p.isascii() else p.encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode(), ranks)
-                if len(p) <= 64:
-                    known[p] = ids
-            found.append(ids)
-        return list(chain.from_iterable(found))
+        return list(chain.from_iterable(map(self.known.__getitem__, self.cut.findall(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -149,7 +174,9 @@ def decode_ids(rows: DataFrame, keys: list[str], file: str | None = None) -> Dat
     return map_text(rows, keys, "ids", make, "text string")
 
 
-def op10_bpe(spark: SparkSession, sf_dir: str, file: str | None = None) -> DataFrame:
+def digests(docs: DataFrame, file: str | None = None) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of what they decode to."""
+
     def make() -> Callable:
         c = codec(file)
         number = [str(i) for i in range(len(c.bytes_of))]
@@ -160,7 +187,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str, file: str | None = None) -> DataF
 
         return one
 
-    return map_text(table(spark, sf_dir, "documents"), ["doc_id"], "text", make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_text(docs, ["doc_id"], "text", make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str, file: str | None = None) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"), file)
 
 
 def round_trip(c: Codec) -> Callable[[str | None], list[int]]:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphreel.llm import pii, suffixes, urlrules
-from glyphreel.llm.bpe import op10_bpe
+from glyphreel.llm.bpe import digests, op10_bpe
+from glyphreel.llm.common import table
 from glyphreel.llm.decontaminate import op3_decontaminate
 from glyphreel.llm.htmltext import op9_html_text
 from glyphreel.llm.langid import op5_langid
@@ -44,8 +45,10 @@ def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of what op10's ids decode to."""
-    return op10_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+    """Digests of what op10's ids decode to. Texts are dealt over the tasks: to encode them costs much more than to move them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return digests(docs.repartition(n, "doc_id")).select("doc_id", "decoded_sha256")
 
 
 QUERIES |= {"media_payload": media_payload, "pii_base": pii_base, "bpe_round_trip": bpe_round_trip}

@@ -362,3 +362,19 @@ def test_images_in_bands():
         base = np.cos(np.pi / side * (np.arange(side) + 0.5) * np.arange(8)[:, None])
         low = np.round(base @ grey @ base.T, 6).ravel()
         assert media.cosine_hash(px) == "".join(f"{int(''.join('1' if x else '0' for x in (low > np.median(low[1:]))[i : i + 8]), 2):02x}" for i in range(0, 64, 8))
+
+
+def test_short_merges_follow_the_tree(monkeypatch):
+    ranks = {bytes([i]): i for i in range(256)} | {b"aa": 300, b"aaa": 299, b"ab": 298, b"ba": 298, b"aaaa": 280}
+    some = random.Random(7)
+    pieces = [bytes(some.choices(b"aab", k=some.randrange(1, bpe.SHORT + 9))) for _ in range(500)]
+    short = [bpe.merge(p, ranks) for p in pieces]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert short == [bpe.merge(p, ranks) for p in pieces]
+
+
+def test_remembered_matches_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    known = bpe.Known({bytes([i]): i for i in range(256)})
+    assert [known[p] for p in ("ab", "c", "d", "é", "x" * 65)] == [(97, 98), (99,), (100,), (195, 169), (120,) * 65]
+    assert list(known) == ["é"]

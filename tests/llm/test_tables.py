@@ -348,3 +348,10 @@ def test_pipeline(spark):
     codec = bpe.codec()
     for i, r in got.items():
         assert r.text == pii.redact(docs[i].text) and r.n_chars == len(r.text) and codec.decode(r.token_ids).decode() == r.text
+
+
+def test_texts_are_encoded_by_many_tasks(spark):
+    from glyphreel.llm import queries
+
+    # the table is one small file
+    assert queries.bpe_round_trip(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
